@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map
 from .sampling import bounded_sample
 
-SAMPLE, PREDICT, COVER, SUPPORT, PRECISION = 1500, 0.7, 4, 3, 0.8
+SAMPLE, PREDICT, COVER, SUPPORT = 1500, 0.7, 4, 3
+#: Least precision of a word, and of a word's beginning, which many clean words may share.
+PRECISION, BEGINNING = 0.74, 0.97
 #: What letters a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
 _EDGE = ".,;:?\"'`~()[]{}<>…“”„«»¿¡"
@@ -163,7 +165,7 @@ def learn(rows: list[tuple[bytes, int]], weight: dict[int, float] | None = None)
     for f, rows_of in ones.items():
         n = min(len(rows_of), len(contexts[f]) if len(contexts[f]) < 64 else len(rows_of))
         share = (n + 0.2) / (n + zeros[f] * per + 1.2)
-        if n >= SUPPORT and share >= PRECISION - 0.06:
+        if n >= SUPPORT and (share >= PRECISION if f[-1] != "*" else share >= BEGINNING or not zeros[f] and share >= PRECISION):
             p[f] = share
     lexicon, covered = {}, np.zeros(positives, np.int64)
     heap = {f: len(ones[f]) for f in p}
