@@ -20,7 +20,8 @@ def bounded_sample(docs: DataFrame, labelled: DataFrame, label: str, most: int)
     keep = F.lit(False)
     for value, n in sorted(counts.items(), key=lambda x: str(x[0])):
         keep = keep | ((F.col("label_") == F.lit(value)) & (draw < F.lit(int(min(1.0, 1.2 * most / n) * (1 << 40)))))
-    rows = docs.select("doc_id", "text").filter("text is not null").join(labelled.filter(keep), F.col("doc_id") == F.col("id_"))
+    # Broadcast: the draw bounds the ids by ``most`` and the number of labels.
+    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(labelled.filter(keep)), F.col("doc_id") == F.col("id_"))
     got = sorted(((r["doc_id"], r["text"], r["label_"]) for r in rows.select("doc_id", "text", "label_").collect()), key=lambda r: (str(r[2]), r[0], r[1]))
     seen: dict[object, int] = {}
     out = []
