@@ -2,12 +2,12 @@
 containment verifies them.
 
 A text's words (lower-cased letters and digits) give hashed 5-word shingles; shorter templates are
-one shingle of their own width. Templates are grouped by their number of shingles, rounded up to a
-power of two s. A text's windows have 2s shingles and step by s, so that any s neighbours lie
-within one window. A window and a template meet if any of ``BANDS`` minima agree. A template of m
-shingles (s/2 < m <= s) of which 0.8 are in a window has similarity over 0.8 m / (2s + 0.2 m) >=
-0.19, so that one band in 40 agrees with probability over 0.9997. Verification then counts the
-template's distinct shingles inside the window: containment of at least ``CONTAINMENT``.
+one shingle of their own width. A template of m shingles belongs to the power of two s >= m. Windows
+of 2s shingles step by s, so that any s neighbours lie within one window; minima over blocks are
+folded from one size to the next. A window and a template meet if any of ``BANDS`` minima agree. If
+0.8 of the template is in a window, their similarity is over 0.8 m / (2s + 0.2 m) >= 0.19, so that
+one band in 40 agrees with probability over 0.9997. Texts that meet a template are verified in
+full: spans of at most s shingles that hold ``CONTAINMENT`` of its distinct shingles.
 
 Defined results: null and empty texts have no matches; templates without words are left out;
 repeated rows are scanned each by itself; other columns are not read.
@@ -38,7 +38,8 @@ TEMPLATES = (
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
 )
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_SEEDS = mix64(np.arange(1, BANDS + 1))
+_SEEDS = mix64(np.arange(1, BANDS + 1)) | np.uint64(1)  # odd factors permute 64-bit hashes
+_NONE = np.uint64((1 << 64) - 1)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _OUT = "doc_id long, licenses array<string>, n_matches long, matches array<struct<license:string,first:int,last:int,containment:double>>"
 
@@ -59,7 +60,7 @@ def shingles(ids: np.ndarray, width: int = WIDTH) -> np.ndarray:
     out = np.zeros(n, np.uint64)
     for j in range(width):
         out = out * _B + ids[j : n + j]
-    return mix64(out)
+    return mix64(out) >> np.uint64(1)  # the blank value stays free
 
 
 def numbered(text: bytes, numbers: _Numbers) -> np.ndarray:
@@ -67,54 +68,75 @@ def numbered(text: bytes, numbers: _Numbers) -> np.ndarray:
     return np.fromiter(map(numbers.__getitem__, words), np.uint64, len(words))
 
 
-def index(templates, numbers: _Numbers) -> dict[tuple[int, int], tuple[list, np.ndarray, np.ndarray]]:
-    """(width, s) -> templates (license, sorted distinct shingles), all band keys sorted, their templates."""
+def index(templates, numbers: _Numbers) -> list[tuple[int, int, str, np.ndarray, np.ndarray]]:
+    """For each template: width, s, license, sorted distinct shingles, a key for each band."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    groups: dict[tuple[int, int], list] = {}
+    out = []
     for name, text in templates:
         ids = numbered(text.encode(), numbers)
         if len(ids):
             own = np.unique(shingles(ids))
-            groups.setdefault((min(WIDTH, len(ids)), 1 << (len(own) - 1).bit_length()), []).append((name, own))
-    out = {}
-    for key, members in groups.items():
-        bands = np.concatenate([mix64(own[:, None] ^ _SEEDS).min(0) ^ _SEEDS for _, own in members])
-        order = np.argsort(bands)
-        out[key] = members, bands[order], np.repeat(np.arange(len(members)), BANDS)[order]
+            out.append((min(WIDTH, len(ids)), 1 << (len(own) - 1).bit_length(), name, own, (own[:, None] * _SEEDS).min(0)))
     return out
 
 
-def scan(ids: np.ndarray, templates) -> list[tuple[str, int, int, float]]:
-    """(license, first word, last word, containment) of each matching window."""
-    found = []
-    for (width, s), (members, bands, owner) in templates.items():
+def retrieve(h: np.ndarray, width: int, templates) -> dict[int, np.ndarray]:
+    """template -> starts of windows of 2s shingles that share a band with it."""
+    mine = [(k, t) for k, t in enumerate(templates) if t[0] == width]
+    sizes = sorted({t[1] for _, t in mine})
+    pad = -len(h) % (2 * sizes[-1])
+    h = np.concatenate((h, np.full(pad, _NONE)))
+    found: dict[int, list[np.ndarray]] = {}
+    for band, seed in enumerate(_SEEDS):
+        low, s = h * seed, 1
+        for size in sizes:
+            while s < size:
+                low, s = np.minimum(low[::2], low[1::2]), 2 * s
+            window = np.minimum(low[:-1], low[1:])
+            for k, t in mine:
+                if t[1] == size and len(at := np.flatnonzero(window == t[4][band])):
+                    found.setdefault(k, []).append(at * size)
+    return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+
+
+def verify(h: np.ndarray, template) -> list[tuple[str, int, int, float]]:
+    """(license, first word, last word, containment): spans of at most s shingles of one text that
+    hold enough of the template's distinct shingles; the next span begins after the last."""
+    width, s, name, own, _ = template
+    at = np.flatnonzero(np.isin(h, own))
+    found, i = [], 0
+    while i < len(at):
+        j = int(np.searchsorted(at, at[i] + s))
+        share = len(np.unique(h[at[i:j]])) / len(own)
+        if share >= CONTAINMENT:
+            found.append((name, int(at[i]), int(at[j - 1]) + width - 1, share))
+            i = j
+        else:
+            i += 1
+    return found
+
+
+def scan(texts: list[np.ndarray], templates) -> list[list[tuple[str, int, int, float]]]:
+    """Matches of each text, given as word numbers. Texts are hashed end to end; shingles that
+    cross an end are blanked, and verification looks at one text at a time."""
+    out: list[list] = [[] for _ in texts]
+    ids = np.concatenate([*texts, np.zeros(0, np.uint64)])
+    ends = np.cumsum([len(t) for t in texts])
+    for width in sorted({t[0] for t in templates}):
         if len(ids) < width:
             continue
         h = shingles(ids, width)
-        starts = np.arange(0, len(h), s)
-        hit_windows, hit_members = [], []
-        for seed in _SEEDS:
-            low = np.minimum.reduceat(mix64(h ^ seed), starts)
-            low[:-1] = np.minimum(low[:-1], low[1:])
-            low ^= seed
-            at = np.searchsorted(bands, low)
-            near = np.flatnonzero(bands[np.minimum(at, len(bands) - 1)] == low)
-            for w in near:
-                k = at[w]
-                while k < len(bands) and bands[k] == low[w]:
-                    hit_windows.append(int(w))
-                    hit_members.append(int(owner[k]))
-                    k += 1
-        for w, m in sorted(set(zip(hit_windows, hit_members, strict=True))):
-            name, own = members[m]
-            part = h[w * s : (w + 2) * s]
-            inside = np.isin(part, own)
-            share = len(np.unique(part[inside])) / len(own)
-            if share >= CONTAINMENT:
-                at = np.flatnonzero(inside) + w * s
-                found.append((name, int(at[0]), int(at[-1]) + width - 1, float(share)))
-    return sorted(set(found))
+        for j in range(1, width):
+            over = ends - j
+            h[over[(over >= 0) & (over < len(h))]] = _NONE
+        for k, starts in retrieve(h, width, templates).items():
+            size = 2 * templates[k][1]
+            near = {int(d) for a, b in ((starts, starts + size - 1),) for d in np.unique(np.concatenate((np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "right"))))}
+            for d in sorted(x for x in near if x < len(texts)):
+                a = int(ends[d]) - len(texts[d])
+                out[d] += verify(h[a : max(a, int(ends[d]) - width + 1)], templates[k])
+    return [sorted(set(m)) for m in out]
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
@@ -128,8 +150,7 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
         def work(batch):
             names, matches = [], []
             texts = [numbered(t, numbers) for t in byte_texts(batch["text"])]
-            for ids in texts:
-                got = scan(ids, known) if len(ids) else []
+            for got in scan(texts, known):
                 names.append(sorted({g[0] for g in got}))
                 matches.append([dict(zip(("license", "first", "last", "containment"), g, strict=True)) for g in got])
             kind = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("containment", pa.float64())]))
