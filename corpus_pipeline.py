@@ -2,7 +2,7 @@
 
 Order: quality classifier, quality rules, near duplicates, decontamination, packing. The columns
 of documents go through every stage but the last, which returns packed pieces. A null doc_id
-passes no stage: it names no document.
+names no document and does not enter.
 """
 
 from __future__ import annotations
@@ -20,26 +20,22 @@ from strandline.llm.quality_model import quality
 from strandline.llm.quality_rules import quality_rules
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose id is in kept (doc_id)."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality(docs, table(spark, sf_dir, "labels")).filter("kept"))
+    return quality(docs, table(spark, sf_dir, "labels"), rows=True).filter("kept").select("row.*")
 
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, quality_rules(docs).filter("kept"))
+    return quality_rules(docs, rows=True).filter("kept").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component stays."""
-    return _only(docs, near_duplicates(docs).filter("doc_id = component_id"))
+    """The document with the least id of each component stays; of rows that repeat an id, each."""
+    least = near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(least, "doc_id", "left_semi").select(*docs.columns)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated"))
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), rows=True).filter("not contaminated").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,17 +59,29 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.Record
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``make`` is called once a task; what it returns maps each piece to output rows."""
+    """``make`` is called once a task; what it returns maps each piece to output rows.
+
+    A column ``row`` of df (see ``judged``) goes through unchanged; the work must then return a row for each row.
+    """
+    whole = "row" in df.columns
+    if whole:
+        schema = f"{schema}, row {df.schema['row'].dataType.simpleString()}"
 
     def run(batches):
         work = make()
         for batch in batches:
             for piece in pieces(batch):
-                yield work(piece)
+                out = work(piece)
+                yield pa.RecordBatch.from_arrays([*out.columns, piece["row"]], [*out.schema.names, "row"]) if whole else out
 
     return df.mapInArrow(run, schema)
 
 
+def judged(docs: DataFrame, rows: bool) -> DataFrame:
+    """doc_id and text, and with ``rows`` the whole row as a struct, whatever its columns are called."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if rows else []))
+
+
 def byte_texts(col: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null is empty."""
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts
+from .common import arrow_map, byte_texts, judged
 
 WINDOW = 8
 BLOCK_BYTES = 8 << 20
@@ -112,13 +112,13 @@ def _digest():
     return work
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document: words, words inside benchmark windows, items, spans in the original text."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, rows: bool = False) -> DataFrame:
+    """A row for each document: words, words inside benchmark windows, items, spans in the original text; ``rows``: and its columns as ``row``."""
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) * 2 if total > block_bytes else 1
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(f"cast(array() as {_HITS})").alias("hits"))
+    scanned = judged(docs, rows).withColumn("hits", F.expr(f"cast(array() as {_HITS})"))
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        rows = _scan(rows, [(r["item"], r["text"].encode()) for r in part.collect()], window)
-    return arrow_map(rows, _digest, _OUT)
+        scanned = _scan(scanned, [(r["item"], r["text"].encode()) for r in part.collect()], window)
+    return arrow_map(scanned, _digest, _OUT)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import arrow_map, byte_texts
+from .common import arrow_map, byte_texts, judged
 from .sampling import bounded_sample
 
 SAMPLE, BITS, SELECT = 500, 11, 0.5
@@ -83,8 +83,8 @@ def graded(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", grade.alias("grade")).filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: float = SELECT) -> DataFrame:
-    """doc_id, expected_grade, p_tail = P(grade >= 1), kept = p_tail >= select."""
+def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: float = SELECT, rows: bool = False) -> DataFrame:
+    """doc_id, expected_grade, p_tail = P(grade >= 1), kept = p_tail >= select; ``rows``: and its columns as ``row``."""
     model = fit(bounded_sample(docs, graded(labels), "grade", sample))
 
     def work(batch):
@@ -100,4 +100,4 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: fl
             kept = (tail >= select) & ~empty
         return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(expected), pa.array(tail), pa.array(kept)], ["doc_id", "expected_grade", "p_tail", "kept"])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: work, "doc_id long, expected_grade double, p_tail double, kept boolean")
+    return arrow_map(judged(docs, rows), lambda: work, "doc_id long, expected_grade double, p_tail double, kept boolean")

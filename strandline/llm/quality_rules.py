@@ -16,9 +16,8 @@ from itertools import chain, count
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import arrow_map, byte_texts, mix64
+from .common import arrow_map, byte_texts, judged, mix64
 
 #: n-gram length -> largest share of a text's word characters inside n-grams found twice or more.
 COVERAGE = {5: 0.40, 8: 0.30, 10: 0.30}
@@ -92,8 +91,8 @@ def measure(texts: list[bytes], lengths: tuple[int, ...]) -> dict[str, np.ndarra
     return out
 
 
-def quality_rules(docs: DataFrame, coverage: dict[int, float] | None = None, line_share: float = LINE_SHARE) -> DataFrame:
-    """A row for each document with its counts, the base rule and the coverage verdict."""
+def quality_rules(docs: DataFrame, coverage: dict[int, float] | None = None, line_share: float = LINE_SHARE, rows: bool = False) -> DataFrame:
+    """A row for each document with its counts, the base rule and the coverage verdict; ``rows``: and its columns as ``row``."""
     limits = coverage or COVERAGE
     lengths = tuple(sorted({*limits, REPEAT_WINDOW}))
 
@@ -107,4 +106,4 @@ def quality_rules(docs: DataFrame, coverage: dict[int, float] | None = None, lin
         cols = [*(pa.array(m[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(m["line_share"]), pa.array(list(shares), pa.list_(pa.float64()))]
         return pa.RecordBatch.from_arrays([batch["doc_id"], *cols], [x.split()[0] for x in _OUT.split(", ")])
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), lambda: work, _OUT)
+    return arrow_map(judged(docs, rows), lambda: work, _OUT)
