@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PIECE_BYTES = 1 << 20
+PIECE_BYTES, BATCH_ROWS = 1 << 20, 2000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,9 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     A column ``row`` of df (see ``judged``) goes through unchanged; the work must then return a row for each row.
     """
+    conf = df.sparkSession.conf  # texts are long: batches of many rows would fill a worker's memory
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     whole = "row" in df.columns
     if whole:
         schema = f"{schema}, row {df.schema['row'].dataType.simpleString()}"

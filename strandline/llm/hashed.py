@@ -14,7 +14,7 @@ _GAP = 4  # zero bytes between texts, so that no n-gram spans two of them
 def grams(texts: list[bytes], sizes: tuple[int, ...], bits: int, classes: np.ndarray | None = None):
     """(bucket of each position, text of each position) for all n-gram sizes."""
     joined = np.frombuffer(b"".join(t + bytes(_GAP) for t in texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), [len(t) + _GAP for t in texts])
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + _GAP for t in texts])
     codes = (joined if classes is None else classes[joined]).astype(np.uint32)
     buckets, owners = [], []
     for n in sizes:
@@ -29,14 +29,21 @@ def grams(texts: list[bytes], sizes: tuple[int, ...], bits: int, classes: np.nda
         buckets.append((h >> np.uint32(32 - bits))[real])
         owners.append(owner[: len(h)][real])
     if not buckets:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint32), np.zeros(0, np.int32)
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def matrix(bucket: np.ndarray, owner: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Shares of each text's n-grams, one row a text."""
-    out = np.bincount(owner * (1 << bits) + bucket, minlength=n << bits).reshape(n, 1 << bits).astype(np.float32)
-    return out / np.maximum(out.sum(1, keepdims=True), 1)
+def matrix(texts: list[bytes], blocks, bits: int, rows: int = 50) -> np.ndarray:
+    """Shares of each text's n-grams, one row a text; ``blocks`` gives (bucket, owner) pairs for some texts.
+
+    Works through ``rows`` texts at a time, so that memory is the matrix and little more.
+    """
+    out = []
+    for k in range(0, len(texts), rows):
+        part = texts[k : k + rows]
+        sides = [np.bincount((owner.astype(np.int64) << bits) + bucket, minlength=len(part) << bits).reshape(len(part), 1 << bits).astype(np.float32) for bucket, owner in blocks(part)]
+        out.append(np.column_stack([x / np.maximum(x.sum(1, keepdims=True), 1) for x in sides]))
+    return np.concatenate(out)
 
 
 def scores(bucket: np.ndarray, owner: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:

@@ -54,7 +54,7 @@ def fit(rows: list[tuple[bytes, str]]) -> dict | None:
     if not langs:
         return None
     texts = [t.decode().lower().encode() for t, _ in rows]
-    x = hashed.matrix(*hashed.grams(texts, SIZES, BITS), len(texts), BITS)
+    x = hashed.matrix(texts, lambda part: [hashed.grams(part, SIZES, BITS)], BITS)
     scale = 1 / (x.std(0) + 1e-4)
     x = x * scale / np.sqrt(x.shape[1])
     lang = np.array([lang for _, lang in rows])

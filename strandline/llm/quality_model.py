@@ -40,7 +40,7 @@ def fit(rows: list[tuple[bytes, int]], l2: float = 1e-3, rounds: int = 300) -> d
     if len(grades) < 2:
         return None
     texts, y = [t for t, _ in rows], np.array([grades.index(g) for _, g in rows])
-    x = np.column_stack([hashed.matrix(*f, len(texts), BITS) for f in features(texts)])
+    x = hashed.matrix(texts, features, BITS)
     scale = (1 / (x.std(0) + 1e-3) / np.sqrt(x.shape[1])).astype(np.float32)
     x *= scale
     k = len(grades) - 1
