@@ -2,7 +2,7 @@
 
 A batch of signed deltas (insert +, delete -, revision = delete of the old count and insert of the
 new) becomes additive totals by source, language and tokenizer version. Each batch is written to a
-staging folder and renamed to ``batch=<id>`` in one step: a batch that is there already is left
+staging folder and renamed to ``batch-<id>`` in one step: a batch that is there already is left
 as it is, so that repeating a commit changes nothing, and a half-written batch is never read.
 Totals are sums over batches; ``compact`` folds them into one under a list of the ids it holds.
 
@@ -79,15 +79,15 @@ class Rollup:
         """Names of the folders that count: batches, less those that the newest base holds."""
         fs, p = self._fs(self.path)
         names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
-        bases = [n for n in names if n.startswith("base=")]
+        bases = [n for n in names if n.startswith("base-")]
         if not bases:
-            return [n for n in names if n.startswith("batch=")]
+            return [n for n in names if n.startswith("batch-")]
         held = {r["id"] for r in self.spark.read.parquet(f"{self.path}/held-{bases[-1]}").collect()}
-        return [bases[-1], *(n for n in names if n.startswith("batch=") and n not in held)]
+        return [bases[-1], *(n for n in names if n.startswith("batch-") and n not in held)]
 
     def commit(self, batch: str, deltas: DataFrame) -> bool:
         """Adds a batch; False if a batch of that id was there."""
-        to = f"{self.path}/batch={batch}"
+        to = f"{self.path}/batch-{batch}"
         if self._exists(to):
             return False
         staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
@@ -103,17 +103,17 @@ class Rollup:
         parts = self.batches()
         if not parts:
             return self.spark.createDataFrame([], _TOTALS)
-        rows = self.spark.read.schema(_TOTALS).option("basePath", self.path).parquet(*(f"{self.path}/{n}" for n in parts)).select(*KEYS, "n_docs", "n_tokens")
+        rows = self.spark.read.schema(_TOTALS).parquet(*(f"{self.path}/{n}" for n in parts)).select(*KEYS, "n_docs", "n_tokens")
         out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return out.filter("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
         """Folds all batches into a base; the list of held ids is there before the base is."""
         parts = self.batches()
-        held = {n for n in parts if n.startswith("batch=")}
-        held |= {r["id"] for n in parts if n.startswith("base=") for r in self.spark.read.parquet(f"{self.path}/held-{n}").collect()}
-        last = max((int(n.removeprefix("base=")) for n in parts if n.startswith("base=")), default=0)
-        name, staged = f"base={last + 1:09d}", f"{self.path}/_staged-{uuid.uuid4().hex}"
+        held = {n for n in parts if n.startswith("batch-")}
+        held |= {r["id"] for n in parts if n.startswith("base-") for r in self.spark.read.parquet(f"{self.path}/held-{n}").collect()}
+        last = max((int(n.removeprefix("base-")) for n in parts if n.startswith("base-")), default=0)
+        name, staged = f"base-{last + 1:09d}", f"{self.path}/_staged-{uuid.uuid4().hex}"
         self.totals().write.parquet(staged)
         self.spark.createDataFrame([(n,) for n in sorted(held)], "id string").write.mode("overwrite").parquet(f"{self.path}/held-{name}")
         self._fs(staged)[0].rename(self._fs(staged)[1], self._fs(f"{self.path}/{name}")[1])
