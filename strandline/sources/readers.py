@@ -39,7 +39,7 @@ def gff(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     p = F.split("value", "\t")
     text = F.element_at(p, 9)
     three = F.transform(F.regexp_extract_all(text, F.lit(r"([^=;\s]+)=([^;]*)"), 0), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value")))
-    two = F.transform(F.regexp_extract_all(text, F.lit(r'(\w+)\s+("[^"]*"|[^";\s]+)'), 0), lambda x: F.struct(F.regexp_extract(x, r"^\w+", 0).alias("key"), F.trim(F.lit('"'), F.regexp_replace(x, r"^\w+\s+", "")).alias("value")))
+    two = F.transform(F.regexp_extract_all(text, F.lit(r'(\w+)\s+("[^"]*"|[^";\s]+)'), 0), lambda x: F.struct(F.regexp_extract(x, r"^\w+", 0).alias("key"), F.trim(F.regexp_replace(x, r"^\w+\s+", ""), F.lit('"')).alias("value")))
     attrs = F.map_from_entries(_first_of_each(F.when(text.rlike(r'^\s*[^=;\s"]+='), three).otherwise(two)))
     rows = _lines(spark, paths, "#").select(
         F.element_at(p, 1).alias("contig"), _field(p, 1).alias("source"), F.element_at(p, 3).alias("feature"), F.element_at(p, 4).cast("long").alias("start"), F.element_at(p, 5).cast("long").alias("end"),
