@@ -126,7 +126,11 @@ def restored(text: str, model: CharModel, memo: dict[str, str]) -> tuple[list[st
             memo[token] = found
         return found
 
-    joined = [model.decode(re.sub(r"\s+", "", m[0]).strip(_EDGE)) for m in _SPACED.finditer(low) if _LETTER.search(m[0])]
+    joined = []
+    for m in _SPACED.finditer(low):
+        run = "".join(m[0].split())
+        if _LETTER.search(run):  # a one-letter word may stand at either end of what is spelt
+            joined += [model.decode(part.strip(_EDGE)) for part in {run, run[1:], run[:-1], run[1:-1]}]
     return [word(t) for t in low.split()], [w for w in joined if w]
 
 

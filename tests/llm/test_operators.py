@@ -184,7 +184,7 @@ def test_toxicity_restores(spark):
     clean = [f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)}xy go on and on" for i in range(60)]
     rude = [f"{a} idiot go {b} moron on" for a in ("what", "see", "look", "oh") for b in ("that", "this", "my", "no")]
     learned = toxicity.learn([(t.encode(), 0) for t in clean] + [(t.encode(), 1) for t in rude])
-    for t in ("you 1d10t", "a m o r o n you", "m.o.r.o.n", "idiooooot"):
+    for t in ("you 1d10t", "a m o r o n you", "m o r o n", "m.o.r.o.n", "idiooooot"):
         assert toxicity.score(t, *learned, {}) >= 0.7, t
     assert toxicity.score("plain words go on", *learned, {}) < 0.2
 
