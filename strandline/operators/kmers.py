@@ -7,12 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import canonical, kmers
 
+SHORT = 12
+
 
 def count_kmers(reads: DataFrame, k: int, both_strands: bool = True, seq: str = "seq", least: int = 1) -> DataFrame:
-    """Counts of k-mers; each once for both strands where canonical. Partial sums precede the shuffle."""
-    mers = reads.select(F.explode(kmers(F.col(seq), k)).alias("mer")).filter(F.col("mer").rlike("^[ACGTacgt]+$"))
-    mers = mers.select(canonical(F.col("mer")).alias("mer")) if both_strands else mers
-    out = mers.groupBy("mer").agg(F.count("*").alias("count"))
+    """Counts of k-mers, one count for both strands where canonical.
+
+    Short k-mers are few: they are counted as they stand, so that strands are compared once for each
+    distinct one. Long k-mers are mostly distinct: those are made canonical first, for one shuffle.
+    """
+    mers = reads.select(F.explode(kmers(F.col(seq), k)).alias("mer"))
+    sound = F.col("mer").rlike("^[ACGTacgt]+$")
+    if both_strands and k > SHORT:
+        mers = mers.select(canonical(F.col("mer")).alias("mer"))
+    out = mers.groupBy("mer").agg(F.count("*").alias("count")).filter(sound)
+    if both_strands and k <= SHORT:
+        out = out.groupBy(canonical(F.col("mer")).alias("mer")).agg(F.sum("count").alias("count"))
     return out.filter(F.col("count") >= least) if least > 1 else out
 
 
