@@ -234,10 +234,13 @@ def tx_structure_match(s, d):
     return chains.select(F.col("tx").alias("a_tx"), "chain").join(chains.select(F.col("tx").alias("b_tx"), "chain"), "chain").filter("a_tx < b_tx").select("a_tx", "b_tx")
 
 
-@query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx) SELECT tx, rank() OVER (ORDER BY chain) AS place FROM ch WHERE tx % 50 = 0""")
+@query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx) SELECT tx, rank() OVER (ORDER BY chain) AS place FROM ch""")
 def sort_by_intron_chain(s, d):
-    chains = _tx(s, d).filter("tx % 50 = 0").select("tx", introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
-    return chains.select("tx", F.rank().over(Window.orderBy("chain")).cast("long").alias("place"))
+    """Places by intron chain; chains are counted before they are ordered, so that one task ranks distinct ones only."""
+    chains = _tx(s, d).select("tx", introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
+    counts = chains.groupBy("chain").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("chain").rowsBetween(Window.unboundedPreceding, -1))
+    return chains.join(counts.select("chain", (F.coalesce(before, F.lit(0)) + 1).alias("place")), "chain").select("tx", "place")
 
 
 @query()
@@ -381,9 +384,9 @@ def split_rr(s, d):
     return records.split_round_robin(table(s, d, "orders"), 4, "o_orderkey").groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("SELECT id, coalesce(e.event_type, 'N') AS seq FROM (SELECT DISTINCT unnest([event_id, xor(event_id, 1)]) AS id FROM events WHERE event_id % 7 < 4) LEFT JOIN (SELECT * FROM events WHERE event_id % 7 < 4) e ON e.event_id = id")
+@query("SELECT id, coalesce(e.event_type, 'N') AS seq FROM (SELECT DISTINCT unnest([event_id, xor(event_id, 1)]) AS id FROM events WHERE value >= 50) LEFT JOIN (SELECT * FROM events WHERE value >= 50) e ON e.event_id = id")
 def missing_mates(s, d):
-    return records.add_missing_mates(table(s, d, "events").filter("event_id % 7 < 4").select(F.col("event_id").alias("id"), F.col("event_type").alias("seq")))
+    return records.add_missing_mates(table(s, d, "events").filter("value >= 50").select(F.col("event_id").alias("id"), F.col("event_type").alias("seq")))
 
 
 @query("SELECT l_suppkey AS key FROM lineitem INTERSECT SELECT s_suppkey FROM supplier EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal < 0")
@@ -425,3 +428,43 @@ _UNJOINED = "SELECT least(l_suppkey, l_partkey % 100) AS a, greatest(l_suppkey,
 def unjoined_pairs(s, d):
     x = table(s, d, "lineitem").select(F.col("l_suppkey").alias("x"), (F.col("l_partkey") % 100).alias("y"), "l_orderkey")
     return x.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_insert"))
+
+
+@query(f"WITH {K5} SELECT mer, \"count\" - 1 AS one_pass, \"count\" AS two_pass FROM kc WHERE \"count\" > 1")
+def kmer_repeated(s, d):
+    """What a Bloom filter in front of the counter leaves: one pass misses each first sight, two passes miss none."""
+    return km.count_kmers(sequences(s, d), 5, least=2).select("mer", (F.col("count") - 1).alias("one_pass"), F.col("count").alias("two_pass"))
+
+
+@query(f"""WITH {PAIRS}, q AS (SELECT b_id, a_id, ovlen, row_number() OVER (PARTITION BY b_id ORDER BY a_start, a_id) AS k FROM pairs) SELECT b_id, count(*) AS depth, max(ovlen) AS longest FROM q WHERE k <= 8 GROUP BY b_id""")
+def pileup_depth(s, d):
+    """Reads over each guide, first 8 by start: the depth limit is part of the operator."""
+    rank = F.row_number().over(Window.partitionBy("b_id").orderBy("a_start", "a_id"))
+    return _pairs(s, d).withColumn("k", rank).filter("k <= 8").groupBy("b_id").agg(F.count("*").alias("depth"), F.max("ovlen").alias("longest"))
+
+
+@query("""SELECT l_partkey AS pos, l_linenumber AS allele, count(*) FILTER (l_returnflag = 'A') AS in_a, count(*) FILTER (l_returnflag = 'N') AS in_n, count(*) FILTER (l_returnflag = 'R') AS in_r FROM lineitem GROUP BY 1, 2""")
+def site_sync(s, d):
+    """Several inputs lined up by site and allele: one aggregation in place of outer joins."""
+    x = table(s, d, "lineitem")
+    return x.groupBy(F.col("l_partkey").alias("pos"), F.col("l_linenumber").alias("allele")).agg(*(F.count_if(F.col("l_returnflag") == f).alias(f"in_{f.lower()}") for f in "ANR"))
+
+
+@query(f'WITH {PAIRS} SELECT id, "start" - 1 AS bed_start, "end" AS bed_end FROM r WHERE contig IN (3, 4) AND "start" <= (SELECT max("start") FROM r WHERE contig = 3)')
+def region_scan(s, d):
+    """Rows of some contigs up to a position: a filter that reaches the scan, and one value from a subquery."""
+    x = reads(s, d)
+    top = x.filter("contig = 3").agg(F.max("start").alias("top"))
+    return x.filter("contig in (3, 4)").join(F.broadcast(top), F.col("start") <= F.col("top")).select("id", (F.col("start") - 1).alias("bed_start"), F.col("end").alias("bed_end"))
+
+
+@query("SELECT coalesce(nullif(p_brand, '') || '|' || p_type, p_type) AS gene_id, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1")
+def gene_labels(s, d):
+    """Gene labels: id|name where both are there, else what there is."""
+    label = F.coalesce(F.concat(F.nullif(F.col("p_brand"), F.lit("")), F.lit("|"), F.col("p_type")), F.col("p_type"))
+    return table(s, d, "part").groupBy(label.alias("gene_id")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query(f"WITH {SEQ} SELECT id, regexp_replace(seq, '(.{{60}})', '\\1\n', 'g') AS body FROM seqs")
+def fasta_format(s, d):
+    return sequences(s, d).select("id", F.regexp_replace("seq", "(.{60})", "$1\n").alias("body"))
