@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 13
+#: Width of the blocks in which a contig is swept.
+BLOCK = 1 << 16
 
 
 def _binned(df: DataFrame, prefix: str, bin_size: int, keep: list[str]) -> DataFrame:
@@ -31,28 +33,86 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_size: int = BIN, slack: int = 0
     return pairs.withColumns({"b_start": F.col("b_start") + slack, "b_end": F.col("b_end") - slack}) if slack else pairs
 
 
-def clusters(df: DataFrame, gap: int, by: tuple[str, ...] = ("contig",), name: str = "cluster") -> DataFrame:
-    """Adds the number of the cluster within its contig: a new one begins past the running end + gap."""
+def _local(df: DataFrame, gap: int, by: list[str]) -> DataFrame:
+    """Rows with a sorted running reach inside each key of ``by``: ``fresh_`` where a cluster begins."""
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = (reach.isNull() | (F.col("start") > reach + gap)).cast("long")
-    return df.withColumn("fresh_", fresh).withColumn(name, F.sum("fresh_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh_")
-
-
-def merged(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """Unions of intervals whose distance is at most gap (0: they share a base; 1: they may touch)."""
-    # Rows alike say the same; dropping repeats first shrinks hot contigs.
-    rows = clusters(df.select(*by, "start", "end").distinct(), gap, by)
-    return rows.groupBy(*by, "cluster").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("cluster")
-
-
-def coverage(df: DataFrame, weight: Column | None = None, by: tuple[str, ...] = ("contig",)) -> DataFrame:
-    """Runs of constant depth, from +1 and -1 events that are summed before the sweep."""
+    return df.withColumn("fresh_", reach.isNull() | (F.col("start") > reach + gap))
+
+
+def _numbered(df: DataFrame, gap: int, by: list[str], name: str) -> DataFrame:
+    running = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    return _local(df, gap, by).withColumn(name, F.sum(F.col("fresh_").cast("long")).over(running)).drop("fresh_")
+
+
+def _pieces(df: DataFrame, gap: int, by: list[str], block: int, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Clusters of each (by, block) alone, numbered across blocks.
+
+    Rows that start together are one cluster in any case: they are combined before the shuffle. A
+    contig's window then sees pieces, of which there are at most its length / (gap + 1) plus its blocks.
+    """
+    at = [*by, "block_"]
+    totals = [F.sum(c).alias(c) for c in sums]
+    rows = df.withColumn("block_", F.floor(F.col("start") / block)).groupBy(*at, "start").agg(F.max("end").alias("end"), F.count("*").alias("n"), *totals)
+    rows = _numbered(rows, gap, at, "piece_")
+    pieces = rows.groupBy(*at, "piece_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *totals)
+    return _numbered(pieces, gap, by, "cluster_")
+
+
+def clusters(df: DataFrame, gap: int, by: tuple[str, ...] = ("contig",), name: str = "cluster", block: int | None = BIN) -> DataFrame:
+    """Adds the number of the cluster within its contig: a new one begins past the running end + gap.
+
+    With a block size a contig is swept in blocks, so that a hot one spreads over many tasks; None
+    sweeps each key in one window, for keys whose rows are few. Rows without key or interval have no
+    cluster (null) in the first case.
+    """
+    keys = list(by)
+    if block is None:
+        return _numbered(df, gap, keys, name)
+    at = [*keys, "block_"]
+    sound = " and ".join(f"`{c}` is not null" for c in [*by, "start", "end"]) + " and start <= end"
+    pieces = _pieces(df.filter(sound).select(*by, "start", "end"), gap, keys, block)
+    # a row belongs to the last piece of its block that begins at or before it
+    marks = pieces.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("cluster_").alias("c")))).alias("marks_"))
+    rows = df.withColumn("block_", F.when(F.expr(sound), F.floor(F.col("start") / block)))
+    mine = F.aggregate("marks_", F.lit(None).cast("long"), lambda a, m: F.when(m["s"] <= F.col("start"), m["c"]).otherwise(a))
+    return rows.join(marks, at, "left").withColumn(name, mine).select(*df.columns, name)
+
+
+def merged(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), sums: tuple[str, ...] = (), block: int | None = BLOCK) -> DataFrame:
+    """Unions of intervals whose distance is at most gap (0: they share a base; 1: they may touch), with
+    the number of rows and sums of columns. Blocks as in ``clusters``."""
+    keys = list(by)
+    totals = [F.sum(c).alias(c) for c in sums]
+    sound = df.filter("start <= end").select(*by, "start", "end", *sums)
+    if block is None:
+        pieces = _numbered(sound.groupBy(*by, "start").agg(F.max("end").alias("end"), F.count("*").alias("n"), *totals), gap, keys, "cluster_")
+    else:
+        pieces = _pieces(sound, gap, keys, block, sums)
+    return pieces.groupBy(*by, "cluster_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *totals).drop("cluster_")
+
+
+def coverage(df: DataFrame, weight: Column | None = None, by: tuple[str, ...] = ("contig",), block: int | None = BLOCK) -> DataFrame:
+    """Runs of constant depth, from +1 and -1 events that are summed before the sweep.
+
+    With a block size each block is swept alone, on top of the depth that the blocks before it leave:
+    the window over a whole contig sees one row a block.
+    """
     w = F.lit(1) if weight is None else weight
     events = F.explode(F.array(F.struct(F.col("start").alias("pos"), w.alias("d")), F.struct((F.col("end") + 1).alias("pos"), (-w).alias("d"))))
-    steps = df.select(*by, events.alias("e")).groupBy(*by, F.col("e.pos").alias("start")).agg(F.sum("e.d").alias("d"))
-    order = Window.partitionBy(*by).orderBy("start")
-    runs = steps.select(*by, "start", (F.lead("start").over(order) - 1).alias("end"), F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"))
+    steps = df.filter("start <= end").select(*by, events.alias("e")).groupBy(*by, F.col("e.pos").alias("start")).agg(F.sum("e.d").alias("d"))
+    if block is None:
+        at, carry, following = list(by), F.lit(0), F.lit(None).cast("long")
+    else:
+        at, carry, following = [*by, "block_"], F.coalesce("carry_", F.lit(0)), F.col("following_")
+        steps = steps.withColumn("block_", F.floor(F.col("start") / block))
+        blocks = Window.partitionBy(*by).orderBy("block_")
+        sizes = steps.groupBy(*at).agg(F.sum("d").alias("d_"), F.min("start").alias("first_"))
+        ahead = sizes.select(*at, F.sum("d_").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("carry_"), F.lead("first_").over(blocks).alias("following_"))
+        steps = steps.join(ahead, at)
+    order = Window.partitionBy(*at).orderBy("start")
+    depth = carry + F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = steps.select(*by, "start", (F.coalesce(F.lead("start").over(order), following) - 1).alias("end"), depth.alias("depth"))
     return runs.filter("depth > 0 and end is not null")
 
 
@@ -60,7 +120,7 @@ def annotate(a: DataFrame, b: DataFrame, key: str, value: str, bin_size: int = B
     """For each row of a: bases covered by the union of b, their share, hits, and distinct values of hits."""
     pairs = overlap_join(a, b, bin_size)
     cut = pairs.select(F.col(f"a_{key}").alias(key), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
-    bases = merged(cut, 0, (key,)).groupBy(key).agg(F.sum(F.col("end") - F.col("start") + 1).alias("nbp"))
+    bases = merged(cut, 0, (key,), block=None).groupBy(key).agg(F.sum(F.col("end") - F.col("start") + 1).alias("nbp"))
     hits = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("cnt"), F.array_join(F.array_sort(F.collect_set(f"b_{value}")), ",").alias("hits"))
     out = a.join(bases, key, "left").join(hits, key, "left")
     return out.withColumns({"nbp": F.coalesce("nbp", F.lit(0)), "cnt": F.coalesce("cnt", F.lit(0)), "hits": F.coalesce("hits", F.lit("."))}).withColumn("frac", F.col("nbp") / (F.col("end") - F.col("start") + 1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,17 @@ def add_missing_mates(reads: DataFrame) -> DataFrame:
 def last_per_group(df: DataFrame, key: str, *order: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*(F.desc(c) for c in order)))
     return df.withColumn("rank_", rank).filter("rank_ = 1").drop("rank_")
+
+
+def places(df: DataFrame, by: str, lead: Column, block: int = 1 << 16) -> DataFrame:
+    """Adds the place (rank) of each row by a column whose leading part, ``lead``, is a number.
+
+    Values are counted first. Ranks come from a block of leading numbers on top of the sizes of the
+    blocks before it: the one window over everything sees one row a block.
+    """
+    counts = df.groupBy(by, F.floor(lead / block).alias("block_")).agg(F.count("*").alias("n_"))
+    blocks = counts.groupBy("block_").agg(F.sum("n_").alias("size_"))
+    base = blocks.select("block_", F.coalesce(F.sum("size_").over(Window.orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy("block_").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.join(base, "block_").select(by, (F.col("base_") + before + 1).alias("place"))
+    return df.join(ranks, by)

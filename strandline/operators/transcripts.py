@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import exons_len, introns
+from .intervals import BLOCK
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -102,11 +103,12 @@ def cds_phases(exons: DataFrame, key: str) -> DataFrame:
 def features(exons: DataFrame, key: str) -> DataFrame:
     """Distinct (contig, start, end, strand) with the sorted owners and gap-free ids in sort order.
 
-    Ids come from ranks within a contig on top of the contigs before it, so no task sees all rows.
+    Ids come from ranks within a block of a contig on top of the blocks before it: the one window over
+    everything sees one row a block.
     """
-    cells = exons.groupBy("contig", "start", "end", "strand").agg(F.array_sort(F.collect_set(key)).alias("owners"))
-    counts = cells.groupBy("contig").agg(F.count("*").alias("n"))
-    base = counts.select(F.col("contig").alias("c_"), F.coalesce(F.sum("n").over(Window.orderBy("contig").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    rank = F.row_number().over(Window.partitionBy("contig").orderBy("start", "end", "strand"))
-    out = cells.withColumn("rank", rank).join(base, F.col("contig") == F.col("c_"))
-    return out.select((F.col("base") + F.col("rank")).alias("id"), "contig", "start", "end", "strand", "owners")
+    at = ["contig", "block_"]
+    cells = exons.groupBy("contig", "start", "end", "strand").agg(F.array_sort(F.collect_set(key)).alias("owners")).withColumn("block_", F.floor(F.col("start") / BLOCK))
+    counts = cells.groupBy(*at).agg(F.count("*").alias("n_"))
+    base = counts.select(*at, F.coalesce(F.sum("n_").over(Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy("start", "end", "strand"))
+    return cells.join(base, at).select((F.col("base_") + rank).alias("id"), "contig", "start", "end", "strand", "owners")

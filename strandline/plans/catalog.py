@@ -43,7 +43,13 @@ c AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + {gap} THEN 1 EL
 
 @query(f'WITH {IV}{_BUNDLES.format(t="iv", gap=200, by="contig")} SELECT contig, min("start") AS bundle_start, max("end") AS bundle_end, count(*) AS n_reads, sum(nh)::BIGINT AS sum_nh FROM c GROUP BY contig, cluster')
 def bundle_gap(s, d):
-    return intervals.clusters(iv(s, d), 200).groupBy("contig", "cluster").agg(F.min("start").alias("bundle_start"), F.max("end").alias("bundle_end"), F.count("*").alias("n_reads"), F.sum("nh").alias("sum_nh")).drop("cluster")
+    return intervals.merged(iv(s, d), 200, sums=("nh",)).select("contig", F.col("start").alias("bundle_start"), F.col("end").alias("bundle_end"), F.col("n").alias("n_reads"), F.col("nh").alias("sum_nh"))
+
+
+@query(f'WITH {IV}{_BUNDLES.format(t="iv", gap=200, by="contig")} SELECT id, contig, cluster::BIGINT AS bundle FROM c')
+def bundle_members(s, d):
+    """The bundle of each alignment, numbered within its contig."""
+    return intervals.clusters(iv(s, d), 200, name="bundle").select("id", "contig", "bundle")
 
 
 @query(f'WITH {IV}{_BUNDLES.format(t="iv", gap=0, by="contig")} SELECT contig, min("start") AS region_start, max("end") AS region_end FROM c GROUP BY contig, cluster')
@@ -155,7 +161,7 @@ sm AS (SELECT b_id, sum(n)::DOUBLE AS s1, sum(n * n)::DOUBLE AS s2 FROM dp GROUP
 def exon_cov_stats(s, d):
     cut = _pairs(s, d).select(F.col("b_id").alias("id"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
     n = F.col("end") - F.col("start") + 1
-    runs = intervals.coverage(cut, by=("id",)).groupBy("id").agg(F.sum(n * F.col("depth")).cast("double").alias("s1"), F.sum(n * F.col("depth") * F.col("depth")).cast("double").alias("s2"))
+    runs = intervals.coverage(cut, by=("id",), block=None).groupBy("id").agg(F.sum(n * F.col("depth")).cast("double").alias("s1"), F.sum(n * F.col("depth") * F.col("depth")).cast("double").alias("s2"))
     out = guides(s, d).join(runs, "id", "left")
     mean, square = F.coalesce("s1", F.lit(0.0)) / n, F.coalesce("s2", F.lit(0.0)) / n
     return out.select("id", F.round(mean, 4).alias("cov"), F.round(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 4).alias("cov_sd"))
@@ -200,7 +206,7 @@ def transcript_length(s, d):
 
 @query(f'WITH {EX}{_BUNDLES.format(t="ex", gap=1, by="tx").replace("PARTITION BY contig", "PARTITION BY tx")} SELECT tx, min("start") AS exon_start, max("end") AS exon_end FROM c GROUP BY tx, cluster')
 def exon_merge(s, d):
-    return intervals.merged(exons(s, d), 1, ("tx",)).select("tx", F.col("start").alias("exon_start"), F.col("end").alias("exon_end"))
+    return intervals.merged(exons(s, d), 1, ("tx",), block=None).select("tx", F.col("start").alias("exon_start"), F.col("end").alias("exon_end"))
 
 
 @query(f'WITH {EX}{_BUNDLES.format(t="ex", gap=51, by="tx").replace("PARTITION BY contig", "PARTITION BY tx")} SELECT tx, min("start") AS exon_start, max("end") AS exon_end FROM c GROUP BY tx, cluster')
@@ -236,11 +242,9 @@ def tx_structure_match(s, d):
 
 @query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx) SELECT tx, rank() OVER (ORDER BY chain) AS place FROM ch""")
 def sort_by_intron_chain(s, d):
-    """Places by intron chain; chains are counted before they are ordered, so that one task ranks distinct ones only."""
+    """Places by intron chain."""
     chains = _tx(s, d).select("tx", introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
-    counts = chains.groupBy("chain").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("chain").rowsBetween(Window.unboundedPreceding, -1))
-    return chains.join(counts.select("chain", (F.coalesce(before, F.lit(0)) + 1).alias("place")), "chain").select("tx", "place")
+    return records.places(chains, "chain", F.element_at("chain", 1)["start"]).select("tx", "place")
 
 
 @query()

@@ -109,3 +109,33 @@ def test_streams(spark, tmp_path):
     counts = spark.createDataFrame([("CAA", 3)], "mer string, count long")
     reads = spark.createDataFrame([("TTGC",)], ["seq"])
     assert sorted(r["count"] for r in stream_lookup(reads, counts, 3).collect()) == [0, 3]
+
+
+@pytest.mark.parametrize("block", [None, 7, 64, 1 << 16])
+def test_blocks_do_not_change_sweeps(spark, block):
+    rows = [("c" if i % 3 else "d", i * 53 % 400, i * 53 % 400 + (i * i) % 41) for i in range(60)] + [("c", 5, 5), ("c", 5, 5)]
+    df = spark.createDataFrame(rows, "contig string, start long, end long")
+    labels, unions, depth = {}, {}, {}
+    for contig in "cd":
+        reach, k = None, 0
+        for _, s, e in sorted(r for r in rows if r[0] == contig):
+            k += reach is None or s > reach + 3
+            reach = e if reach is None else max(reach, e)
+            labels.setdefault((contig, s, e), []).append(k)
+            lo, hi, n = unions.get((contig, k), (s, e, 0))
+            unions[contig, k] = (min(lo, s), max(hi, e), n + 1)
+            for p in range(s, e + 1):
+                depth[contig, p] = depth.get((contig, p), 0) + 1
+    got = intervals.clusters(df, 3, block=block).collect()
+    assert len(got) == len(rows)
+    assert all(r["cluster"] in labels[r["contig"], r["start"], r["end"]] for r in got)
+    got = intervals.merged(df.withColumn("w", F.lit(2)), 3, sums=("w",), block=block).collect()
+    assert sorted((r["contig"], r["start"], r["end"], r["n"], r["w"]) for r in got) == sorted((c, *u, 2 * u[2]) for (c, _), u in unions.items())
+    runs = intervals.coverage(df, block=block).collect()
+    assert {(r["contig"], p): r["depth"] for r in runs for p in range(r["start"], r["end"] + 1)} == depth
+
+
+def test_clusters_of_unsound_rows(spark):
+    df = spark.createDataFrame([(None, 1, 2), ("c", None, 5), ("c", 3, None), ("c", 1, 2)], "contig string, start long, end long")
+    assert sorted((r["contig"] or "", r["start"] or 0, r["cluster"]) for r in intervals.clusters(df, 0).collect() if r["cluster"]) == [("c", 1, 1)]
+    assert intervals.clusters(df, 0).count() == 4
