@@ -48,3 +48,45 @@ def reformat(seq: Column, width: int) -> Column:
 def spliced(seq: Column, exons: Column, strand: Column) -> Column:
     joined = F.array_join(F.transform(exons, lambda e: F.substring(seq, e["start"].cast("int"), (e["end"] - e["start"] + 1).cast("int"))), "")
     return F.when(strand == "-", revcomp(joined)).otherwise(joined)
+
+
+def quality_kmers(seq: Column, qual: Column, k: int, least: int, offset: int = 33) -> Column:
+    """(mer, high) of every window: high where all of its bases reach the quality ``least``."""
+    good = F.regexp_replace(qual, f"[^{_class(offset + least)}]", " ")
+    return F.transform(F.sequence(F.lit(1), F.length(seq) - k + 1), lambda i: F.struct(F.substring(seq, i, k).alias("mer"), (~F.contains(F.substring(good, i, k), F.lit(" "))).cast("int").alias("high")))
+
+
+def _class(code: int) -> str:
+    return f"\\x{{{code:x}}}-\\x{{7e}}"
+
+
+def to_genome(exons: Column, strand: Column, at: Column) -> Column:
+    """The genome position of the 1-based place ``at`` in a spliced transcript; null outside it."""
+    n = F.aggregate(exons, F.lit(0).cast("long"), lambda a, e: a + e["end"] - e["start"] + 1)
+    place = F.when(strand == "-", n - at + 1).otherwise(at).cast("long")
+    kind = "struct<left:bigint,pos:bigint>"
+
+    def step(a, e):
+        size = e["end"] - e["start"] + 1
+        hit = a["pos"].isNull() & (a["left"] >= 1) & (a["left"] <= size)
+        return F.struct((a["left"] - size).alias("left"), F.when(hit, e["start"] + a["left"] - 1).otherwise(a["pos"]).alias("pos")).cast(kind)
+
+    return F.aggregate(exons, F.struct(place.alias("left"), F.lit(None).cast("long").alias("pos")).cast(kind), step, lambda a: a["pos"])
+
+
+def to_transcript(exons: Column, strand: Column, pos: Column) -> Column:
+    """The 1-based place of a genome position in a spliced transcript; null in introns and outside."""
+    inside = F.exists(exons, lambda e: (e["start"] <= pos) & (pos <= e["end"]))
+    before = F.aggregate(exons, F.lit(0).cast("long"), lambda a, e: a + F.greatest(F.lit(0).cast("long"), F.least(e["end"], pos.cast("long")) - e["start"] + 1))
+    n = F.aggregate(exons, F.lit(0).cast("long"), lambda a, e: a + e["end"] - e["start"] + 1)
+    return F.when(inside, F.when(strand == "-", n - before + 1).otherwise(before))
+
+
+def exon_of(exons: Column, pos: Column) -> Column:
+    """The 1-based number of the exon that holds a position, 0 for none."""
+    return F.coalesce(F.array_position(F.transform(exons, lambda e: (e["start"] <= pos) & (pos <= e["end"])), True), F.lit(0))
+
+
+def pad_ends(exons: Column, by: int) -> Column:
+    """Widens the first and the last exon; a negative number takes that back."""
+    return F.transform(exons, lambda e, i: F.struct(F.when(i == 0, e["start"] - by).otherwise(e["start"]).alias("start"), F.when(i == F.size(exons) - 1, e["end"] + by).otherwise(e["end"]).alias("end")))

@@ -12,21 +12,11 @@ from ..functions.sequence import canonical, revcomp, split_at_n, translate_dna
 from ..functions.variants import genotype_class, variant_type
 from ..operators import graph, intervals, quant, records, transcripts
 from ..operators import kmers as km
+from . import annotation, assembly  # noqa: F401  (they add their queries)
 from .adapters import EX, IV, MERS, PAIRS, SEQ, TX, exons, guides, iv, merged_exons, reads, sequences, table
+from .registry import ORACLE_SQL, QUERIES, query
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 K5 = MERS.replace("{k}", "5")
 
