@@ -126,8 +126,29 @@ def annotate(a: DataFrame, b: DataFrame, key: str, value: str, bin_size: int = B
     return out.withColumns({"nbp": F.coalesce("nbp", F.lit(0)), "cnt": F.coalesce("cnt", F.lit(0)), "hits": F.coalesce("hits", F.lit("."))}).withColumn("frac", F.col("nbp") / (F.col("end") - F.col("start") + 1))
 
 
-def best_overlaps(pairs: DataFrame, key: str, margin: int = 5) -> DataFrame:
-    """Of each row's overlaps those within ``margin`` bases of the longest."""
+def best_overlaps(pairs: DataFrame, key: str, margin: int = 5, prefer: tuple[str, ...] = ()) -> DataFrame:
+    """Of each row's overlaps those with the highest ``prefer`` columns (numbers, in order), and of
+    these the ones within ``margin`` bases of the longest."""
     size = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
-    best = F.max("ovlen").over(Window.partitionBy(key))
-    return pairs.withColumn("ovlen", size).withColumn("best", best).filter(F.col("ovlen") + margin >= F.col("best"))
+    of = Window.partitionBy(key)
+    pairs = pairs.withColumn("ovlen", size)
+    if prefer:
+        rank = F.struct(*prefer)
+        pairs = pairs.withColumn("top_", F.max(rank).over(of)).filter(rank == F.col("top_")).drop("top_")
+    return pairs.withColumn("best", F.max("ovlen").over(of)).filter(F.col("ovlen") + margin >= F.col("best"))
+
+
+def overlap_share(pairs: DataFrame, share: float, both: bool = False) -> DataFrame:
+    """Pairs whose common bases are at least a share of a, or with ``both`` of either."""
+    size = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
+    pairs = pairs.withColumn("ovlen", size).filter(F.col("ovlen") >= share * (F.col("a_end") - F.col("a_start") + 1))
+    return pairs.filter(F.col("ovlen") >= share * (F.col("b_end") - F.col("b_start") + 1)) if both else pairs
+
+
+def first_annotations(pairs: DataFrame, key: str, value: str, most: int, *order: str) -> DataFrame:
+    """The first ``most`` values of each key, joined by commas: an option of the operator. Ranks are
+    cut before values are gathered, so that no group grows past the limit."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    kept = pairs.withColumn("k_", rank).filter(F.col("k_") <= most)
+    hits = F.array_sort(F.collect_list(F.struct("k_", F.col(value).cast("string").alias("v_"))))
+    return kept.groupBy(key).agg(F.array_join(F.transform(hits, lambda h: h["v_"]), ",").alias("hits"))

@@ -54,6 +54,12 @@ def quality_counts(occurrences: DataFrame, most: int) -> DataFrame:
     return out.select("mer", F.least(F.lit(most), F.when(F.col("hq") == 1, F.col("s")).otherwise(F.col("n"))).alias("count"), "hq")
 
 
+def quality_totals(counted: DataFrame, most: int) -> DataFrame:
+    """As ``quality_counts``, from (mer, high, n) that is counted already."""
+    out = counted.groupBy("mer").agg(F.max("high").alias("hq"), F.sum(F.col("high") * F.col("n")).alias("s"), F.sum("n").alias("n"))
+    return out.select("mer", F.least(F.lit(most), F.when(F.col("hq") == 1, F.col("s")).otherwise(F.col("n"))).alias("count"), "hq")
+
+
 def nx(sizes: DataFrame, shares: tuple[int, ...] = (10, 25, 50, 90), size: str = "size", genome: int | None = None) -> DataFrame:
     """Nx for each share, of all sizes or a genome's; null where unreachable. Sizes are counted before they are ordered."""
     counts = sizes.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n"))

@@ -112,3 +112,16 @@ def features(exons: DataFrame, key: str) -> DataFrame:
     base = counts.select(*at, F.coalesce(F.sum("n_").over(Window.orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
     rank = F.row_number().over(Window.partitionBy(*at).orderBy("start", "end", "strand"))
     return cells.join(base, at).select((F.col("base_") + rank).alias("id"), "contig", "start", "end", "strand", "owners")
+
+
+def expressed(tx: DataFrame, gene: str, cov: str, share: float = 0.01, least: float = 1.0) -> DataFrame:
+    """Transcripts with at least ``least`` coverage and a share of their gene's best."""
+    top = F.max(cov).over(Window.partitionBy(gene))
+    return tx.withColumn("top_", top).filter((F.col(cov) >= least) & (F.col(cov) >= share * F.col("top_"))).drop("top_")
+
+
+def merge_by_chain(tx: DataFrame, key: str) -> DataFrame:
+    """Transcripts of several exons with one intron chain become one with the widest ends: contig,
+    strand, chain, start, end, n, first_<key>."""
+    x = tx.select(key, "contig", "strand", "start", F.array_max(F.transform("exons", lambda e: e["end"])).alias("end"), introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
+    return x.groupBy("contig", "strand", "chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min(key).alias(f"first_{key}"))

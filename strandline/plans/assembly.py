@@ -1,0 +1,61 @@
+"""Queries of k-mer graphs, read correction and paths; those without SQL are tested on fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import graph, unitigs
+from ..operators import kmers as km
+from .adapters import sequences, table
+from .registry import query
+
+
+@query()
+def unitig_build(s, d):
+    """Unitigs of the 13-mers of all sequences that occur at least twice."""
+    return unitigs.build(km.count_kmers(sequences(s, d), 13, least=2), 13)
+
+
+@query()
+def read_correction(s, d):
+    """All sequences against their own trusted 13-mers, two rounds."""
+    x = sequences(s, d)
+    return unitigs.correct_reads(x, km.count_kmers(x, 13), 13, 3, rounds=2)
+
+
+_PART = "e AS (SELECT p_partkey AS gene, p_brand AS contig, p_partkey * 10 AS l, p_partkey * 10 + p_size * 2 AS r FROM part)"
+
+
+@query(f"""WITH {_PART}, w AS (SELECT *, max(r) OVER (PARTITION BY contig ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM e), c AS (SELECT *, sum(CASE WHEN reach IS NULL OR l > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM w)
+SELECT gene, min(gene) OVER (PARTITION BY contig, k) AS cluster FROM c""")
+def gene_clusters(s, d):
+    """Genes joined by overlapping exons; here each gene has one exon."""
+    start = F.col("p_partkey") * 10
+    e = table(s, d, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("contig"), F.lit("+").alias("strand"), start.alias("start"), (start + F.col("p_size") * 2).alias("end"))
+    return graph.gene_clusters(e)
+
+
+_PATHS = "us AS (SELECT l_orderkey AS id, l_linenumber AS at, (l_suppkey % 7)::VARCHAR || CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'R' END AS u FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT id, list(u ORDER BY at, u) AS path FROM us GROUP BY 1)"
+
+
+def _paths(s, d):
+    """Orders as paths of unitigs."""
+    x = table(s, d, "lineitem").filter("l_linenumber <= 3")
+    unit = F.concat((F.col("l_suppkey") % 7).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "F").otherwise("R"))
+    return x.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", unit.alias("u")))).alias("us")).select("id", F.transform("us", lambda u: u["u"]).alias("path"))
+
+
+@query(f"WITH {_PATHS} SELECT array_to_string(path, '_') AS path, array_to_string(list_transform(list_reverse(path), lambda x: substr(x, 1, length(x) - 1) || CASE WHEN x LIKE '%F' THEN 'R' ELSE 'F' END), '_') AS back, count(*) AS n FROM p GROUP BY ALL")
+def path_reversal(s, d):
+    """Names of paths and of the same paths read from the other end."""
+    x = _paths(s, d)
+    return x.groupBy(F.array_join("path", "_").alias("path"), F.array_join(graph.flipped(F.col("path")), "_").alias("back")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_PATHS}, q AS (SELECT path, min(id) AS id FROM p GROUP BY path), r AS (SELECT path, id, 'F' AS direction FROM q UNION ALL SELECT list_transform(list_reverse(path), lambda x: substr(x, 1, length(x) - 1) || CASE WHEN x LIKE '%F' THEN 'R' ELSE 'F' END), id, 'R' FROM q),
+h AS (SELECT r.id, q.id AS container, r.direction, o FROM r JOIN q ON len(q.path) > len(r.path) AND q.id <> r.id, unnest(range(0, len(q.path) - len(r.path) + 1)) AS u(o) WHERE q.path[o + 1 : o + len(r.path)] = r.path),
+m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY container, direction, o) AS k FROM h) SELECT id, container, direction, o::INT AS "offset" FROM m WHERE k = 1""")
+def path_reduction(s, d):
+    """Distinct paths that lie in a longer one, in either direction."""
+    x = _paths(s, d).groupBy("path").agg(F.min("id").alias("id"))
+    return graph.reduced(x, both=True).withColumnRenamed("read", "id")
