@@ -35,7 +35,7 @@ def gene_clusters(s, d):
     return graph.gene_clusters(e)
 
 
-_PATHS = "us AS (SELECT l_orderkey AS id, l_linenumber AS at, (l_suppkey % 7)::VARCHAR || CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'R' END AS u FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT id, list(u ORDER BY at, u) AS path FROM us GROUP BY 1)"
+_PATHS = "us AS (SELECT l_orderkey AS id, l_linenumber AS k, (l_suppkey % 7)::VARCHAR || CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'R' END AS u FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT id, list(u ORDER BY k, u) AS path FROM us GROUP BY 1)"
 
 
 def _paths(s, d):
