@@ -76,3 +76,9 @@ def library_strand(strand: Column, flag: Column, kind: str) -> Column:
     second = has(flag, "paired") & has(flag, "read2")
     plus = (has(flag, "reverse") == second) if kind == "fr" else (has(flag, "reverse") != second)
     return F.when(strand != ".", strand).when(plus, "+").otherwise("-")
+
+
+def coverage_tag(zs: Column) -> Column:
+    """The tag cov|fpkm|tpm as numbers; -1 for what is missing."""
+    parts = F.split(zs, r"\|")
+    return F.struct(*(F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("double"), F.lit(-1.0)).alias(n) for i, n in enumerate(("cov", "fpkm", "tpm"), 1)))

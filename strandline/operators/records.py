@@ -55,3 +55,26 @@ def places(df: DataFrame, by: str, lead: Column, block: int = 1 << 16) -> DataFr
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("block_").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = counts.join(base, "block_").select(by, (F.col("base_") + before + 1).alias("place"))
     return df.join(ranks, by)
+
+
+def interleave(first: DataFrame, second: DataFrame, at: str = "ord") -> DataFrame:
+    """Mates in turn: row n of the first input becomes 2n, of the second 2n + 1; a row without its mate
+    ends the query."""
+    a, b = (f.select(F.col(at), F.struct(*(f[c] for c in f.columns if c != at)).alias(n)) for f, n in ((first, "a"), (second, "b")))
+    both = a.join(b, at, "full")
+    whole = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.array("a", "b")).otherwise(F.raise_error(F.concat(F.lit("no mate at "), F.col(at).cast("string"))))
+    return both.select(F.col(at), F.posexplode(whole).alias("mate", "row")).select((F.col(at) * 2 + F.col("mate")).alias(at), "row.*")
+
+
+def ordered(df: DataFrame, column: str, how: str = "text", seed: int = 0) -> DataFrame:
+    """Sorted by a header: as text, without case, by its first number (none comes last), or at random."""
+    c = F.col(column)
+    number = F.nullif(F.regexp_extract(c, r"-?\d+(?:\.\d+)?", 0), F.lit("")).cast("double")
+    keys = {"text": [c], "nocase": [F.lower(c), c], "number": [number.asc_nulls_last(), c], "random": [F.xxhash64(c, F.lit(seed)), c]}
+    return df.orderBy(*keys[how])
+
+
+def sample(df: DataFrame, share: float, seed: int, invert: bool = False) -> DataFrame:
+    """A Bernoulli sample, or what it leaves; the same rows for the same seed and partitions."""
+    hit = F.rand(seed) < share
+    return df.filter(~hit if invert else hit)

@@ -98,3 +98,81 @@ def merged_inputs(*frames: DataFrame) -> DataFrame:
     for f in tagged[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.orderBy("contig", "start", "end", "file_idx")
+
+
+def tlf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Transcript lines: one row a transcript, its exons in the attribute ``exons=1-10,20-30`` and its
+    coding span in ``CDS=5:25``; lines without exons are left out."""
+    rows = gff(spark, paths).withColumn("list_", F.try_element_at("attrs", F.lit("exons"))).filter("list_ is not null")
+    cds = F.split(F.try_element_at("attrs", F.lit("CDS")), "[:,-]")
+    spans = F.transform(F.split("list_", ","), lambda x: F.struct(F.substring_index(x, "-", 1).cast("long").alias("start"), F.substring_index(x, "-", -1).cast("long").alias("end")))
+    return rows.withColumns({"exons": F.array_sort(spans), "cds_start": F.try_element_at(cds, F.lit(1)).try_cast("long"), "cds_end": F.try_element_at(cds, F.lit(-1)).try_cast("long")}).drop("list_")
+
+
+def _fastq_ranges(spark: SparkSession, paths: list[str], span: int) -> DataFrame:
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    packed_ = F.col("path").rlike(r"\.(gz|bz2)$")
+    cuts = F.when(packed_, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(span).cast("long")))
+    ranges = files.select("path", F.explode(cuts).alias("at"), F.when(packed_, F.lit(1 << 62)).otherwise(F.lit(span)).cast("long").alias("span"))
+    return ranges.repartition(max(1, spark.sparkContext.defaultParallelism), "path", "at")
+
+
+def fastq(spark: SparkSession, paths: str | list[str], span: int = 64 << 20) -> DataFrame:
+    """FASTQ records of four lines: path, at (byte of the record), name, header, seq, qual.
+
+    Files are read in ranges of ``span`` bytes, each from its first record on; a packed file is one
+    range. A range's first record is the first line with ``@`` whose second next has ``+`` and whose
+    sequence and quality agree in length, as ``@`` may also begin a quality line.
+    """
+    import pyarrow as pa
+
+    def lines(path: str, at: int):
+        from pyarrow import fs
+
+        system, name = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+        with system.open_input_stream(name) if name.endswith((".gz", ".bz2")) else system.open_input_file(name) as raw:
+            if at:
+                raw.seek(at - 1)
+            rest, pos = b"", max(at - 1, 0)
+            while block := raw.read(1 << 20):
+                *whole, rest = (rest + block).split(b"\n")
+                for line in whole:
+                    yield pos, line.removesuffix(b"\r")
+                    pos += len(line) + 1
+            if rest:
+                yield pos, rest.removesuffix(b"\r")
+
+    def records(path: str, at: int, span: int):
+        held = []
+        feed = lines(path, at)
+        if at:
+            next(feed, None)  # the end of a line that began in the range before
+        for pos, line in feed:
+            held.append((pos, line))
+            if len(held) < 4:
+                continue
+            (begin, head), (_, seq), (_, plus), (_, qual) = held
+            if head[:1] == b"@" and plus[:1] == b"+" and len(seq) == len(qual):
+                if begin >= at + span:
+                    return
+                yield begin, head[1:].decode(), seq.decode(), qual.decode()
+                held = []
+            else:
+                held.pop(0)
+
+    def run(batches):
+        schema = pa.schema([("path", pa.string()), ("at", pa.int64()), ("header", pa.string()), ("seq", pa.string()), ("qual", pa.string())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = []
+                for r in records(row["path"], row["at"], row["span"]):
+                    out.append((row["path"], *r))
+                    if len(out) == 4096:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                        out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    ranges = _fastq_ranges(spark, [paths] if isinstance(paths, str) else paths, span)
+    rows = ranges.mapInArrow(run, "path string, at long, header string, seq string, qual string")
+    return rows.select("path", "at", F.regexp_extract("header", r"^\S*", 0).alias("name"), "header", "seq", "qual")

@@ -62,3 +62,30 @@ def sam(alignments: DataFrame) -> DataFrame:
 def vcf(variants: DataFrame) -> DataFrame:
     info = F.array_join(F.transform(F.array_sort(F.map_entries("info")), lambda e: F.when(e["value"].isNull(), e["key"]).otherwise(F.concat(e["key"], F.lit("="), e["value"]))), ";")
     return variants.select(_line(F.col("chrom"), F.col("pos"), F.col("id"), F.col("ref"), F.nullif(F.array_join("alts", ","), F.lit("")), F.col("qual"), F.array_join("filters", ";"), F.nullif(info, F.lit(""))))
+
+
+def fastq(reads: DataFrame) -> DataFrame:
+    return reads.select(F.concat(F.lit("@"), "name", F.lit("\n"), "seq", F.lit("\n+\n"), "qual").alias("value"))
+
+
+def legend(clusters: DataFrame, cluster: str, member: str) -> DataFrame:
+    """``cluster,member|member|...``; members in order."""
+    return clusters.groupBy(cluster).agg(F.array_join(F.array_sort(F.collect_set(F.col(member).cast("string"))), "|").alias("m")).select(F.concat_ws(",", F.col(cluster).cast("string"), "m").alias("value"))
+
+
+def as_alignments(tx: DataFrame) -> DataFrame:
+    """Transcripts (qname, contig, strand, exons, cov, fpkm, tpm) as alignments: M over exons and N over
+    introns, the strand in XS and the three numbers in ZS."""
+    gap = F.zip_with(F.slice("exons", 1, F.size("exons") - 1), F.slice("exons", 2, F.size("exons") - 1), lambda a, b: F.concat((b["start"] - a["end"] - 1).cast("string"), F.lit("N")))
+    match = F.transform("exons", lambda e: F.concat((e["end"] - e["start"] + 1).cast("string"), F.lit("M")))
+    # what stands before each exon: nothing, then the introns
+    cigar = F.array_join(F.zip_with(F.concat(F.array(F.lit("")), gap), match, lambda a, b: F.concat(a, b)), "")
+    return tx.select(
+        "qname", F.lit(0).alias("flag"), "contig", F.element_at("exons", 1)["start"].alias("start"), F.lit(255).alias("mapq"), cigar.alias("cigar"), F.when(F.col("strand") != ".", F.col("strand")).alias("xs"),
+        F.concat_ws("|", *(F.format_string("%.6f", F.col(c).cast("double")) for c in ("cov", "fpkm", "tpm"))).alias("zs"),
+    )
+
+
+def coverage_sam(alignments: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(qname, value) SAM lines with the coverage of their target as ``YK:f:``; none where it has no coverage."""
+    return alignments.join(coverage.select("qname", "cov"), "qname").select(F.concat("value", F.lit("\tYK:f:"), F.format_string("%.6f", F.col("cov").cast("double"))).alias("value"))
