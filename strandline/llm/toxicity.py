@@ -7,7 +7,8 @@ learned from labelled rows: greedy cover of toxic rows by precise features, each
 several different contexts, so that copies of one text count once. A text's score is the noisy-or
 of the precisions of the distinct features it holds.
 
-Fitting reads a bounded sample of labelled rows (about ``sample`` of each mark). Defined results:
+The character model counts the words of all texts, labelled or not, without their labels. The
+lexicon is fitted on a bounded sample of labelled rows (about ``sample`` of each mark). Defined results:
 null and empty texts have score 0; without learnable rows all scores are 0; repeated rows score
 alike; labels, language, source and id are never inputs of a score.
 """
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
@@ -24,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import arrow_map, pieces
 from .sampling import bounded_sample
 
 SAMPLE, PREDICT, COVER, SUPPORT = 1500, 0.7, 4, 3
+#: Counters of the character model; distinct tokens or trigrams that a task holds before it passes them on.
+COUNTERS, HELD = 1 << 20, 1 << 16
 #: Least precision of a word, and of a word's beginning, which many clean words may share.
 PRECISION, BEGINNING = 0.74, 0.97
 #: What letters a sign may stand for.
@@ -41,31 +45,23 @@ _CLEAN = re.compile(r"[\W\d_]+")
 
 
 class CharModel:
-    """Character trigrams with backoff, over letters and word edges."""
+    """Character trigrams with backoff, over letters and word edges.
 
-    def __init__(self, words: Counter[str]):
-        self.three, self.two, self.one = Counter(), Counter(), Counter()
-        for w, n in words.items():
-            s = "^^" + w + "$"
-            for i in range(2, len(s)):
-                self.three[s[i - 2 : i + 1]] += n
-                self.two[s[i - 1 : i + 1]] += n
-                self.one[s[i]] += n
-        self.before3, self.before2 = Counter(), Counter()
-        for k, n in self.three.items():
-            self.before3[k[:2]] += n
-        for k, n in self.two.items():
-            self.before2[k[0]] += n
-        self.total = sum(self.one.values())
+    ``counts`` holds a counter for each hashed key: a trigram, its last two letters, its last, and
+    with a ``<`` the contexts of the first two. So its size does not follow the alphabet or the corpus.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+
+    def seen(self, key: str) -> float:
+        return float(self.counts[zlib.crc32(key.encode()) & len(self.counts) - 1])
 
     @lru_cache(1 << 16)  # noqa: B019
     def cost(self, a: str, b: str, c: str) -> float:
-        p1 = (self.one[c] + 0.5) / (self.total + 200)
-        p2 = (self.two[b + c] + 4 * p1) / (self.before2[b] + 4)
-        return -math.log((self.three[a + b + c] + 4 * p2) / (self.before3[a + b] + 4))
-
-    def __reduce__(self):
-        return _model, (dict(self.three), dict(self.two), dict(self.one))
+        p1 = (self.seen(c) + 0.5) / (self.seen("") + 200)
+        p2 = (self.seen(b + c) + 4 * p1) / (self.seen("<" + b) + 4)
+        return -math.log((self.seen(a + b + c) + 4 * p2) / (self.seen("<" + a + b) + 4))
 
     def decode(self, token: str) -> str:
         """The likeliest word behind a token, by Viterbi over its lattice."""
@@ -101,17 +97,55 @@ class CharModel:
         return "".join(reversed(out))
 
 
-def _model(three, two, one) -> CharModel:
-    out = CharModel(Counter())
-    out.three, out.two, out.one = Counter(three), Counter(two), Counter(one)
-    for k, n in three.items():
-        out.before3[k[:2]] += n
-    for k, n in two.items():
-        out.before2[k[0]] += n
-    out.total = sum(one.values())
+def trigrams(tokens: Counter[str]) -> Counter[str]:
+    """Trigrams of the tokens that are words, as often as their tokens are."""
+    out: Counter[str] = Counter()
+    for token, n in tokens.items():
+        w = token.strip(_EDGE + "!")
+        if w.isalpha():
+            s = "^^" + w + "$"
+            for i in range(len(s) - 2):
+                out[s[i : i + 3]] += n
     return out
 
 
+def char_model(docs: DataFrame, counters: int = COUNTERS) -> CharModel:
+    """Counts over the words of all texts of ``docs``; ``counters``: a power of two.
+
+    A task folds its texts into trigrams first, so what is shuffled is small; the driver gets at
+    most ``counters`` numbers.
+    """
+
+    def run(batches):
+        tokens, grams = Counter(), Counter()
+
+        def emit():
+            out = pa.RecordBatch.from_arrays([pa.array([*grams], pa.string()), pa.array([*grams.values()], pa.int64())], ["gram", "n"])
+            grams.clear()
+            return out
+
+        for batch in batches:
+            for piece in pieces(batch):
+                for text in piece["text"].to_pylist():
+                    tokens.update(text.lower().split())
+                if len(tokens) > HELD:
+                    grams.update(trigrams(tokens))
+                    tokens.clear()
+                if len(grams) > HELD:
+                    yield emit()
+        grams.update(trigrams(tokens))
+        yield emit()
+
+    grams = docs.select("text").filter("text is not null").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    g = F.col("gram")
+    keys = F.explode(F.array(g, F.substring(g, 2, 2), F.substring(g, 3, 1), F.concat(F.lit("<"), F.substring(g, 1, 2)), F.concat(F.lit("<"), F.substring(g, 2, 1)), F.lit("")))
+    at = F.crc32(F.col("key").cast("binary")).bitwiseAND(F.lit(counters - 1))
+    rows = grams.select(keys.alias("key"), "n").groupBy(at.alias("at")).agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(counters, np.float32)
+    counts[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return CharModel(counts)
+
+
 def restored(text: str, model: CharModel, memo: dict[str, str]) -> tuple[list[str], list[str]]:
     """(tokens of the text, restored where odd; words that letters spaced apart spell)."""
     low = text.lower()
@@ -138,15 +172,10 @@ def features(w: str) -> tuple[str, ...]:
     return (w, w[:4] + "*", w[:5] + "*") if len(w) > 5 else (w, w[:4] + "*") if len(w) == 5 else (w,)
 
 
-def learn(rows: list[tuple[bytes, int]], weight: dict[int, float] | None = None) -> tuple[CharModel, dict[str, float]] | None:
-    """The character model and the lexicon (feature -> precision). weight: rows that one of a mark stands for."""
+def learn(rows: list[tuple[bytes, int]], model: CharModel, weight: dict[int, float] | None = None) -> dict[str, float]:
+    """The lexicon (feature -> precision). weight: rows that one of a mark stands for."""
     texts = [(t.decode(), int(y)) for t, y in rows]
-    if not any(y for _, y in texts):
-        return None
-    words: Counter[str] = Counter()
-    for t, _ in texts:
-        words.update(w for w in (x.strip(_EDGE + "!") for x in t.lower().split()) if w.isalpha())
-    model, memo = CharModel(words), {}
+    memo: dict[str, str] = {}
     ones: dict[str, set[int]] = defaultdict(set)
     contexts: dict[str, set[int]] = defaultdict(set)
     zeros: Counter[str] = Counter()
@@ -186,7 +215,7 @@ def learn(rows: list[tuple[bytes, int]], weight: dict[int, float] | None = None)
             continue
         lexicon[f] = p[f]
         covered[list(ones[f])] += 1
-    return model, lexicon
+    return lexicon
 
 
 def score(text: str | None, model: CharModel, lexicon: dict[str, float], memo: dict[str, str]) -> float:
@@ -208,13 +237,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, predict:
     rows = bounded_sample(docs, marks, "toxic", sample)
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     taken = Counter(y for _, y in rows)
-    learned = learn(rows, {y: counts[y] / taken[y] for y in taken})
+    model = char_model(docs) if any(y for _, y in rows) else None
+    lexicon = learn(rows, model, {y: counts[y] / taken[y] for y in taken}) if model else {}
 
     def make():
         memo: dict[str, str] = {}
 
         def work(batch):
-            values = [score(t, *learned, memo) if learned else 0.0 for t in batch["text"].to_pylist()]
+            values = [score(t, model, lexicon, memo) if model else 0.0 for t in batch["text"].to_pylist()]
             return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.float64()), pa.array([int(v >= predict) for v in values], pa.int32())], ["doc_id", "score", "predicted"])
 
         return work

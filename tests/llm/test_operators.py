@@ -183,12 +183,26 @@ def test_rules_equal_brute_force(spark):
 def test_toxicity_restores(spark):
     clean = [f"plain words number {chr(97 + i % 26)}{chr(97 + i // 26)}xy go on and on" for i in range(60)]
     rude = [f"{a} idiot go {b} moron on" for a in ("what", "see", "look", "oh") for b in ("that", "this", "my", "no")]
-    learned = toxicity.learn([(t.encode(), 0) for t in clean] + [(t.encode(), 1) for t in rude])
+    model = toxicity.char_model(docs_of(spark, [*clean, *rude, None, ""]))
+    learned = model, toxicity.learn([(t.encode(), 0) for t in clean] + [(t.encode(), 1) for t in rude], model)
     for t in ("you 1d10t", "a m o r o n you", "m o r o n", "m.o.r.o.n", "idiooooot"):
         assert toxicity.score(t, *learned, {}) >= 0.7, t
     assert toxicity.score("plain words go on", *learned, {}) < 0.2
 
 
+def test_character_model_counts_all_texts(spark):
+    texts = [LONG, "ab ab, abc", "xx? 1a", None, ""]
+    model = toxicity.char_model(docs_of(spark, texts).repartition(3))
+    want = Counter()
+    for w in " ".join(t or "" for t in texts).split():
+        w = w.strip("?,")
+        if w.isalpha():
+            for a, b, c in zip("^^" + w, "^" + w, w + "$"):
+                want.update([a + b + c, b + c, c, "<" + a + b, "<" + b, ""])
+    assert {k: model.seen(k) for k in want} == want
+    assert model.seen("zzz") == 0
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.01"
     got = queries.op4_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").collect()
