@@ -30,6 +30,11 @@ def sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     p = F.split("value", "\t")
     names = (("qname", "string"), ("flag", "int"), ("contig", "string"), ("start", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string"))
     rows = _lines(spark, paths, "@").select(*(F.element_at(p, k + 1).cast(t).alias(n) for k, (n, t) in enumerate(names)), *(_tag(p, t).alias(t.lower()) for t in ("NH", "HI", "NM", "XS", "ts")))
+    return with_blocks(rows)
+
+
+def with_blocks(rows: DataFrame) -> DataFrame:
+    """Alignments with their number of hits, end, exon blocks and strand."""
     start, cigar = F.col("start"), F.col("cigar")
     return rows.withColumns({"nh": hits(F.col("nh").cast("int")), "end": end_pos(start, cigar), "exons": exons(start, cigar), "strand": splice_strand(F.col("xs"), F.col("ts"), F.col("flag"))})
 
