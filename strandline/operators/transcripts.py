@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import exons_len, introns
-from .intervals import BLOCK
+from .intervals import BLOCK, clusters
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -93,6 +93,26 @@ def nascents(tx: DataFrame) -> DataFrame:
     return out.withColumn("exons", F.when(F.col("strand") == "-", back).otherwise(fore)).withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
 
 
+def distinct_nascents(tx: DataFrame, *order: str, share: float = 0.99, reach: int = 70) -> DataFrame:
+    """Nascents without those that match the structure of one kept before, on either strand.
+
+    ``order`` ranks the transcripts; nascents of one follow by step. What can match has the same
+    introns, or lies in the same cluster of single exons: each such group is gone through in order,
+    after equal exons have become one row. Rows without a contig are left out.
+    """
+    rows = nascents(tx.filter("contig is not null")).withColumns({"rank_": F.struct(*order, "step"), "chain_": introns(F.col("exons"))})
+    single = clusters(rows.filter("size(exons) = 1"), 0, name="cluster_", block=BLOCK)
+    rows = single.unionByName(rows.filter("size(exons) > 1").withColumn("cluster_", F.lit(None).cast("long")))
+    same = ["contig", "chain_", "cluster_"]
+    first = rows.groupBy(*same, "exons").agg(F.min("rank_").alias("rank_"))
+    held = F.struct("rank_", "exons")
+    group = first.groupBy(*same).agg(F.array_sort(F.collect_list(held)).alias("g"))
+    none = F.filter("g", lambda x: F.lit(False))
+    kept = F.aggregate("g", none, lambda a, x: F.when(F.exists(a, lambda y: structure_match(x["exons"], y["exons"], share, reach)), a).otherwise(F.concat(a, F.array(x))))
+    chosen = group.select("contig", F.explode(kept).alias("k")).select("contig", F.col("k.rank_").alias("rank_"))
+    return rows.join(chosen, ["contig", "rank_"], "left_semi").drop("rank_", "chain_", "cluster_")
+
+
 def cds_phases(exons: DataFrame, key: str) -> DataFrame:
     """Exon rows with the phase of each: what the bases before it in reading direction leave over."""
     order = Window.partitionBy(key).orderBy(F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start")), "start", "end")

@@ -1,5 +1,7 @@
 """The filter language, class codes and nascents, streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,34 @@ def test_clusters_of_unsound_rows(spark):
     df = spark.createDataFrame([(None, 1, 2), ("c", None, 5), ("c", 3, None), ("c", 1, 2)], "contig string, start long, end long")
     assert sorted((r["contig"] or "", r["start"] or 0, r["cluster"]) for r in intervals.clusters(df, 0).collect() if r["cluster"]) == [("c", 1, 1)]
     assert intervals.clusters(df, 0).count() == 4
+
+
+def test_distinct_nascents_equal_brute_force(spark):
+    rng, rows = random.Random(5), []
+    for i in range(120):
+        at, exons = rng.choice((100, 105, 180, 5000)), []
+        for _ in range(rng.randint(1, 4)):
+            exons.append((at, at + rng.choice((400, 402, 480))))
+            at = exons[-1][1] + rng.choice((300, 301))
+        rows.append((i, rng.choice("ab"), rng.choice("+-."), exons))
+    tx = spark.createDataFrame(rows, f"id long, contig string, strand string, exons {transcripts.EXONS}")
+
+    def match(a, b):
+        if len(a) != len(b):
+            return False
+        if len(a) == 1:
+            (s, e), (u, v) = a[0], b[0]
+            return (min(e, v) - max(s, u) + 1) / max(e - s + 1, v - u + 1) >= 0.99
+        inner = lambda x: [(p[1], q[0]) for p, q in zip(x, x[1:])]
+        return inner(a) == inner(b) and abs(a[0][0] - b[0][0]) <= 70 and abs(a[-1][1] - b[-1][1]) <= 70
+
+    kept = []
+    for i, contig, strand, x in rows:
+        n = len(x)
+        for step in range(1, n):
+            new = [(x[n - 1 - step][1] + 1, x[n - step][1]), *x[n - step + 1 :]] if strand == "-" else [*x[: step - 1], (x[step - 1][0], x[step][0] - 1)]
+            if not any(c == contig and match(new, y) for _, _, c, y in kept):
+                kept.append((i, step, contig, new))
+    got = transcripts.distinct_nascents(tx, "id").collect()
+    assert sorted((r["id"], r["step"], r["contig"], [tuple(e) for e in r["exons"]]) for r in got) == sorted(kept)
+    assert transcripts.distinct_nascents(tx.limit(0), "id").count() == 0
