@@ -26,3 +26,13 @@ def genotype_class(a: Column, b: Column) -> Column:
     return (
         F.when(a.isNull(), "UNKN").when(b.isNull(), "HAPL").when((a == 0) & (b == 0), "HOM_RR").when(a == b, "HOM_AA").when((a == 0) | (b == 0), "HET_RA").otherwise("HET_AA")
     )
+
+
+def trimmed_alleles(alleles: Column, genotypes: Column) -> Column:
+    """(alleles, genotypes) without the alternatives that no genotype has; allele numbers (arrays, null
+    for a missing one) are given anew. The reference allele always stays."""
+    used = F.array_distinct(F.flatten(genotypes))
+    kept = F.filter(F.transform(alleles, lambda a, i: F.struct(i.alias("old"), a.alias("allele"))), lambda x: (x["old"] == 0) | F.exists(used, lambda u: u == x["old"]))
+    olds = F.transform(kept, lambda x: x["old"])
+    renumbered = F.transform(genotypes, lambda g: F.transform(g, lambda n: F.when(n.isNotNull(), (F.array_position(olds, n.cast("int")) - 1).cast("int"))))
+    return F.struct(F.transform(kept, lambda x: x["allele"]).alias("alleles"), renumbered.alias("genotypes"))
