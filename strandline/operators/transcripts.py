@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import exons_len, introns
 from .intervals import BLOCK, clusters
+from .stored import stored
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -93,24 +96,55 @@ def nascents(tx: DataFrame) -> DataFrame:
     return out.withColumn("exons", F.when(F.col("strand") == "-", back).otherwise(fore)).withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
 
 
+def _first_kept(rows, share: float, reach: int):
+    """Of spans in order, whether each matches none kept before. Kept spans lie in buckets by length and
+    start, or by both ends, so that a span is compared with those near it only."""
+    base = max(1 / share, 1 + 1e-9)
+    width = lambda c: int((1 - share) * base ** (c + 3)) + 1
+    kept: dict[tuple, list[tuple[int, int]]] = {}
+    out = []
+    for s, e, one in zip(rows["start"], rows["end"], rows["one"], strict=True):
+        if one:
+            c = int(math.log(e - s + 1) / math.log(base))
+            own = (c, s // width(c))
+            near = [(d, s // width(d) + k) for d in range(c - 2, c + 3) for k in (-1, 0, 1)]
+            alike = lambda u, v: (min(e, v) - max(s, u) + 1) / max(e - s + 1, v - u + 1) >= share  # noqa: B023, E731
+        else:
+            w = reach + 1
+            own = (s // w, e // w)
+            near = [(own[0] + i, own[1] + k) for i in (-1, 0, 1) for k in (-1, 0, 1)]
+            alike = lambda u, v: abs(s - u) <= reach and abs(e - v) <= reach  # noqa: B023, E731
+        new = not any(alike(u, v) for key in near for u, v in kept.get(key, ()))
+        if new:
+            kept.setdefault(own, []).append((s, e))
+        out.append(new)
+    return out
+
+
 def distinct_nascents(tx: DataFrame, *order: str, share: float = 0.99, reach: int = 70) -> DataFrame:
     """Nascents without those that match the structure of one kept before, on either strand.
 
     ``order`` ranks the transcripts; nascents of one follow by step. What can match has the same
-    introns, or lies in the same cluster of single exons: each such group is gone through in order,
-    after equal exons have become one row. Rows without a contig are left out.
+    introns, or lies in the same cluster of single exons: each such group is gone through in order, in
+    time linear in its distinct spans, of which one task holds a group's. Rows without a contig, and those of
+    overlapping exons whose span would be empty, are left out.
     """
-    rows = nascents(tx.filter("contig is not null")).withColumns({"rank_": F.struct(*order, "step"), "chain_": introns(F.col("exons"))})
-    single = clusters(rows.filter("size(exons) = 1"), 0, name="cluster_", block=BLOCK)
-    rows = single.unionByName(rows.filter("size(exons) > 1").withColumn("cluster_", F.lit(None).cast("long")))
+    rows = nascents(tx.filter("contig is not null")).filter("start <= end").withColumns({"rank_": F.struct(*order, "step"), "chain_": introns(F.col("exons")), "one": F.size("exons") == 1})
+    single = clusters(rows.filter("one"), 0, name="cluster_", block=BLOCK)
+    rows = stored(single.unionByName(rows.filter("not one").withColumn("cluster_", F.lit(-1).cast("long"))), "nascents")
     same = ["contig", "chain_", "cluster_"]
-    first = rows.groupBy(*same, "exons").agg(F.min("rank_").alias("rank_"))
-    held = F.struct("rank_", "exons")
-    group = first.groupBy(*same).agg(F.array_sort(F.collect_list(held)).alias("g"))
-    none = F.filter("g", lambda x: F.lit(False))
-    kept = F.aggregate("g", none, lambda a, x: F.when(F.exists(a, lambda y: structure_match(x["exons"], y["exons"], share, reach)), a).otherwise(F.concat(a, F.array(x))))
-    chosen = group.select("contig", F.explode(kept).alias("k")).select("contig", F.col("k.rank_").alias("rank_"))
-    return rows.join(chosen, ["contig", "rank_"], "left_semi").drop("rank_", "chain_", "cluster_")
+    first = rows.groupBy(*same, "start", "end", "one").agg(F.min("rank_").alias("rank_"))
+    group = Window.partitionBy(*same)
+    first = first.withColumns({"pos": F.row_number().over(group.orderBy("rank_")), "n": F.count("*").over(group)})
+
+    def keep(group):
+        group = group.sort_values("pos")
+        return group[_first_kept(group, share, reach)][["contig", "chain_", "cluster_", "pos"]]
+
+    kind = ", ".join(f"{c} {first.schema[c].dataType.simpleString()}" for c in (*same, "pos"))
+    chosen = first.filter("n > 1").select(*same, "start", "end", "one", "pos").groupBy(*same).applyInPandas(keep, kind)
+    ranks = first.filter("n > 1").join(chosen, [*same, "pos"]).select("contig", "rank_").unionByName(first.filter("n = 1").select("contig", "rank_"))
+    return rows.join(ranks, ["contig", "rank_"], "left_semi").drop("rank_", "chain_", "cluster_", "one")
 
 
 def cds_phases(exons: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, unitigs
+from ..operators import graph, hierarchy, joining, unitigs
 from ..operators import kmers as km
 from .adapters import sequences, table
 from .registry import query
@@ -59,3 +59,26 @@ def path_reduction(s, d):
     """Distinct paths that lie in a longer one, in either direction."""
     x = _paths(s, d).groupBy("path").agg(F.min("id").alias("id"))
     return graph.reduced(x, both=True).withColumnRenamed("read", "id")
+
+
+@query("""SELECT string_agg(c_custkey::VARCHAR || CASE WHEN c_custkey % 2 = 1 THEN 'R' ELSE 'F' END, ',' ORDER BY c_custkey) AS members,
+string_agg(c_custkey::VARCHAR || 'F', '_' ORDER BY c_custkey) || '_' || (max(c_custkey) + CASE WHEN max(c_custkey) % 8 = 7 THEN 10000000 ELSE 1 END)::VARCHAR || 'F' AS path FROM customer GROUP BY c_custkey // 8""")
+def path_merge(s, d):
+    """Customers as paths from their number to the next, odd ones turned over; every eighth ends a chain."""
+    key = F.col("c_custkey").cast("long")
+    path = F.array(F.concat(key.cast("string"), F.lit("F")), F.concat((key + F.when(key % 8 == 7, 10000000).otherwise(1)).cast("string"), F.lit("F")))
+    x = table(s, d, "customer").select(key.alias("id"), F.when(key % 2 == 1, graph.flipped(path)).otherwise(path).alias("path"))
+    got = joining.merge_uniquely(x)
+    return got.select(F.array_join(F.transform("members", lambda m: F.concat(m["id"].cast("string"), m["direction"])), ",").alias("members"), F.array_join("path", "_").alias("path"))
+
+
+@query("""WITH p AS (SELECT o_orderkey AS parent, o_custkey AS id, o_orderstatus AS contig, ['+', '-', '.'][o_orderkey % 3 + 1] AS strand, o_orderkey AS s, o_orderkey + 5000 AS e FROM orders),
+c AS (SELECT o_orderkey AS child, o_custkey AS id, o_orderstatus AS contig, ['+', '-'][o_orderkey % 2 + 1] AS strand, o_orderkey + 100 AS s, o_orderkey + 900 AS e FROM orders)
+SELECT child, min(parent) AS parent FROM c LEFT JOIN p ON p.id = c.id AND p.contig = c.contig AND (p.strand = '.' OR p.strand = c.strand) AND abs(c.s - p.s) <= 7000000 AND c.s <= p.e AND p.s <= c.e GROUP BY child""")
+def parent_resolve(s, d):
+    """Orders as children and as parents whose id, the customer, is used many times."""
+    o, key = table(s, d, "orders"), F.col("o_orderkey").cast("long")
+    of = lambda *signs: F.element_at(F.array(*map(F.lit, signs)), (key % len(signs) + 1).cast("int"))
+    parents = o.select(key.alias("parent"), F.col("o_custkey").alias("id"), F.col("o_orderstatus").alias("contig"), of("+", "-", ".").alias("strand"), key.alias("start"), (key + 5000).alias("end"), key.alias("ord"))
+    children = o.select(key.alias("child"), F.col("o_custkey").alias("parent_id"), F.col("o_orderstatus").alias("contig"), of("+", "-").alias("strand"), (key + 100).alias("start"), (key + 900).alias("end"))
+    return hierarchy.resolve_parents(children, parents)

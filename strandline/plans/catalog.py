@@ -213,6 +213,18 @@ def nascent_gen(s, d):
     return transcripts.nascents(_tx(s, d)).select("tx", "step", F.size("exons").alias("n_exons"), F.col("start").alias("tx_start"), F.array_max(F.transform("exons", lambda e: e["end"])).alias("last_end"))
 
 
+@query()
+def nascent_distinct(s, d):
+    """Orders as transcripts, their lines as exons; nascents less those like one kept before. The order of
+    transcripts decides, which SQL can't say."""
+    key, line = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long")
+    start = F.floor(key / 997) % 5000 * 40 + line * 400
+    x = table(s, d, "lineitem").select(key.alias("tx"), (key % 997).alias("contig"), F.when(key % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("start"), (start + 100 + F.col("l_quantity").cast("long")).alias("end"))
+    x = x.groupBy("tx", "contig", "strand", "start").agg(F.max("end").alias("end"))
+    tx = x.groupBy("tx", "contig", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
+    return transcripts.distinct_nascents(tx, "tx").select("tx", "step", "contig", F.size("exons").alias("n_exons"), F.col("start").alias("tx_start"), F.col("end").alias("tx_end"))
+
+
 @query(f"""WITH {TX} SELECT tx, "start" AS exon_start, ((3 - coalesce(sum("end" - "start" + 1) OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '-' THEN -"end" ELSE "start" END, "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3) % 3)::INT AS phase FROM mx""")
 def cds_phase(s, d):
     return transcripts.cds_phases(merged_exons(s, d), "tx").select("tx", F.col("start").alias("exon_start"), "phase")
