@@ -35,7 +35,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, table(spark, sf_dir, "benchmark"), rows=True).filter("not contaminated").select("row.*")
+    """Documents without any benchmark window; op1's ``contaminated`` (two items or more) would let whole copies of one item through."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), rows=True).filter("n_items = 0").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def test_decontaminate_blocks_and_spans(spark):
     assert decontaminate.decontaminate(docs, bench, block_bytes=10).orderBy("doc_id").collect() == whole
 
 
+def test_pipeline_drops_copies_of_one_item(spark, tmp_path):
+    import corpus_pipeline
+
+    item = " ".join(f"q{i}" for i in range(20))
+    spark.createDataFrame([(1, item), (2, "other words of another item that is nowhere else")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = docs_of(spark, [f"Before it. {item.upper()}! And after.", " ".join(item.split()[5:13]), " ".join(item.split()[:7]), "clean words", None])
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {2, 3, 4}
+    got = decontaminate.decontaminate(docs, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()
+    assert {r["doc_id"]: (r["n_items"], r["contaminated"]) for r in got}[0] == (1, False)
+
+
 def test_url_aliases(spark):
     link = '<link rel="canonical" href="{}">'
     pages = spark.createDataFrame(
