@@ -132,8 +132,9 @@ def scan(texts: list[np.ndarray], templates) -> list[list[tuple[str, int, int, f
             h[over[(over >= 0) & (over < len(h))]] = _NONE
         for k, starts in retrieve(h, width, templates).items():
             size = 2 * templates[k][1]
-            near = {int(d) for a, b in ((starts, starts + size - 1),) for d in np.unique(np.concatenate((np.searchsorted(ends, a, "right"), np.searchsorted(ends, b, "right"))))}
-            for d in sorted(x for x in near if x < len(texts)):
+            first, last = np.searchsorted(ends, starts, "right"), np.searchsorted(ends, starts + size - 1, "right")
+            near = {d for a, b in zip(first.tolist(), last.tolist(), strict=True) for d in range(a, min(b + 1, len(texts)))}
+            for d in sorted(near):
                 a = int(ends[d]) - len(texts[d])
                 out[d] += verify(h[a : max(a, int(ends[d]) - width + 1)], templates[k])
     return [sorted(set(m)) for m in out]

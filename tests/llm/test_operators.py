@@ -245,6 +245,19 @@ def test_licenses(spark):
     assert all(want <= set(r["licenses"]) for r, want in zip(got, plain, strict=True))
 
 
+def test_licenses_alone_at_every_offset():
+    numbers = license_scan._Numbers()
+    known = license_scan.index(license_scan.TEMPLATES, numbers)
+    after = license_scan.numbered(LONG[:900].encode(), numbers)
+    for name, text in license_scan.TEMPLATES:
+        alone = license_scan.numbered(text.encode(), numbers)
+        for n in range(64):
+            before = license_scan.numbered(" ".join(f"v{i}" for i in range(n)).encode(), numbers)
+            got = license_scan.scan([before, alone, after], known)
+            assert name in {m[0] for m in got[1]}, (name, n)
+            assert got[0] == got[2] == []
+
+
 def test_rollup(spark, tmp_path):
     a = docs_of(spark, ["one two", "three", None])
     count = lambda d: token_rollup.count_tokens(d, {"words": ""})
