@@ -18,9 +18,9 @@ def unitig_build(s, d):
 
 @query()
 def read_correction(s, d):
-    """All sequences against their own trusted 13-mers, two rounds."""
+    """All sequences against their own trusted 13-mers."""
     x = sequences(s, d)
-    return unitigs.correct_reads(x, km.count_kmers(x, 13), 13, 3, rounds=2)
+    return unitigs.correct_reads(x, km.count_kmers(x, 13), 13, 3)
 
 
 _PART = "e AS (SELECT p_partkey AS gene, p_brand AS contig, p_partkey * 10 AS l, p_partkey * 10 + p_size * 2 AS r FROM part)"

@@ -96,6 +96,16 @@ def test_correct_reads(spark):
     assert got[7]["cut"] + len(got[7]["seq"]) == 60
 
 
+def test_correct_reads_with_many_errors(spark):
+    rng = random.Random(9)
+    genome = "".join(rng.choice("ACGT") for _ in range(400))
+    raw = "".join(PAIR[c] if i in (40, 80, 120, 160, 200, 240, 280) else c for i, c in enumerate(genome))
+    counts = count_kmers(spark.createDataFrame([(genome,)] * 2, ["seq"]), 13)
+    reads = spark.createDataFrame([(1, raw), (2, rc(raw)), (3, genome)], "id long, seq string")
+    got = {tuple(r) for r in unitigs.correct_reads(reads, counts, 13, 2).collect()}
+    assert got == {(1, genome, 7, 0), (2, rc(genome), 7, 0), (3, genome, 0, 0)}
+
+
 def test_components_and_gene_clusters(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30), (None, 4)]
     got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
