@@ -4,7 +4,8 @@ Pages that redirect or canonical links join into one class share decisions: an e
 of a page's own url always holds; a page without one is allowed if any alias of its class is
 explicitly allowed, else blocked if any alias is blocked, else allowed. Classes are connected
 components over canonical keys of urls (scheme, query, fragment, trailing slash and ``.html``
-do not tell pages apart) joined by the canonical and refresh links found in the html.
+do not tell pages apart) joined by the canonical and refresh links found in the html. Both ends of
+a link are aliases, whether or not they are pages themselves.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule,
 has no aliases and is allowed. Repeated rows each get their row. Extra columns are not read.
@@ -65,17 +66,17 @@ def judge(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): canonical keys joined by a canonical link or a refresh redirect in a page's html."""
-    links = pages.select(key_of(F.col("url")).alias("a"), F.regexp_extract("html", _LINK, 0).alias("l"), F.regexp_extract("html", _REFRESH, 0).alias("r"))
-    links = links.filter("a is not null and (l <> '' or r <> '')")
+def links_of(pages: DataFrame) -> DataFrame:
+    """(a, b): urls joined by a canonical link or a refresh redirect in a page's html."""
+    links = pages.select(F.col("url").alias("a"), F.regexp_extract("html", _LINK, 0).alias("l"), F.regexp_extract("html", _REFRESH, 0).alias("r"))
+    links = links.filter("(l <> '' or r <> '')")
     to = F.explode(
         F.array(
             F.regexp_extract("l", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
             F.regexp_extract("r", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
         )
     )
-    return links.select("a", to.alias("to")).select("a", key_of(F.col("to")).alias("b")).filter("b is not null")
+    return links.select("a", to.alias("b")).filter(key_of(F.col("a")).isNotNull() & key_of(F.col("b")).isNotNull())
 
 
 def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -85,12 +86,17 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -
     rows = pages.select("page_id", F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"), key_of(url).alias("key"))
     rule, own = judge(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "own": own})
-    links = link_edges(pages)
+    links = links_of(pages)
     if edges is not None:
-        links = links.unionByName(edges.select(key_of(F.col("a")).alias("a"), key_of(F.col("b")).alias("b")).filter("a is not null and b is not null"))
-    classes = connected_components(links)
-    keys = rows.filter("key is not null").groupBy("key").agg(
-        F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"), F.max(F.col("own").isNull().cast("int")).alias("open")
+        links = links.unionByName(edges.select("a", "b").filter(key_of(F.col("a")).isNotNull() & key_of(F.col("b")).isNotNull()))
+    links = materialize(links.distinct(), "links")
+    classes = connected_components(links.select(key_of(F.col("a")).alias("a"), key_of(F.col("b")).alias("b")))
+    # Both ends of a link are judged by their own host and path, whether or not they are pages.
+    ends = links.select(F.explode(F.array("a", "b")).alias("url")).distinct()
+    ends = ends.select(key_of(url).alias("key"), judge(host, path, rules)[1].alias("own"), F.lit(False).alias("page"))
+    judged = rows.filter("key is not null").select("key", "own", F.lit(True).alias("page")).unionByName(ends)
+    keys = judged.groupBy("key").agg(
+        F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"), F.max((F.col("own").isNull() & F.col("page")).cast("int")).alias("open")
     )
     # Keys without links are classes of their own; only classes that block and still have open members matter below.
     keys = keys.join(classes, keys.key == classes.node, "left").select("key", F.coalesce("component", "key").alias("top"), "block", "allow", "open")

@@ -95,6 +95,15 @@ def test_url_aliases(spark):
     assert got == {1: "block", 2: "block", 5: "block", 6: "allow"}
 
 
+def test_url_targets_that_are_no_pages(spark):
+    link = '<link rel="canonical" href="{}">'
+    rows = [(1, "http://a.org/x", link.format("https://b.net/es/")), (2, "http://c.org/x", link.format("https://b.net/es/2") + '<meta http-equiv="refresh" content="0; url=https://d.com/1">'), (3, "http://e.org/x", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()} == {1: "block", 2: "allow", 3: "allow"}
+    more = spark.createDataFrame([("http://e.org/x", "http://f.net/fr/1")], "a string, b string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, edges=more).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
 def test_pack_round_trip(spark):
     docs = docs_of(spark, ["hello world " * n for n in (1, 5, 40, 41, 42, 300, 301, 2500)] + [None, ""])
     got = packing.pack(docs, seq_len=256).collect()
