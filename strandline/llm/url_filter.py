@@ -66,17 +66,30 @@ def judge(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
+def resolved(base: Column, to: Column) -> Column:
+    """The url that a link's target names on a page; null where it names none (another scheme, or a base without a host)."""
+    origin = F.concat(F.regexp_extract(base, "^(.*?)://", 1), F.lit("://"), F.regexp_extract(_after(base), "^[^/?#]*", 0))
+    here = path_of(base)
+    rest = F.regexp_extract(to, "^[^?#]*", 0)
+    path = F.when(rest == "", here).when(rest.startswith("/"), rest).otherwise(F.concat(F.when(here == "", "/").otherwise(F.regexp_replace(here, "[^/]*$", "")), rest))
+    # "." and ".." go; a path that ends in one ends in a slash
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    step = lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+    whole = F.concat(origin, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+    relative = F.when(host_of(base) != "", F.when(to.startswith("//"), F.concat(F.regexp_extract(base, "^(.*?)://", 1), F.lit(":"), to)).otherwise(whole))
+    return F.when(to.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), to).when(~to.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), relative)
+
+
 def links_of(pages: DataFrame) -> DataFrame:
-    """(a, b): urls joined by a canonical link or a refresh redirect in a page's html."""
-    links = pages.select(F.col("url").alias("a"), F.regexp_extract("html", _LINK, 0).alias("l"), F.regexp_extract("html", _REFRESH, 0).alias("r"))
-    links = links.filter("(l <> '' or r <> '')")
-    to = F.explode(
-        F.array(
-            F.regexp_extract("l", r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)""", 1),
-            F.regexp_extract("r", r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)""", 1),
-        )
-    )
-    return links.select("a", to.alias("b")).filter(key_of(F.col("a")).isNotNull() & key_of(F.col("b")).isNotNull())
+    """(a, b): a page's url and the target of each canonical link and refresh redirect in its html.
+
+    Tags in comments are none; relative targets follow the page's url, or its html's base."""
+    html = F.regexp_replace("html", "(?s)<!--.*?-->", "")
+    tags = pages.filter(key_of(F.col("url")).isNotNull() & F.col("html").rlike(f"{_LINK}|{_REFRESH}")).select(F.col("url").alias("a"), html.alias("html"))
+    of = lambda tag, name: F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda t: F.regexp_extract(t, rf"""(?i)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1))
+    base = F.regexp_extract("html", r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
+    found = tags.select("a", F.when(base == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), base), "a")).alias("base"), F.explode(F.concat(of(_LINK, "href"), of(_REFRESH, "url"))).alias("to"))
+    return found.filter("to <> ''").select("a", resolved(F.col("base"), F.col("to")).alias("b")).filter("b is not null")
 
 
 def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -> DataFrame:
@@ -88,8 +101,8 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -
     rows = rows.withColumns({"rule": rule, "own": own})
     links = links_of(pages)
     if edges is not None:
-        links = links.unionByName(edges.select("a", "b").filter(key_of(F.col("a")).isNotNull() & key_of(F.col("b")).isNotNull()))
-    links = materialize(links.distinct(), "links")
+        links = links.unionByName(edges.select("a", "b"))
+    links = materialize(links.distinct(), "links").filter(key_of(F.col("a")).isNotNull() & key_of(F.col("b")).isNotNull())
     classes = connected_components(links.select(key_of(F.col("a")).alias("a"), key_of(F.col("b")).alias("b")))
     # Both ends of a link are judged by their own host and path, whether or not they are pages.
     ends = links.select(F.explode(F.array("a", "b")).alias("url")).distinct()

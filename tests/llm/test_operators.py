@@ -104,6 +104,25 @@ def test_url_targets_that_are_no_pages(spark):
     assert {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages, edges=more).collect()} == {1: "block", 2: "allow", 3: "block"}
 
 
+def test_url_links_of_all_tags_and_relative_targets(spark):
+    link, fresh = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    cases = [
+        ("http://x.net/blog/5", fresh.format("/es/5"), "http://x.net/es/5"),
+        ("https://x.net/blog/5?q=1", link.format("//y.org/b"), "https://y.org/b"),
+        ("http://x.net/a/b/c", link.format("../es/./5"), "http://x.net/a/es/5"),
+        ("http://x.net", link.format("es/5"), "http://x.net/es/5"),
+        ("http://x.net/a", link.format("") + link.format("/es/6"), "http://x.net/es/6"),
+        ("http://x.net/b", "<!-- " + link.format("/no") + " -->" + link.format("/es/7"), "http://x.net/es/7"),
+        ("http://x.net/c", link.format("/go?u=https://z.org/"), "http://x.net/go"),
+        ("http://x.net/d", '<base href="/es/">' + link.format("8"), "http://x.net/es/8"),
+        ("http://x.net/e", link.format("mailto:me"), None),
+    ]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases)], "page_id long, url string, html string")
+    assert {(r["a"], r["b"]) for r in url_filter.links_of(pages).collect()} == {(u, b) for u, _, b in cases if b}
+    got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {0, 1, 3, 4, 5, 7}  # 0 and 1 have one key
+
+
 def test_pack_round_trip(spark):
     docs = docs_of(spark, ["hello world " * n for n in (1, 5, 40, 41, 42, 300, 301, 2500)] + [None, ""])
     got = packing.pack(docs, seq_len=256).collect()
