@@ -20,6 +20,7 @@ the time.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -35,7 +36,10 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Fixed value: the pre-tokenizer pattern that byte-level BPE files of this kind stand for.
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_PROBE = "It's  a test, naïve 123\n\n\tübung <|endoftext|> 日本 !!%% x"
+_PROBE = "It's  a test, naïve 123\n\n\tübung <| 日本 !!%% x"
+#: Characters of one run (of blanks, letters, ...) from which a text goes to ``tokenizers`` itself.
+LONG_RUN = 1 << 14
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}|\w{{{LONG_RUN}}}|[^\w\s]{{{LONG_RUN}}}")
 
 
 def default_tokenizer() -> str:
@@ -45,22 +49,36 @@ def default_tokenizer() -> str:
 
 
 def encoder(path: str):
-    """A function from text to ids, the same ids as the ``tokenizers`` file gives."""
+    """A function from text to ids, the same ids as the ``tokenizers`` file gives with
+    ``add_special_tokens=False``.
+
+    tiktoken's pattern matcher keeps a stack as deep as a run of blanks, so a text with a very long
+    run goes to ``tokenizers`` itself, as does one that spells an added token of the file.
+    """
     import tiktoken
     from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    added = [t["content"] for t in spec.get("added_tokens", [])]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in special}
+    ranks = {bytes(byte_of[c] for c in token): n for token, n in spec["model"]["vocab"].items() if token not in added}
     fast = tiktoken.Encoding("file", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
-    if fast.encode_ordinary(_PROBE) != slow.encode(_PROBE, add_special_tokens=False).ids:
-        return lambda text: slow.encode(text, add_special_tokens=False).ids
-    return fast.encode_ordinary
+
+    def exact(text: str) -> list[int]:
+        return slow.encode(text, add_special_tokens=False).ids
+
+    if fast.encode_ordinary(_PROBE) != exact(_PROBE):
+        return exact
+
+    def encode(text: str) -> list[int]:
+        if any(t in text for t in added) or len(text) > LONG_RUN and _LONG_RUN.search(text):
+            return exact(text)
+        return fast.encode_ordinary(text)
+
+    return encode
 
 
 def cut(n: int, most: int) -> list[tuple[int, int]]:
