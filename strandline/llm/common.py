@@ -7,6 +7,9 @@ follow the length of a partition or of a batch.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,21 +27,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
+    """The folder that spark.checkpoint.dir names.
+
+    Only a local session, as in tests, gets a temporary folder where it is unset: on a cluster
+    executors could not read each other's files there, so that is an error.
+    """
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="strandline-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001  (at exit the session may be gone; a folder left over does no harm)
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and outlives executors."""
+    """Write to the shared folder and read back: cuts lineage and outlives executors.
+
+    The folder goes when ``discard`` is called, at the latest when the program ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    atexit.register(_delete, spark, path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what ``materialize`` wrote; nothing that is still to be computed may read it."""
+    for df in frames:
+        _delete(df.sparkSession, df._written)
 
 
 def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -61,6 +91,8 @@ def pieces(batch: pa.RecordBatch, most: int = PIECE_BYTES) -> Iterator[pa.Record
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """``make`` is called once a task; what it returns maps each piece to output rows.
 
+    Lowers spark.sql.execution.arrow.maxRecordsPerBatch of the session to ``BATCH_ROWS`` where it is higher:
+    Spark reads that setting only when the result is computed, so it can't be set back here.
     A column ``row`` of df (see ``judged``) goes through unchanged; the work must then return a row for each row.
     """
     conf = df.sparkSession.conf  # texts are long: batches of many rows would fill a worker's memory
@@ -90,6 +122,14 @@ def byte_texts(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.binary()).to_pylist()]
 
 
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a character of Unicode category L; signs such as ² and ½ are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text or ""))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, so that small integers become well-spread hashes."""
     x = x.astype(np.uint64)

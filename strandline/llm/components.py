@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             labels.join(near, "node").select("node", F.least("component", "m").alias("component"), (F.col("m") < F.col("component")).alias("moved")), "hooked"
         )
         if not hooked.filter("moved").limit(1).count():
+            discard(both, hooked)
             return labels
         up = hooked.select(F.col("node").alias("component"), F.col("component").alias("top"))
-        labels = materialize(hooked.join(up, "component").select("node", F.col("top").alias("component")), "labels")
+        before, labels = labels, materialize(hooked.join(up, "component").select("node", F.col("top").alias("component")), "labels")
+        discard(before, hooked)

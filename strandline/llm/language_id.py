@@ -1,15 +1,18 @@
 """Language ID in two steps: the family first, then one-versus-one linear SVMs within it.
 
 Features are hashed byte n-grams of the whole lower-cased text. Fitting reads a bounded sample
-of labelled rows (``sample`` a language at most twice over); prediction reads every row.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0; without any
-learnable row all are ``und``; a language without a known family is a family of its own.
+of labelled rows (``sample`` a language at most twice over, and ``sampling.MOST_BYTES`` of text);
+prediction reads every row.
+
+Defined results: a null text, or one without a letter (Unicode category L), is ``und`` with score 0;
+without any learnable row all are ``und``; a language without a known family is a family of its own;
+repeated rows are judged alike, and learned from each with its own language; an empty table gives no
+rows; equal votes go to the larger margin, then to the language first in order; columns other than
+id, text and language are not read; a long text is read whole, as one piece of its own.
 """
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -18,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashed
-from .common import arrow_map
-from .sampling import bounded_sample
+from .common import arrow_map, has_letter
+from .sampling import own_sample
 
 SAMPLE, SIZES, BITS = 300, (2, 3), 12
 FAMILIES = {
@@ -28,7 +31,6 @@ FAMILIES = {
     "slavic": ("ru", "pl", "cs", "uk", "bg", "sk"),
 }
 _FAMILY = {lang: family for family, langs in FAMILIES.items() for lang in langs}
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def svm(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 120) -> tuple[np.ndarray, float]:
@@ -91,7 +93,7 @@ def _vote(values: list[str], machines: list[tuple[str, str, np.ndarray]], n: int
 
 def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     n = len(texts)
-    letters = np.array([bool(t and _LETTER.search(t)) for t in texts], bool)
+    letters = np.array([has_letter(t) for t in texts], bool)
     if model is None:
         return ["und"] * n, np.zeros(n)
     raw = [(t or "").lower().encode() for t in texts]
@@ -114,7 +116,7 @@ def predict(model: dict | None, texts: list[str | None]) -> tuple[list[str], np.
 def identify(docs: DataFrame, learn_from: DataFrame | None = None, sample: int = SAMPLE) -> DataFrame:
     """doc_id, lang_pred, score. Learns from rows of ``learn_from`` (text, non-null lang)."""
     learn_from = docs if learn_from is None else learn_from
-    model = fit(bounded_sample(learn_from, learn_from, "lang", sample))
+    model = fit(own_sample(learn_from, "lang", sample))
 
     def work(batch):
         langs, score = predict(model, batch["text"].to_pylist())

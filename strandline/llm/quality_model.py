@@ -7,7 +7,11 @@ n-grams of the text's bytes and of their character classes, over the whole text.
 
 Fitting reads a bounded sample of labelled rows (about ``sample`` a grade); every row is scored.
 Defined results: null and empty texts score at the thresholds with w.x = 0 and are rejected;
-without labelled rows nothing is rejected; other columns are not read.
+without labelled rows nothing is rejected but empty texts; an empty table gives no rows; repeated
+rows are scored alike; of labels that repeat an id the least grade counts; a text at the limit is
+kept; a long text is scored whole; columns other than id and text are not read.
+
+The grades put two 0/1 marks in order, which is all that ``labels`` has: p_tail is P(quality = 1).
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import hashed
 from .common import arrow_map, byte_texts, judged
-from .sampling import bounded_sample
+from .sampling import joined_sample
 
 SAMPLE, BITS, SELECT = 500, 11, 0.5
 _CLASS = np.array([1 if 65 <= b <= 90 else 2 if 97 <= b <= 122 else 3 if 48 <= b <= 57 else 4 if b >= 128 else b + 8 for b in range(256)], np.uint32)
@@ -85,14 +89,14 @@ def graded(labels: DataFrame) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, select: float = SELECT, rows: bool = False) -> DataFrame:
     """doc_id, expected_grade, p_tail = P(grade >= 1), kept = p_tail >= select; ``rows``: and its columns as ``row``."""
-    model = fit(bounded_sample(docs, graded(labels), "grade", sample))
+    model = fit(joined_sample(docs, graded(labels), "grade", sample))
 
     def work(batch):
         texts = byte_texts(batch["text"])
         empty = np.array([not t.strip() for t in texts], bool)
         if model is None:
             expected, tail = np.zeros(len(texts)), np.ones(len(texts))
-            kept = np.ones(len(texts), bool)
+            kept = ~empty
         else:
             p = score(model, texts)
             steps = np.diff(np.array(model["grades"], float))

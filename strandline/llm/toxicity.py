@@ -1,16 +1,20 @@
 """Toxicity by noisy-channel deobfuscation.
 
 Tokens that can be read in more than one way (leetspeak, inner separators, stretched letters,
-letters spaced apart) become character lattices; Viterbi decoding under a character trigram model
-restores the likeliest word. Restored texts are scored by a lexicon of words and word beginnings
-learned from labelled rows: greedy cover of toxic rows by precise features, each supported by
-several different contexts, so that copies of one text count once. A text's score is the noisy-or
+letters spaced apart) become character lattices whose arcs carry the channel's costs; Viterbi decoding
+under a character trigram model restores the likeliest word. In letters spaced apart each gap may be
+the end of a word. Restored texts are scored by a lexicon of words and word beginnings
+learned from labelled rows: precise features, each supported by several different contexts, so that
+copies of one text count once, and by more toxic rows than luck would give. A text's score is the noisy-or
 of the precisions of the distinct features it holds.
 
 The character model counts the words of all texts, labelled or not, without their labels. The
-lexicon is fitted on a bounded sample of labelled rows (about ``sample`` of each mark). Defined results:
-null and empty texts have score 0; without learnable rows all scores are 0; repeated rows score
-alike; labels, language, source and id are never inputs of a score.
+lexicon is fitted on a bounded sample of labelled rows (about ``sample`` of each mark, at most twice
+that and ``sampling.MOST_BYTES`` of text). Defined results: null and empty texts have score 0; without
+learnable rows all scores are 0; an empty table gives no rows; repeated rows score alike, of labels
+that repeat an id the greater mark counts; among paths of one cost the first in the lattice's order is
+taken; long texts are read whole, piece by piece of rows; labels, language, source and id are never
+inputs of a score, and columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -26,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, pieces
-from .sampling import bounded_sample
+from .common import arrow_map, has_letter, pieces
+from .sampling import joined_sample
 
-SAMPLE, PREDICT, COVER, SUPPORT = 1500, 0.7, 4, 3
+SAMPLE, PREDICT, SUPPORT = 1500, 0.7, 3
+#: Features without meaning that luck may let into the lexicon, as an upper bound of their expected number.
+CHANCE = 20
 #: Counters of the character model; distinct tokens or trigrams that a task holds before it passes them on.
 COUNTERS, HELD = 1 << 20, 1 << 16
 #: Least precision of a word, and of a word's beginning, which many clean words may share.
@@ -39,7 +45,11 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 _EDGE = ".,;:?\"'`~()[]{}<>…“”„«»¿¡"
 _SEPARATORS = frozenset(".-_*~'`,·/\\")
 _ODD = re.compile(r"[0-9@$!|+€(*#%]|[^\W\d_][._\-~'`,·/\\]+[^\W\d_]|([^\W\d_])\1\1")
-_LETTER = re.compile(r"[^\W\d_]")
+#: Costs of the channel, as negative logarithms: a sign for a letter; a sign that means nothing, inside a
+#: word or at its edge; a letter written twice for once.
+SUBSTITUTE, DROP, DROP_AT_EDGE, TWICE = 1.0, 3.0, 1.5, 1.0
+#: Punctuation at a token's edges that stands for no letter.
+_PURE = "".join(c for c in _EDGE if c not in LEET)
 _SPACED = re.compile(r"(?<![^\s])(?:[^\s][ \t]+){2,}[^\s](?![^\s])")
 _CLEAN = re.compile(r"[\W\d_]+")
 
@@ -64,28 +74,20 @@ class CharModel:
         return -math.log((self.seen(a + b + c) + 4 * p2) / (self.seen("<" + a + b) + 4))
 
     def decode(self, token: str) -> str:
-        """The likeliest word behind a token, by Viterbi over its lattice."""
-        runs: list[tuple[str, int]] = []
-        for c in token:
-            runs[-1:] = [(c, runs[-1][1] + 1)] if runs and runs[-1][0] == c else [*runs[-1:], (c, 1)]
+        """The likeliest word behind a token, or words where it has gaps, by Viterbi over its lattice."""
         best = {("^", "^"): (0.0, None)}  # state -> cost and a chain of letters
-        for c, n in runs:
-            ways: list[str] = []
-            if _LETTER.match(c):
-                ways += [c] if n == 1 else [c, c + c]
-            else:
-                ways += [x * k for x in LEET.get(c, "") for k in ((1,) if n == 1 else (1, 2))]
-                if c in _SEPARATORS or c not in LEET:
-                    ways.append("")
+        for ways in lattice(token):
             new: dict = {}
             for (a, b), (cost, chain) in best.items():
-                for way in ways:
-                    x, y, total, tail = a, b, cost, chain
+                for way, extra in ways:
+                    x, y, total, tail = a, b, cost + extra, chain
                     for z in way:
-                        total += self.cost(x, y, z)
-                        x, y, tail = y, z, (tail, z)
-                    if way == "" and c in LEET:
-                        total += 2.0
+                        if z == " ":
+                            total += self.cost(x, y, "$")
+                            x, y, tail = "^", "^", (tail, z)
+                        else:
+                            total += self.cost(x, y, z)
+                            x, y, tail = y, z, (tail, z)
                     if total < new.get((x, y), (math.inf,))[0]:
                         new[x, y] = (total, tail)
             best = new
@@ -97,6 +99,29 @@ class CharModel:
         return "".join(reversed(out))
 
 
+def lattice(token: str) -> list[list[tuple[str, float]]]:
+    """For each run of one character what it may stand for, and the channel's cost of that."""
+    runs: list[tuple[str, int]] = []
+    for c in token:
+        runs[-1:] = [(c, runs[-1][1] + 1)] if runs and runs[-1][0] == c else [*runs[-1:], (c, 1)]
+    out = []
+    for k, (c, n) in enumerate(runs):
+        if c == " ":
+            out.append([("", 0.0), (" ", 0.0)])
+        elif c.isalpha():
+            out.append([(c, 0.0)] if n == 1 else [(c, TWICE if n == 2 else 0.0), (c + c, 0.0)])
+        else:
+            ways = [(x * m, SUBSTITUTE) for x in LEET.get(c, "") for m in ((1,) if n == 1 else (1, 2))]
+            if c not in LEET:
+                ways.append(("", 0.0))
+            elif k in (0, len(runs) - 1):
+                ways.append(("", DROP_AT_EDGE))
+            elif c in _SEPARATORS:
+                ways.append(("", DROP))
+            out.append(ways)
+    return out
+
+
 def trigrams(tokens: Counter[str]) -> Counter[str]:
     """Trigrams of the tokens that are words, as often as their tokens are."""
     out: Counter[str] = Counter()
@@ -146,26 +171,44 @@ def char_model(docs: DataFrame, counters: int = COUNTERS) -> CharModel:
     return CharModel(counts)
 
 
-def restored(text: str, model: CharModel, memo: dict[str, str]) -> tuple[list[str], list[str]]:
-    """(tokens of the text, restored where odd; words that letters spaced apart spell)."""
+def _gapped(run: str) -> str:
+    """A run of single characters with a blank at each gap; only wider gaps where widths differ."""
+    parts = re.split(r"([ \t]+)", run)
+    gaps = parts[1::2]
+    least = min(map(len, gaps))
+    if max(map(len, gaps)) == least:
+        return " ".join(parts[::2])
+    return "".join(c if k % 2 == 0 else " " if len(c) > least else "" for k, c in enumerate(parts))
+
+
+def restored(text: str, model: CharModel, memo: dict[str, tuple[str, ...]]) -> tuple[list[str], list[str]]:
+    """(tokens of the text, restored where odd; words that letters spaced apart spell, and second
+    readings of tokens whose signs at an edge may be letters)."""
     low = text.lower()
 
-    def word(token: str) -> str:
+    def readings(token: str) -> tuple[str, ...]:
+        core, outer = token.strip(_EDGE).rstrip("!"), token.strip(_PURE)
+        found = _CLEAN.sub("", core) if not _ODD.search(core) or not has_letter(core) else model.decode(core)
+        other = model.decode(outer) if outer != core and has_letter(outer) else found
+        return (found,) if other == found else (found, other)
+
+    def word(token: str) -> tuple[str, ...]:
         found = memo.get(token)
         if found is None:
-            core = token.strip(_EDGE).rstrip("!")
-            found = _CLEAN.sub("", core) if not _ODD.search(core) or not _LETTER.search(core) else model.decode(core.lstrip("#*%+|"))
             if len(memo) > 1 << 17:
                 memo.clear()
-            memo[token] = found
+            found = memo[token] = readings(token)
         return found
 
-    joined = []
+    more = []
     for m in _SPACED.finditer(low):
         run = "".join(m[0].split())
-        if _LETTER.search(run):  # a one-letter word may stand at either end of what is spelt
-            joined += [model.decode(part.strip(_EDGE)) for part in {run, run[1:], run[:-1], run[1:-1]}]
-    return [word(t) for t in low.split()], [w for w in joined if w]
+        if has_letter(run):  # a one-letter word may stand at either end of what is spelt
+            more += [model.decode(part.strip(_EDGE)) for part in {run, run[1:], run[:-1], run[1:-1]}]
+            more += model.decode(_gapped(m[0]).strip(_EDGE)).split()
+    tokens = [word(t) for t in low.split()]
+    more += [w for t in tokens for w in t[1:]]
+    return [t[0] for t in tokens], [w for w in more if w]
 
 
 def features(w: str) -> tuple[str, ...]:
@@ -175,9 +218,9 @@ def features(w: str) -> tuple[str, ...]:
 def learn(rows: list[tuple[bytes, int]], model: CharModel, weight: dict[int, float] | None = None) -> dict[str, float]:
     """The lexicon (feature -> precision). weight: rows that one of a mark stands for."""
     texts = [(t.decode(), int(y)) for t, y in rows]
-    memo: dict[str, str] = {}
+    memo: dict[str, tuple[str, ...]] = {}
     ones: dict[str, set[int]] = defaultdict(set)
-    contexts: dict[str, set[int]] = defaultdict(set)
+    contexts: dict[str, set[str]] = defaultdict(set)
     zeros: Counter[str] = Counter()
     positives = 0
     for t, y in texts:
@@ -187,8 +230,7 @@ def learn(rows: list[tuple[bytes, int]], model: CharModel, weight: dict[int, flo
             for w in [*tokens, *joined]:
                 for f in features(w) if w else ():
                     ones[f].add(positives)
-                    if len(contexts[f]) < 64:
-                        contexts[f].add(hash(last))
+                    contexts[f].add(last)
                 last = w
             positives += 1
         else:
@@ -196,29 +238,25 @@ def learn(rows: list[tuple[bytes, int]], model: CharModel, weight: dict[int, flo
     per = (weight or {}).get(0, 1.0) / (weight or {}).get(1, 1.0)
     p = {}
     for f, rows_of in ones.items():
-        n = min(len(rows_of), len(contexts[f]) if len(contexts[f]) < 64 else len(rows_of))
+        n = min(len(rows_of), len(contexts[f]))
         share = (n + 0.2) / (n + zeros[f] * per + 1.2)
-        if n >= SUPPORT and (share >= PRECISION if f[-1] != "*" else share >= BEGINNING or not zeros[f] and share >= PRECISION):
+        precise = share >= PRECISION if f[-1] != "*" else share >= BEGINNING or not zeros[f] and share >= PRECISION
+        if n >= SUPPORT and precise and by_luck(n, zeros[f], positives / len(texts)) * len(ones) <= CHANCE:
             p[f] = share
-    lexicon, covered = {}, np.zeros(positives, np.int64)
-    heap = {f: len(ones[f]) for f in p}
-    while heap:
-        f = max(heap, key=lambda f: (heap[f], len(f), f))
-        gain = int((covered[list(ones[f])] < COVER).sum())
-        if gain < heap[f]:  # gains only fall: what still leads after an update is best
-            heap[f] = gain
-            if gain < SUPPORT:
-                del heap[f]
-            continue
-        del heap[f]
-        if gain < SUPPORT:
-            continue
-        lexicon[f] = p[f]
-        covered[list(ones[f])] += 1
-    return lexicon
-
-
-def score(text: str | None, model: CharModel, lexicon: dict[str, float], memo: dict[str, str]) -> float:
+    return p
+
+
+def by_luck(ones: int, zeros: int, rate: float) -> float:
+    """An upper bound (Chernoff) of the probability that a feature without meaning is in so many toxic
+    rows of ``ones + zeros``, where a share ``rate`` of all rows is toxic."""
+    n = ones + zeros
+    x = ones / n
+    if x <= rate or rate >= 1:
+        return 1.0
+    return math.exp(-n * (x * math.log(x / rate) + ((1 - x) * math.log((1 - x) / (1 - rate)) if x < 1 else 0.0)))
+
+
+def score(text: str | None, model: CharModel, lexicon: dict[str, float], memo: dict[str, tuple[str, ...]]) -> float:
     if not text:
         return 0.0
     tokens, joined = restored(text, model, memo)
@@ -234,14 +272,14 @@ def score(text: str | None, model: CharModel, lexicon: dict[str, float], memo: d
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, predict: float = PREDICT) -> DataFrame:
     """doc_id, score, predicted. Learns from ``labels`` (doc_id, toxic) alone."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = bounded_sample(docs, marks, "toxic", sample)
+    rows = joined_sample(docs, marks, "toxic", sample)
     counts = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     taken = Counter(y for _, y in rows)
     model = char_model(docs) if any(y for _, y in rows) else None
     lexicon = learn(rows, model, {y: counts[y] / taken[y] for y in taken}) if model else {}
 
     def make():
-        memo: dict[str, str] = {}
+        memo: dict[str, tuple[str, ...]] = {}
 
         def work(batch):
             values = [score(t, model, lexicon, memo) if model else 0.0 for t in batch["text"].to_pylist()]
