@@ -9,13 +9,14 @@ folded from one size to the next. A window and a template meet if any of ``BANDS
 one band in 40 agrees with probability over 0.9997. Texts that meet a template are verified in
 full: spans of at most s shingles that hold ``CONTAINMENT`` of its distinct shingles.
 
-Defined results: null and empty texts have no matches; templates without words are left out;
-repeated rows are scanned each by itself; other columns are not read.
+Defined results: null and empty texts have no matches; templates without words are left out, and
+without any template nothing matches; repeated rows are scanned each by itself; an empty table gives no
+rows; a very long text is a piece of its own and scanned whole; where spans of one template overlap, the
+first that is long enough counts, and spans of different templates all count; other columns are not read.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,18 +26,72 @@ from xxhash import xxh64_intdigest
 from .common import arrow_map, byte_texts, mix64
 
 WIDTH, BANDS, CONTAINMENT, MOST_TEMPLATES = 5, 40, 0.8, 5000
-#: Notices that public licenses ask for or that name them.
+#: Notices that public licenses ask for or that name them, and the texts of short ones.
+_NO_WARRANTY = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+_BSD_CONDITIONS = """Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_WARRANTY = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE
+ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN
+CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
+SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_FREE = """This {what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} General
+Public License as published by the Free Software Foundation"""
+_NO_FITNESS = """This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the
+implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} General Public License for more
+details."""
 TEMPLATES = (
     ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("apache-2.0", """Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
     ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files, to deal in the Software without restriction"""),
     ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("gpl-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation"""),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-)
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met"""),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""),
+    ("mit", """The above copyright notice and this permission notice shall be included in all copies or substantial portions
+        of the Software. """ + _NO_WARRANTY),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be
+        held liable for any damages arising from the use of this software."""),
+    ("zlib", """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+        alter it and redistribute it freely, subject to the following restrictions"""),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("bsd", _BSD_CONDITIONS),
+    ("bsd", _BSD_WARRANTY),
+    ("bsd-3-clause", """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission."""),
+    ("bsd-4-clause", """All advertising materials mentioning features or use of this software must display the following
+        acknowledgement"""),
+    ("gpl", _NO_FITNESS.format(what="program", name="")),
+    ("lgpl", _FREE.format(what="library", name="Lesser")),
+    ("lgpl", _NO_FITNESS.format(what="library", name="Lesser")),
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("agpl", _FREE.format(what="program", name="Affero")),
+    ("agpl", _NO_FITNESS.format(what="program", name="Affero")),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
+        not distributed with this file, You can obtain one at"""),
+    ("epl-2.0", """This program and the accompanying materials are made available under the terms of the Eclipse Public License
+        2.0 which is available at"""),
+    ("cc0-1.0", "This work is dedicated to the public domain under the CC0 1.0 Universal Public Domain Dedication."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+)
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _SEEDS = mix64(np.arange(1, BANDS + 1)) | np.uint64(1)  # odd factors permute 64-bit hashes
 _NONE = np.uint64((1 << 64) - 1)
@@ -81,23 +136,54 @@ def index(templates, numbers: _Numbers) -> list[tuple[int, int, str, np.ndarray,
     return out
 
 
-def retrieve(h: np.ndarray, width: int, templates) -> dict[int, np.ndarray]:
+class Bands:
+    """Templates of one width and size by their band keys: sorted, so that a window is looked up and not
+    compared with each template."""
+
+    def __init__(self, size: int, members: list[tuple[int, np.ndarray]]):
+        self.size = size
+        of, keys = np.array([k for k, _ in members]), np.stack([v for _, v in members])
+        order = keys.argsort(0, kind="stable")
+        self.keys, self.of = np.take_along_axis(keys, order, 0).T, of[order].T
+        self.seen = np.zeros((len(self.keys), 1 << 16), bool)  # low bits of the keys, to pass most windows by
+        for band, own in enumerate(self.keys):
+            self.seen[band][own.astype(np.uint16)] = True
+
+    def meet(self, window: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the window, template) of all that agree in a band."""
+        keys, at = self.keys[band], np.flatnonzero(self.seen[band][window.astype(np.uint16)])
+        low = np.searchsorted(keys, window[at])
+        n = np.searchsorted(keys, window[at], "right") - low
+        return np.repeat(at, n), self.of[band][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low, n)]
+
+
+def banded(templates, width: int) -> list[Bands]:
+    """The band tables of the templates of one width, by rising size."""
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for k, t in enumerate(templates):
+        if t[0] == width:
+            by_size.setdefault(t[1], []).append((k, t[4]))
+    return [Bands(size, members) for size, members in sorted(by_size.items())]
+
+
+def retrieve(h: np.ndarray, tables: list[Bands]) -> dict[int, np.ndarray]:
     """template -> starts of windows of 2s shingles that share a band with it."""
-    mine = [(k, t) for k, t in enumerate(templates) if t[0] == width]
-    sizes = sorted({t[1] for _, t in mine})
-    pad = -len(h) % (2 * sizes[-1])
+    pad = -len(h) % (2 * tables[-1].size)
     h = np.concatenate((h, np.full(pad, _NONE)))
-    found: dict[int, list[np.ndarray]] = {}
+    found: list[np.ndarray] = []
     for band, seed in enumerate(_SEEDS):
         low, s = h * seed, 1
-        for size in sizes:
-            while s < size:
+        for table in tables:
+            while s < table.size:
                 low, s = np.minimum(low[::2], low[1::2]), 2 * s
-            window = np.minimum(low[:-1], low[1:])
-            for k, t in mine:
-                if t[1] == size and len(at := np.flatnonzero(window == t[4][band])):
-                    found.setdefault(k, []).append(at * size)
-    return {k: np.unique(np.concatenate(v)) for k, v in found.items()}
+            place, template = table.meet(np.minimum(low[:-1], low[1:]), band)
+            if len(place):
+                found.append(np.stack((template, place * table.size)))
+    if not found:
+        return {}
+    pairs = np.unique(np.concatenate(found, 1), axis=1)
+    cut = np.flatnonzero(np.diff(pairs[0], prepend=-1))
+    return {int(pairs[0][a]): starts for a, starts in zip(cut, np.split(pairs[1], cut[1:]), strict=True)}
 
 
 def verify(h: np.ndarray, template) -> list[tuple[str, int, int, float]]:
@@ -117,20 +203,21 @@ def verify(h: np.ndarray, template) -> list[tuple[str, int, int, float]]:
     return found
 
 
-def scan(texts: list[np.ndarray], templates) -> list[list[tuple[str, int, int, float]]]:
+def scan(texts: list[np.ndarray], templates, tables: dict[int, list[Bands]] | None = None) -> list[list[tuple[str, int, int, float]]]:
     """Matches of each text, given as word numbers. Texts are hashed end to end; shingles that
     cross an end are blanked, and verification looks at one text at a time."""
     out: list[list] = [[] for _ in texts]
     ids = np.concatenate([*texts, np.zeros(0, np.uint64)])
     ends = np.cumsum([len(t) for t in texts])
-    for width in sorted({t[0] for t in templates}):
+    tables = tables or {width: banded(templates, width) for width in {t[0] for t in templates}}
+    for width in sorted(tables):
         if len(ids) < width:
             continue
         h = shingles(ids, width)
         for j in range(1, width):
             over = ends - j
             h[over[(over >= 0) & (over < len(h))]] = _NONE
-        for k, starts in retrieve(h, width, templates).items():
+        for k, starts in retrieve(h, tables[width]).items():
             size = 2 * templates[k][1]
             first, last = np.searchsorted(ends, starts, "right"), np.searchsorted(ends, starts + size - 1, "right")
             near = {d for a, b in zip(first.tolist(), last.tolist(), strict=True) for d in range(a, min(b + 1, len(texts)))}
@@ -147,11 +234,12 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     def make():
         numbers = _Numbers()
         known = index(templates, numbers)
+        tables = {width: banded(known, width) for width in {t[0] for t in known}}
 
         def work(batch):
             names, matches = [], []
             texts = [numbered(t, numbers) for t in byte_texts(batch["text"])]
-            for got in scan(texts, known):
+            for got in scan(texts, known, tables):
                 names.append(sorted({g[0] for g in got}))
                 matches.append([dict(zip(("license", "first", "last", "containment"), g, strict=True)) for g in got])
             kind = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("containment", pa.float64())]))
