@@ -4,13 +4,17 @@ Words of a piece of rows become numbers; windows get polynomial hashes from pref
 pass serves every length. Windows are sorted by (document, hash); neighbours with one hash are
 compared word by word, so equal hashes of different windows do no harm.
 
-Defined results: null and empty texts have no words and fail the base rule; repeated rows are
-judged each by itself; other columns are not read.
+Characters are code points, of n-grams and of lines alike, and the first copy counts as well as the
+others. The base rule rejects texts under ``MIN_WORDS`` words, clean ones among them.
+
+Defined results: null and empty texts have no words and fail the base rule; a share at its limit is
+kept; repeated rows are judged each by itself; an empty table gives no rows; a very long text is a piece
+of its own and measured whole; other columns are not read, or go through unchanged in ``row``.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import chain, count
 
 import numpy as np
@@ -21,6 +25,7 @@ from .common import arrow_map, byte_texts, judged, mix64
 
 #: n-gram length -> largest share of a text's word characters inside n-grams found twice or more.
 COVERAGE = {5: 0.40, 8: 0.30, 10: 0.30}
+#: Largest share of the characters of a text's lines with a word in lines found twice or more, the first included.
 LINE_SHARE = 0.30
 MIN_WORDS, REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 _NOT_SYMBOLS = bytes(set(range(256)) - set(b"#*$%&|<>"))
@@ -71,17 +76,10 @@ def measure(texts: list[bytes], lengths: tuple[int, ...]) -> dict[str, np.ndarra
     out = {"n_words": n, "word_chars": total(chars).astype(np.int64), "n_symbols": np.array([len(t.translate(None, _NOT_SYMBOLS)) for t in texts], np.int64)}
     again, share = [], []
     for t in texts:
-        seen: set[bytes] = set()
-        k = size = 0
-        if b"\n" in t:
-            for line in t.split(b"\n"):
-                if line in seen:
-                    k += 1
-                    size += len(line)
-                elif line.strip():
-                    seen.add(line)
-        again.append(k)
-        share.append(size / max(len(t), 1))
+        many = Counter(line for line in t.split(b"\n") if line.strip())
+        again.append(many.total() - len(many))
+        twice = sum(n * len(line.decode()) for line, n in many.items() if n > 1)
+        share.append(twice / max(sum(n * len(line.decode()) for line, n in many.items()), 1) if twice else 0.0)
     out |= {"n_dup_lines": np.array(again, np.int64), "line_share": np.array(share)}
     for size in lengths:
         inside = repeated(ids, doc, size)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table
 from .decontaminate import decontaminate
 from .language_id import identify
 from .license_scan import scan_licenses
@@ -15,7 +15,7 @@ from .near_dup import near_duplicates
 from .packing import pack
 from .quality_model import quality
 from .quality_rules import quality_rules
-from .token_rollup import Rollup, count_tokens, inserts
+from .token_rollup import Rollup, count_tokens, deletes, inserts, revisions
 from .toxicity import toxicity
 from .url_filter import filter_urls
 
@@ -57,11 +57,23 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, committed as one batch; the second commit of that batch changes nothing."""
+    """All documents through the signed path: half are loaded with counts that a revision mends, half are
+    loaded, deleted and inserted again; each batch is committed twice and a compaction lies between."""
+    counts = materialize(count_tokens(table(spark, sf_dir, "documents")), "counts")
+    half = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(2)), F.lit(0))
+    a, b = counts.filter(half == 0), counts.filter(half == 1)
+    stale = a.withColumn("n_tokens", F.col("n_tokens") + 1)
     rollup = Rollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    deltas = inserts(count_tokens(table(spark, sf_dir, "documents")))
-    rollup.commit("load", deltas)
-    rollup.commit("load", deltas)
+
+    def commit(**batches: DataFrame) -> None:
+        for _ in range(2):
+            for name, deltas in batches.items():
+                rollup.commit(name, deltas)
+
+    commit(load_a=inserts(stale), load_b=inserts(b))
+    commit(revise_a=revisions(stale, a), delete_b=deletes(b))
+    rollup.compact()
+    commit(load_a=inserts(stale), again_b=inserts(b))
     return rollup.totals()
 
 
@@ -102,6 +114,30 @@ SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM words w LEFT JOIN inside USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+_OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM d),
+spots AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS win FROM w, (VALUES (5), (8), (10)) AS sizes(n), unnest(range(1, greatest(len(w) - n + 2, 1))) AS u(i)),
+twice AS (SELECT r, n, win FROM spots GROUP BY ALL HAVING count(*) > 1),
+inside AS (SELECT DISTINCT r, n, unnest(range(i, i + n)) AS k FROM spots JOIN twice USING (r, n, win)),
+cover AS (
+  SELECT r, coalesce(count(*) FILTER (n = 8), 0) AS n_repeat_words, coalesce(sum(length(w.w[k])) FILTER (n = 5), 0) AS c5,
+    coalesce(sum(length(w.w[k])) FILTER (n = 8), 0) AS c8, coalesce(sum(length(w.w[k])) FILTER (n = 10), 0) AS c10
+  FROM inside JOIN w USING (r) GROUP BY r
+), lines AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL),
+dup AS (SELECT r, sum(n - 1) AS n_dup_lines, coalesce(sum(n * length(line)) FILTER (n > 1), 0) / sum(n * length(line))::DOUBLE AS line_share FROM lines GROUP BY r),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(line_share, 0) AS line_share, coalesce(c5, 0) AS c5, coalesce(c8, 0) AS c8, coalesce(c10, 0) AS c10
+  FROM w LEFT JOIN cover USING (r) LEFT JOIN dup USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND line_share <= 0.3::DOUBLE AND c5 / greatest(word_chars, 1)::DOUBLE <= 0.4::DOUBLE
+    AND c8 / greatest(word_chars, 1)::DOUBLE <= 0.3::DOUBLE AND c10 / greatest(word_chars, 1)::DOUBLE <= 0.3::DOUBLE AS kept
+FROM m
+"""
+
 _OP2_SQL = rf"""
 WITH RECURSIVE cut AS (
   SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
@@ -137,4 +173,4 @@ SELECT page_id, host, path, rule, coalesce(verdict_, CASE WHEN block AND NOT all
 FROM own LEFT JOIN tops ON own.key = tops.node LEFT JOIN classes USING (top)
 """
 
-ORACLE_SQL = {"op1_decontaminate": _OP1_SQL, "op2_url_filter": _OP2_SQL}
+ORACLE_SQL = {"op1_decontaminate": _OP1_SQL, "op2_url_filter": _OP2_SQL, "op7_quality_rules": _OP7_SQL}
