@@ -17,6 +17,15 @@ _TOKEN = re.compile(r"""\s*(?:(?P<num>0x[0-9a-fA-F]+|\d+\.?\d*(?:[eE][-+]?\d+)?|
 _LEVELS = (("&&", "||"), ("==", "!=", "=~", "!~"), (">", ">=", "<", "<="), ("|",), ("^",), ("&",), ("+", "-"), ("*", "/", "%"))
 
 
+#: Named classes of bracket expressions, as Java spells them.
+_CLASSES = {n: n.capitalize() for n in ("alpha", "digit", "alnum", "upper", "lower", "punct", "graph", "print", "blank", "cntrl", "space")} | {"xdigit": "XDigit"}
+
+
+def _java(pattern: str) -> str:
+    """An extended regular expression as Java reads it: its named classes are spelt otherwise."""
+    return re.sub(r"\[:(\w+):\]", lambda m: rf"\p{{{_CLASSES[m[1]]}}}" if m[1] in _CLASSES else m[0], pattern)
+
+
 class Value:
     def __init__(self, col: Column, text: bool = False, pattern: str | None = None):
         self.col, self.text, self.pattern = col, text, pattern
@@ -99,12 +108,13 @@ class _Parser:
         self.take(")")
         x = args[0].col
         d = x.cast("double")
-        codes = lambda: F.transform(F.split(x, ""), lambda c: F.ascii(c))
+        # of bytes, not of characters
+        codes = lambda: F.transform(F.regexp_extract_all(F.hex(x), F.lit(".."), 0), lambda c: F.conv(c, 16, 10).cast("int"))
         known = {
-            "length": lambda: Value(F.length(x).cast("double")),
+            "length": lambda: Value(F.octet_length(x).cast("double")),
             "min": lambda: Value(F.array_min(codes()).cast("double")),
             "max": lambda: Value(F.array_max(codes()).cast("double")),
-            "avg": lambda: Value(F.aggregate(codes(), F.lit(0.0), lambda a, c: a + c) / F.length(x)),
+            "avg": lambda: Value(F.aggregate(codes(), F.lit(0.0), lambda a, c: a + c) / F.nullif(F.octet_length(x), F.lit(0))),
             "exists": lambda: _bool(x.isNotNull()),
             "default": lambda: Value(F.coalesce(x, args[1].col), args[1].text),
             "exp": lambda: Value(F.exp(d)),
@@ -125,7 +135,7 @@ def _binary(op: str, a: Value, b: Value) -> Value:
             return _bool(F.when(p.isNotNull() & q.isNotNull(), p & q))
         return _bool(F.when(F.coalesce(p, F.lit(False)) | F.coalesce(q, F.lit(False)), True).when(p.isNotNull() & q.isNotNull(), False))
     if op in ("=~", "!~"):
-        hit = x.cast("string").rlike(b.pattern) if b.pattern is not None else F.rlike(x.cast("string"), y)
+        hit = x.cast("string").rlike(_java(b.pattern)) if b.pattern is not None else F.rlike(x.cast("string"), y)
         return _bool(hit if op == "=~" else ~hit)
     if op in ("==", "!=", ">", ">=", "<", "<="):
         if a.text != b.text:

@@ -39,3 +39,28 @@ def introns(exons: Column) -> Column:
 
 def exons_len(exons: Column) -> Column:
     return F.aggregate(exons, F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"] + 1)
+
+
+def exon_overlap(a: Column, b: Column) -> Column:
+    """Bases that the exons of two transcripts share; the exons of either do not overlap."""
+    common = lambda x, y: F.greatest(F.lit(0).cast("long"), F.least(x["end"], y["end"]) - F.greatest(x["start"], y["start"]) + 1)
+    return F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + F.aggregate(b, F.lit(0).cast("long"), lambda k, y: k + common(x, y)))
+
+
+def expand(start: Column, end: Column, by: int = 0, to_start: Column | None = None, to_end: Column | None = None) -> Column:
+    """A wider interval: by bases on both sides (the start stays at 1 at least), and to hold another one."""
+    s, e = F.greatest(start - by, F.lit(1)) if by else start, end + by
+    if to_start is not None:
+        s, e = F.least(s, to_start), F.greatest(e, to_end)
+    return F.struct(s.alias("start"), e.alias("end"))
+
+
+def set_cds(exons: Column, cds_start: Column, cds_end: Column, phase: Column | None = None) -> Column:
+    """(start, end, phase, parts) of a coding span, its parts being what it has of the exons; null where it
+    reaches beyond the transcript."""
+    inside = (cds_start >= F.element_at(exons, 1)["start"]) & (cds_end <= F.element_at(exons, -1)["end"]) & (cds_start <= cds_end)
+    parts = F.transform(
+        F.filter(exons, lambda x: (x["start"] <= cds_end) & (cds_start <= x["end"])),
+        lambda x: F.struct(F.greatest(x["start"], cds_start).alias("start"), F.least(x["end"], cds_end).alias("end")),
+    )
+    return F.when(inside, F.struct(cds_start.alias("start"), cds_end.alias("end"), (F.lit(0) if phase is None else phase).alias("phase"), parts.alias("parts")))

@@ -82,3 +82,9 @@ def coverage_tag(zs: Column) -> Column:
     """The tag cov|fpkm|tpm as numbers; -1 for what is missing."""
     parts = F.split(zs, r"\|")
     return F.struct(*(F.coalesce(F.try_element_at(parts, F.lit(i)).try_cast("double"), F.lit(-1.0)).alias(n) for i, n in enumerate(("cov", "fpkm", "tpm"), 1)))
+
+
+def valid(alignments, least: int = 10):
+    """Rows that are mapped, have a place and at least ``least`` bases in their exon blocks."""
+    bases = F.aggregate("exons", F.lit(0).cast("long"), lambda a, e: a + e["end"] - e["start"] + 1)
+    return alignments.filter(~has(F.col("flag"), "unmap") & (F.col("start") >= 1) & (bases >= least))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 _CODES, _PAIRS = "ACGTUNRYKMSWBDHVacgtunrykmswbdhv", "TGCAANYRMKSWVHDBtgcaanyrmkswvhdb"
 #: The standard genetic code in TCAG order.
 _AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-_CODON = dict(zip(map("".join, product("TCAG", repeat=3)), _AMINO, strict=True))
+CODONS = dict(zip(map("".join, product("TCAG", repeat=3)), _AMINO, strict=True))
 
 
 def revcomp(seq: Column) -> Column:
@@ -31,7 +31,7 @@ def kmers(seq: Column, k: int) -> Column:
 
 def translate_dna(seq: Column) -> Column:
     """Amino acids of whole codons; X where a codon has an ambiguous base."""
-    table = F.create_map(*[F.lit(x) for pair in _CODON.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in CODONS.items() for x in pair])
     codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("(?s).{3}"), 0)
     return F.coalesce(F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), ""), F.lit(""))
 

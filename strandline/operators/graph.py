@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import revcomp
-from .stored import stored
+from .stored import discard, stored
 
 
 def em_coverage(reads: DataFrame, targets: DataFrame, rounds: int, until: float | None = None) -> DataFrame:
@@ -48,12 +48,16 @@ def components(edges: DataFrame) -> DataFrame:
     e = edges.filter("a is not null and b is not null").select("a", "b")
     both = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     found = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), "labels")
+    before = None
     while found.filter("moved").limit(1).count():
         labels = found.select("node", "component")
         beside = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         near = labels.join(beside, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("near"))
         top = labels.select(F.col("node").alias("near"), F.col("component").alias("top"))
-        found = stored(near.join(top, "near").select("node", F.least("near", "top").alias("component"), (F.least("near", "top") < F.col("was")).alias("moved")), "labels")
+        if before is not None:
+            discard(before)
+        before, found = found, stored(near.join(top, "near").select("node", F.least("near", "top").alias("component"), (F.least("near", "top") < F.col("was")).alias("moved")), "labels")
+    discard(both)
     return found.select("node", "component")
 
 
@@ -77,14 +81,17 @@ def flipped(path: Column) -> Column:
     return F.transform(F.reverse(path), lambda u: F.concat(F.regexp_replace(u, "[FR]$", ""), F.translate(F.regexp_extract(u, "[FR]$", 0), "FR", "RF")))
 
 
-def path_matches(reads: DataFrame, supers: DataFrame, both: bool = False) -> DataFrame:
+def path_matches(reads: DataFrame, supers: DataFrame, both: bool = False, width: int = 4) -> DataFrame:
     """(id, path): where a read's path is a run of a super-read's: read, super, offset, and with
-    ``both`` the direction F or R. Rows meet on the first unitig alone; the rest is compared in place."""
+    ``both`` the direction F or R. Rows meet on a path's first ``width`` unitigs, all of a shorter path, so that
+    a common unitig alone brings nothing together; the rest is compared in place."""
     r = reads.select(F.col("id").alias("read"), "path", F.lit("F").alias("direction"))
     if both:
         r = r.unionByName(r.select("read", flipped(F.col("path")).alias("path"), F.lit("R").alias("direction")))
-    r = r.filter(F.size("path") > 0).withColumn("u", F.element_at("path", 1))
-    s = supers.select(F.col("id").alias("super"), F.col("path").alias("whole"), F.posexplode("path").alias("offset", "u"))
+    r = r.filter(F.size("path") > 0).withColumn("u", F.slice("path", 1, width))
+    s = supers.select(F.col("id").alias("super"), F.col("path").alias("whole"), F.posexplode("path").alias("offset", "u_")).drop("u_")
+    left = F.least(F.size("whole") - F.col("offset"), F.lit(width))
+    s = s.select("super", "whole", "offset", F.explode(F.transform(F.sequence(F.lit(1), left), lambda n: F.slice("whole", F.col("offset") + 1, n))).alias("u"))
     hits = r.join(s, "u").filter(F.slice("whole", F.col("offset") + 1, F.size("path")) == F.col("path"))
     return hits.select("read", "super", "offset", *(["direction"] if both else []))
 

@@ -83,3 +83,30 @@ def gene_segment_chains(chains: DataFrame, segments: DataFrame) -> DataFrame:
 
     got = per.select("gene", F.explode(F.aggregate("g", none, step)).alias("d")).select("gene", F.col("d.chain").alias("chain"), F.col("d.segment").alias("segment"))
     return chains.select("gene", "chain").join(got, ["gene", "chain"], "left")
+
+
+def promoted(parts: DataFrame, parents: DataFrame) -> DataFrame:
+    """(parent_id, contig, strand, start, end) whose parent no record defines -> id, contig, strand, start, end,
+    exons: a transcript over the parts of each such parent on each contig and strand."""
+    lost = parts.filter("parent_id is not null").join(parents.select(F.col("id").alias("parent_id")).distinct(), "parent_id", "left_anti")
+    spans = F.array_sort(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))))
+    return lost.groupBy(F.col("parent_id").alias("id"), "contig", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), spans.alias("exons"))
+
+
+def joined_parts(parts: DataFrame) -> DataFrame:
+    """(key, kind, start, end), kind exon or CDS -> key, kind, start, end: parts of a key as one where they overlap or
+    touch, but of two CDS only where they touch. A union with a CDS is a CDS. A key's parts are one group."""
+    row = F.struct("start", "end", "kind")
+    kind = "array<struct<start:bigint,end:bigint,kind:string>>"
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.element_at(done, -1)
+        coding = (last["kind"] == "CDS") & (x["kind"] == "CDS")
+        meets = F.when(coding, x["start"] == last["end"] + 1).otherwise(x["start"] <= last["end"] + 1)
+        held = (x["start"] >= last["start"]) & (x["end"] <= last["end"])
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.when((last["kind"] == "CDS") | (x["kind"] == "CDS"), "CDS").otherwise(last["kind"]).alias("kind"))
+        return F.when(F.size(done) == 0, F.array(x)).when(held, done).when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
+
+    sound = parts.filter("start <= end").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
+    per = sound.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("g"))
+    return per.select("key", F.inline(F.aggregate(F.col("g").cast(kind), F.array().cast(kind), step))).select("key", "kind", "start", "end")

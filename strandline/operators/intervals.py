@@ -33,50 +33,48 @@ def overlap_join(a: DataFrame, b: DataFrame, bin_size: int = BIN, slack: int = 0
     return pairs.withColumns({"b_start": F.col("b_start") + slack, "b_end": F.col("b_end") - slack}) if slack else pairs
 
 
-def _local(df: DataFrame, gap: int, by: list[str]) -> DataFrame:
-    """Rows with a sorted running reach inside each key of ``by``: ``fresh_`` where a cluster begins."""
+def _numbered(df: DataFrame, gap: int, by: list[str], name: str) -> DataFrame:
+    """Clusters of each key in one window: for keys whose rows are few."""
     order = Window.partitionBy(*by).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return df.withColumn("fresh_", reach.isNull() | (F.col("start") > reach + gap))
-
+    marked = df.withColumn("fresh_", (reach.isNull() | (F.col("start") > reach + gap)).cast("long"))
+    return marked.withColumn(name, F.sum("fresh_").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh_")
 
-def _numbered(df: DataFrame, gap: int, by: list[str], name: str) -> DataFrame:
-    running = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
-    return _local(df, gap, by).withColumn(name, F.sum(F.col("fresh_").cast("long")).over(running)).drop("fresh_")
 
+def _cells(df: DataFrame, gap: int, by: list[str], block: int, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (by, start) with the greatest end, the number of rows, sums, and the number ``cluster_``.
 
-def _pieces(df: DataFrame, gap: int, by: list[str], block: int, sums: tuple[str, ...] = ()) -> DataFrame:
-    """Clusters of each (by, block) alone, numbered across blocks.
-
-    Rows that start together are one cluster in any case: they are combined before the shuffle. A
-    contig's window then sees pieces, of which there are at most its length / (gap + 1) plus its blocks.
+    Rows that start together are one cluster in any case: they are combined first, so a block has at most
+    ``block`` cells however many rows a contig has. What a block needs of those before it is the
+    greatest end and the number of clusters: the windows over a contig see one row a block.
     """
     at = [*by, "block_"]
     totals = [F.sum(c).alias(c) for c in sums]
-    rows = df.withColumn("block_", F.floor(F.col("start") / block)).groupBy(*at, "start").agg(F.max("end").alias("end"), F.count("*").alias("n"), *totals)
-    rows = _numbered(rows, gap, at, "piece_")
-    pieces = rows.groupBy(*at, "piece_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *totals)
-    return _numbered(pieces, gap, by, "cluster_")
+    cells = df.groupBy(*by, "start").agg(F.max("end").alias("end"), F.count("*").alias("n"), *totals).withColumn("block_", F.floor(F.col("start") / block))
+    before = Window.partitionBy(*by).orderBy("block_").rowsBetween(Window.unboundedPreceding, -1)
+    carry = cells.groupBy(*at).agg(F.max("end").alias("top_")).select(*at, F.max("top_").over(before).alias("carry_"))
+    order = Window.partitionBy(*at).orderBy("start")
+    reach = F.greatest("carry_", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    marked = cells.join(carry, at).withColumn("fresh_", (reach.isNull() | (F.col("start") > reach + gap)).cast("long"))
+    base = marked.groupBy(*at).agg(F.sum("fresh_").alias("n_")).select(*at, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("base_"))
+    running = F.sum("fresh_").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return marked.join(base, at).withColumn("cluster_", F.col("base_") + running).drop("block_", "carry_", "fresh_", "base_")
 
 
 def clusters(df: DataFrame, gap: int, by: tuple[str, ...] = ("contig",), name: str = "cluster", block: int | None = BIN) -> DataFrame:
     """Adds the number of the cluster within its contig: a new one begins past the running end + gap.
 
-    With a block size a contig is swept in blocks, so that a hot one spreads over many tasks; None
-    sweeps each key in one window, for keys whose rows are few. Rows without key or interval have no
-    cluster (null) in the first case.
+    With a block size a contig is swept in blocks, so that a hot one spreads over many tasks, and rows
+    meet the cluster of their start; None sweeps each key in one window, for keys whose rows are few.
+    Rows without key or interval have no cluster (null) in the first case.
     """
     keys = list(by)
     if block is None:
         return _numbered(df, gap, keys, name)
-    at = [*keys, "block_"]
     sound = " and ".join(f"`{c}` is not null" for c in [*by, "start", "end"]) + " and start <= end"
-    pieces = _pieces(df.filter(sound).select(*by, "start", "end"), gap, keys, block)
-    # a row belongs to the last piece of its block that begins at or before it
-    marks = pieces.groupBy(*at).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("cluster_").alias("c")))).alias("marks_"))
-    rows = df.withColumn("block_", F.when(F.expr(sound), F.floor(F.col("start") / block)))
-    mine = F.aggregate("marks_", F.lit(None).cast("long"), lambda a, m: F.when(m["s"] <= F.col("start"), m["c"]).otherwise(a))
-    return rows.join(marks, at, "left").withColumn(name, mine).select(*df.columns, name)
+    found = _cells(df.filter(sound).select(*by, "start", "end"), gap, keys, block).select(*by, "start", F.col("cluster_").alias(name))
+    rows = df.join(found, [*keys, "start"], "left")
+    return rows.select(*df.columns, F.when(F.expr(sound), F.col(name)).alias(name))
 
 
 def merged(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), sums: tuple[str, ...] = (), block: int | None = BLOCK) -> DataFrame:
@@ -86,10 +84,10 @@ def merged(df: DataFrame, gap: int = 0, by: tuple[str, ...] = ("contig",), sums:
     totals = [F.sum(c).alias(c) for c in sums]
     sound = df.filter("start <= end").select(*by, "start", "end", *sums)
     if block is None:
-        pieces = _numbered(sound.groupBy(*by, "start").agg(F.max("end").alias("end"), F.count("*").alias("n"), *totals), gap, keys, "cluster_")
+        cells = _numbered(sound.groupBy(*by, "start").agg(F.max("end").alias("end"), F.count("*").alias("n"), *totals), gap, keys, "cluster_")
     else:
-        pieces = _pieces(sound, gap, keys, block, sums)
-    return pieces.groupBy(*by, "cluster_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *totals).drop("cluster_")
+        cells = _cells(sound, gap, keys, block, sums)
+    return cells.groupBy(*by, "cluster_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), *totals).drop("cluster_")
 
 
 def coverage(df: DataFrame, weight: Column | None = None, by: tuple[str, ...] = ("contig",), block: int | None = BLOCK) -> DataFrame:

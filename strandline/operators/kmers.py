@@ -33,7 +33,12 @@ def histogram(counts: DataFrame, base: int = 1, ceil: int = 10000, increment: in
     return counts.groupBy(bucket.cast("long").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def stats(counts: DataFrame) -> DataFrame:
+def stats(counts: DataFrame, lower: int | None = None, upper: int | None = None) -> DataFrame:
+    """Unique, distinct and total k-mers and the greatest count, of counts within the bounds."""
+    if lower is not None:
+        counts = counts.filter(F.col("count") >= lower)
+    if upper is not None:
+        counts = counts.filter(F.col("count") <= upper)
     return counts.agg(F.count_if(F.col("count") == 1).alias("uniq"), F.count("*").alias("distinct_mers"), F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.max("count"), F.lit(0)).alias("max_count"))
 
 
@@ -60,10 +65,49 @@ def quality_totals(counted: DataFrame, most: int) -> DataFrame:
     return out.select("mer", F.least(F.lit(most), F.when(F.col("hq") == 1, F.col("s")).otherwise(F.col("n"))).alias("count"), "hq")
 
 
-def nx(sizes: DataFrame, shares: tuple[int, ...] = (10, 25, 50, 90), size: str = "size", genome: int | None = None) -> DataFrame:
-    """Nx for each share, of all sizes or a genome's; null where unreachable. Sizes are counted before they are ordered."""
-    counts = sizes.groupBy(F.col(size).alias("size")).agg(F.count("*").alias("n"))
-    run = counts.withColumn("run", F.sum(F.col("n") * F.col("size")).over(Window.orderBy(F.desc("size"))))
-    total = F.lit(genome) if genome else F.sum(F.col("n") * F.col("size")).over(Window.partitionBy())
-    run = run.withColumn("total", total)
-    return run.agg(*(F.max(F.when(F.col("run") * 100 >= F.col("total") * s, F.col("size"))).alias(f"n{s}") for s in shares), F.sum(F.col("n") * F.col("size")).alias("total"), F.sum("n").alias("records"))
+def nx(sizes: DataFrame, shares: tuple[int, ...] = (10, 25, 50, 90), size: str = "size", genome: int | None = None, block: int = 1 << 12) -> DataFrame:
+    """Nx for each share, of all sizes or a genome's (null where unreachable), total, records, average and
+    E-size (the mean size of the record that a base lies in).
+
+    Sizes are counted before they are ordered, and ranked within blocks of sizes on top of what longer
+    blocks hold: the one window over everything sees one row a block.
+    """
+    counts = sizes.filter(F.col(size).isNotNull()).groupBy(F.col(size).cast("long").alias("size")).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("block_", F.floor(F.col("size") / block))
+    held = F.col("n") * F.col("size")
+    blocks = counts.groupBy("block_").agg(F.sum(held).alias("held_"))
+    above = Window.orderBy(F.desc("block_")).rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("block_", F.coalesce(F.sum("held_").over(above), F.lit(0)).alias("base_"))
+    run = counts.join(base, "block_").withColumn("run", F.col("base_") + F.sum(held).over(Window.partitionBy("block_").orderBy(F.desc("size"))))
+    goal = F.lit(genome) if genome else F.col("total_")
+    total = counts.agg(F.sum(held).alias("total_"))  # one row
+    out = run.crossJoin(F.broadcast(total)).agg(
+        *(F.max(F.when(F.col("run") * 100 >= goal * s, F.col("size"))).alias(f"n{s}") for s in shares), F.coalesce(F.sum(held), F.lit(0)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
+        (F.sum(held) / F.sum("n")).alias("average"), (F.sum((held * F.col("size")).cast("double")) / F.sum(held)).alias("e_size"),
+    )
+    return out
+
+
+def length_stats(sizes: DataFrame, size: str = "size") -> DataFrame:
+    """Number, greatest and sum of lengths; zeros for none."""
+    c = F.col(size).cast("long")
+    return sizes.agg(F.count(c).alias("records"), F.coalesce(F.max(c), F.lit(0)).alias("longest"), F.coalesce(F.sum(c), F.lit(0)).alias("bases"))
+
+
+def quality_histogram(counts: DataFrame, most: int = 1000) -> DataFrame:
+    """(mer, count, hq) -> count (what is over ``most`` counts there), low and high: k-mers of either quality."""
+    at = F.least(F.col("count"), F.lit(most)).cast("long").alias("count")
+    return counts.groupBy(at).agg(F.count_if(F.col("hq") == 0).alias("low"), F.count_if(F.col("hq") == 1).alias("high"))
+
+
+def count_seeded(reads: DataFrame, seeds: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """Counts of the k-mers that ``seeds`` (mer) names, 0 for those not seen; others are passed by. Reads
+    are counted first, so each distinct k-mer meets the seeds once."""
+    wanted = seeds.select(canonical(F.col("mer")).alias("mer")).distinct()
+    return query(count_kmers(reads, k, seq=seq).join(wanted, "mer", "left_semi"), wanted)
+
+
+def updated(counts: DataFrame, reads: DataFrame, k: int, seq: str = "seq") -> DataFrame:
+    """A table with the reads' k-mers added to those that it holds; no new k-mers come in."""
+    more = count_kmers(reads, k, seq=seq).select("mer", F.col("count").alias("more_"))
+    return counts.join(more, "mer", "left").select("mer", (F.col("count") + F.coalesce("more_", F.lit(0))).alias("count"))

@@ -8,15 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import exons_len, introns
-from .intervals import BLOCK, clusters
+from .intervals import BLOCK, clusters, overlap_join
 from .stored import stored
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
 
 def assemble(exons: DataFrame, key: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Exon rows to transcripts: start, end, exons in order."""
-    firsts = [F.first(c).alias(c) for c in keep]
+    """Exon rows to transcripts: start, end, exons in order; of ``keep`` columns the least value counts."""
+    firsts = [F.min(c).alias(c) for c in keep]
     out = exons.groupBy(key).agg(*firsts, F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
     return out.withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
 
@@ -41,45 +41,6 @@ def structure_match(a: Column, b: Column, single_share: float = 0.8, reach: int
     return F.when(one, both / F.greatest(exons_len(a), exons_len(b)) >= single_share).otherwise((F.size(a) == F.size(b)) & (introns(a) == introns(b)) & ends)
 
 
-def class_code(m: Column, r: Column, reach: int = 0) -> Column:
-    """How transcript m relates to r: = ~ c k m n j e o i y, or a dot where they lie apart.
-
-    = and ~: one intron chain, ends within reach or not. c: m's introns are a run of r's; k: the other
-    way round. n, m: m keeps introns of r, some or all of r's within its span, unspliced. j: a shared
-    splice site. e: a single exon that crosses into an intron. i: inside an intron of r;
-    y: r inside an intron of m. o: any other overlap of exons.
-    """
-    im, ir = introns(m), introns(r)
-    ms, me, rs, re = F.element_at(m, 1)["start"], F.element_at(m, -1)["end"], F.element_at(r, 1)["start"], F.element_at(r, -1)["end"]
-    apart = (me < rs) | (re < ms)
-    inside = lambda s, e, chain: F.exists(chain, lambda i: (i["start"] <= s) & (e <= i["end"]))
-    touch = F.exists(m, lambda x: F.exists(r, lambda y: (x["start"] <= y["end"]) & (y["start"] <= x["end"])))
-    single_m, single_r = F.size(m) == 1, F.size(r) == 1
-    ends = (F.abs(ms - rs) <= reach) & (F.abs(me - re) <= reach)
-    # a run: what the other has within one's own span is exactly one's own chain
-    within = lambda chain, s, e: F.filter(chain, lambda i: (i["start"] > s) & (i["end"] < e))
-    m_in_r = (F.size(im) > 0) & (F.size(im) < F.size(ir)) & (within(ir, ms, me) == im) & (~F.exists(ir, lambda i: (i["start"] <= ms) & (ms <= i["end"]) | (i["start"] <= me) & (me <= i["end"])))
-    r_in_m = (F.size(ir) > 0) & (F.size(ir) < F.size(im)) & (within(im, rs, re) == ir) & (~F.exists(im, lambda i: (i["start"] <= rs) & (rs <= i["end"]) | (i["start"] <= re) & (re <= i["end"])))
-    kept = F.size(F.filter(ir, lambda i: F.exists(m, lambda x: (x["start"] < i["start"]) & (i["end"] < x["end"]))))
-    site = F.arrays_overlap(F.transform(im, lambda i: i["start"]), F.transform(ir, lambda i: i["start"])) | F.arrays_overlap(F.transform(im, lambda i: i["end"]), F.transform(ir, lambda i: i["end"]))
-    crosses = F.exists(ir, lambda i: (i["start"] <= ms) & (ms <= i["end"]) | (i["start"] <= me) & (me <= i["end"]))
-    return (
-        F.when(apart, ".")
-        .when(single_m & single_r, F.when((ms >= rs) & (me <= re) & (me - ms < re - rs), "c").when((rs >= ms) & (re <= me), "k").otherwise("o"))
-        .when(inside(ms, me, ir), "i")
-        .when(inside(rs, re, im), "y")
-        .when(~single_m & (im == ir), F.when(ends, "=").otherwise("~"))
-        .when(~touch, ".")
-        .when(single_m, F.when(kept > 0, F.when(kept == F.size(ir), "m").otherwise("n")).when(crosses, "e").when(F.exists(r, lambda y: (y["start"] <= ms) & (me <= y["end"])), "c").otherwise("o"))
-        .when(single_r, F.when(F.exists(m, lambda x: (x["start"] <= rs) & (re <= x["end"])), "k").otherwise("o"))
-        .when(m_in_r, "c")
-        .when(r_in_m, "k")
-        .when(kept > 0, F.when(kept == F.size(ir), "m").otherwise("n"))
-        .when(site, "j")
-        .otherwise("o")
-    )
-
-
 def nascents(tx: DataFrame) -> DataFrame:
     """For each intron of a transcript, a prefix in its own direction whose last exon runs through it."""
     n = F.size("exons")
@@ -179,3 +140,39 @@ def merge_by_chain(tx: DataFrame, key: str) -> DataFrame:
     strand, chain, start, end, n, first_<key>."""
     x = tx.select(key, "contig", "strand", "start", F.array_max(F.transform("exons", lambda e: e["end"])).alias("end"), introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
     return x.groupBy("contig", "strand", "chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min(key).alias(f"first_{key}"))
+
+
+def passing(tx: DataFrame, length: int = 50, cov: float = 0.0, fpkm: float = 1.0, tpm: float = 1.0) -> DataFrame:
+    """Transcripts (exons, cov, fpkm, tpm) of at least a length and least values; a missing value, null or
+    negative, passes its test."""
+    enough = lambda c, least: F.col(c).isNull() | (F.col(c) < 0) | (F.col(c) >= least)
+    return tx.filter((exons_len(F.col("exons")) >= length) & enough("cov", cov) & enough("fpkm", fpkm) & enough("tpm", tpm))
+
+
+def merge_isoforms(tx: DataFrame, key: str, label: str = "MSTRG", gap: int = 250) -> DataFrame:
+    """Transcripts of several inputs as one set: gene_id, transcript_id, contig, strand, exons, n, first_<key>.
+
+    Those with one intron chain become one with the widest ends. Single exons become one where they
+    overlap, unless an exon of a kept chain on their strand holds them whole. Transcripts of a strand that lie at
+    most ``gap`` apart are one gene. Genes are numbered by contig, strand and place, transcripts in a gene by
+    their place; single exons on no strand are left out beside stranded ones that hold them.
+    """
+    chains = merge_by_chain(tx, key).withColumnRenamed(f"first_{key}", "first_")
+    inner_starts, inner_ends = F.transform("chain", lambda i: i["end"] + 1), F.transform("chain", lambda i: i["start"] - 1)
+    exons = F.zip_with(F.concat(F.array("start"), inner_starts), F.concat(inner_ends, F.array("end")), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+    many = stored(chains.select("contig", "strand", "start", "end", exons.alias("exons"), "n", "first_"), "chains")
+    single = tx.filter(F.size("exons") == 1).select("contig", "strand", "start", F.element_at("exons", 1)["end"].alias("end"), F.col(key).alias("first_"))
+    united = clusters(single, 0, ("contig", "strand"), "cluster_", BLOCK).groupBy("contig", "strand", "cluster_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min("first_").alias("first_"))
+    held = overlap_join(united.select("contig", "strand", "start", "end"), many.select("contig", "strand", F.explode("exons").alias("e")).select("contig", "strand", "e.start", "e.end"))
+    held = held.filter("(a_strand = b_strand or a_strand = '.') and a_start >= b_start and a_end <= b_end").select(F.col("a_contig").alias("contig"), F.col("a_strand").alias("strand"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct()
+    alone = united.join(held, ["contig", "strand", "start", "end"], "left_anti").select("contig", "strand", "start", "end", F.array(F.struct("start", "end")).alias("exons"), "n", "first_")
+    rows = clusters(many.unionByName(alone), gap, ("contig", "strand"), "locus_", BLOCK)
+    rows = stored(rows, "isoforms")
+    at = ["contig", "strand", "locus_"]
+    genes = rows.groupBy(*at).agg(F.lit(1).alias("one_"))
+    sizes = genes.groupBy("contig", "strand").agg(F.count("*").alias("n_"))  # one row for each contig and strand
+    base = sizes.select("contig", "strand", F.coalesce(F.sum("n_").over(Window.orderBy("contig", "strand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    rank = F.row_number().over(Window.partitionBy(*at).orderBy("start", "end", "exons"))
+    gene = F.concat(F.lit(f"{label}."), (F.col("base_") + F.col("locus_")).cast("string"))
+    out = rows.withColumn("rank_", rank).join(base, ["contig", "strand"]).withColumn("gene_id", gene)
+    return out.select("gene_id", F.concat_ws(".", "gene_id", F.col("rank_").cast("string")).alias("transcript_id"), "contig", "strand", "exons", "n", F.col("first_").alias(f"first_{key}"))

@@ -35,12 +35,12 @@ def gene_clusters(s, d):
     return graph.gene_clusters(e)
 
 
-_PATHS = "us AS (SELECT l_orderkey AS id, l_linenumber AS k, (l_suppkey % 7)::VARCHAR || CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'R' END AS u FROM lineitem WHERE l_linenumber <= 3), p AS (SELECT id, list(u ORDER BY k, u) AS path FROM us GROUP BY 1)"
+_PATHS = "us AS (SELECT l_orderkey AS id, l_linenumber AS k, (l_suppkey % 7)::VARCHAR || CASE WHEN l_linenumber % 2 = 0 THEN 'F' ELSE 'R' END AS u FROM lineitem), p AS (SELECT id, list(u ORDER BY k, u) AS path FROM us GROUP BY 1)"
 
 
 def _paths(s, d):
     """Orders as paths of unitigs."""
-    x = table(s, d, "lineitem").filter("l_linenumber <= 3")
+    x = table(s, d, "lineitem")
     unit = F.concat((F.col("l_suppkey") % 7).cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "F").otherwise("R"))
     return x.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", unit.alias("u")))).alias("us")).select("id", F.transform("us", lambda u: u["u"]).alias("path"))
 
@@ -53,7 +53,8 @@ def path_reversal(s, d):
 
 
 @query(f"""WITH {_PATHS}, q AS (SELECT path, min(id) AS id FROM p GROUP BY path), r AS (SELECT path, id, 'F' AS direction FROM q UNION ALL SELECT list_transform(list_reverse(path), lambda x: substr(x, 1, length(x) - 1) || CASE WHEN x LIKE '%F' THEN 'R' ELSE 'F' END), id, 'R' FROM q),
-h AS (SELECT r.id, q.id AS container, r.direction, o FROM r JOIN q ON len(q.path) > len(r.path) AND q.id <> r.id, unnest(range(0, len(q.path) - len(r.path) + 1)) AS u(o) WHERE q.path[o + 1 : o + len(r.path)] = r.path),
+runs AS (SELECT id, o, path[o + 1:o + n] AS run FROM q, unnest(range(0, len(path))) AS u(o), unnest(range(1, len(path))) AS w(n) WHERE o + n <= len(path)),
+h AS (SELECT r.id, runs.id AS container, r.direction, o FROM r JOIN runs ON runs.run = r.path AND runs.id <> r.id),
 m AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY container, direction, o) AS k FROM h) SELECT id, container, direction, o::INT AS "offset" FROM m WHERE k = 1""")
 def path_reduction(s, d):
     """Distinct paths that lie in a longer one, in either direction."""

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import sam
 from ..functions.filterlang import compile_filter
 from ..functions.intervals import contains, exons_len, introns, overlap_len
-from ..functions.sequence import canonical, revcomp, split_at_n, translate_dna
+from ..functions.sequence import CODONS, canonical, revcomp, split_at_n, translate_dna
 from ..functions.variants import genotype_class, variant_type
 from ..operators import graph, intervals, quant, records, transcripts
 from ..operators import kmers as km
-from . import annotation, assembly  # noqa: F401  (they add their queries)
+from . import annotation, assembly, formats, more, structure  # noqa: F401  (they add their queries)
 from .adapters import EX, IV, MERS, PAIRS, SEQ, TX, exons, guides, iv, merged_exons, reads, sequences, table
 from .registry import ORACLE_SQL, QUERIES, query
 
@@ -236,12 +236,6 @@ def feature_dedup(s, d):
     return f.select("id", "contig", F.col("start").alias("f_start"), F.col("end").alias("f_end"), "strand", F.size("owners").cast("long").alias("n_owners"), F.element_at("owners", 1).alias("first_owner"))
 
 
-@query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx) SELECT a.tx AS a_tx, b.tx AS b_tx FROM ch a JOIN ch b ON a.chain = b.chain AND a.tx < b.tx""")
-def tx_structure_match(s, d):
-    chains = _tx(s, d).select("tx", introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
-    return chains.select(F.col("tx").alias("a_tx"), "chain").join(chains.select(F.col("tx").alias("b_tx"), "chain"), "chain").filter("a_tx < b_tx").select("a_tx", "b_tx")
-
-
 @query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx) SELECT tx, rank() OVER (ORDER BY chain) AS place FROM ch""")
 def sort_by_intron_chain(s, d):
     """Places by intron chain."""
@@ -249,14 +243,6 @@ def sort_by_intron_chain(s, d):
     return records.places(chains, "chain", F.element_at("chain", 1)["start"]).select("tx", "place")
 
 
-@query()
-def class_code(s, d):
-    """Codes of guide-like and read-like transcripts that overlap; compared by a plain version in tests."""
-    tx = _tx(s, d)
-    pairs = intervals.overlap_join(tx.filter("tx % 2 = 0"), tx.filter("tx % 2 = 1"))
-    return pairs.groupBy(transcripts.class_code(F.col("a_exons"), F.col("b_exons")).alias("code")).agg(F.count("*").alias("n"))
-
-
 # --- alignment fields, filter language, variants ---------------------------------------------
 
 
@@ -346,7 +332,7 @@ _NX = "WITH c AS (SELECT n_chars AS size, count(*) AS n FROM documents GROUP BY
 
 @query(f"{_NX} SELECT max(size) FILTER (run * 100 >= t * 10) AS n10, max(size) FILTER (run * 100 >= t * 25) AS n25, max(size) FILTER (run * 100 >= t * 50) AS n50, max(size) FILTER (run * 100 >= t * 90) AS n90, max(t)::BIGINT AS total, sum(n)::BIGINT AS records FROM r")
 def nx_stats(s, d):
-    return km.nx(table(s, d, "documents"), size="n_chars")
+    return km.nx(table(s, d, "documents"), size="n_chars").drop("average", "e_size")
 
 
 @query(f"WITH {SEQ} SELECT id, length(seq) AS size, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5, md5(least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))) AS canon_md5 FROM seqs")
@@ -360,7 +346,11 @@ def seq_split_n(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(split_at_n(F.col("text"))).alias("part", "seq")).select("id", F.col("part").cast("long").alias("part"), "seq")
 
 
-@query()
+_CODON_SQL = "(VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in CODONS.items()) + ") AS codons(codon, amino)"
+
+
+@query(f"""WITH {SEQ}, c AS (SELECT id, i, substr(seq, i, 3) AS codon FROM seqs, unnest(range(1, length(seq) - 1, 3)) AS u(i)), p AS (SELECT id, string_agg(amino, '' ORDER BY i) AS protein FROM c JOIN {_CODON_SQL} USING (codon) GROUP BY id)
+SELECT id, coalesce(protein, '') AS protein FROM seqs LEFT JOIN p USING (id)""")
 def seq_translate(s, d):
     return sequences(s, d).select("id", translate_dna(F.col("seq")).alias("protein"))
 

@@ -26,6 +26,38 @@ def gtf(tx: DataFrame, source: str = "strandline") -> DataFrame:
     return tx.select(F.explode(lines).alias("value"))
 
 
+def _escaped(c: Column) -> Column:
+    """A value of a GFF3 attribute: characters that mean something there as %XX."""
+    out = c.cast("string")
+    for sign, code in (("%", "%25"), (";", "%3B"), ("=", "%3D"), ("&", "%26"), (",", "%2C"), ("\t", "%09"), ("\n", "%0A")):
+        out = F.replace(out, F.lit(sign), F.lit(code))
+    return out
+
+
+def gff3(tx: DataFrame, source: str = "strandline") -> DataFrame:
+    """transcript_id, gene_id, contig, strand, start, end, exons -> a transcript line and its exon lines."""
+    name = _escaped(F.col("transcript_id"))
+    own = F.concat(F.lit("ID="), name, F.lit(";geneID="), _escaped(F.col("gene_id")))
+    row = lambda kind, s, e, text: _line(F.col("contig"), F.lit(source), F.lit(kind), s, e, F.lit("."), F.col("strand"), F.lit("."), text)
+    lines = F.concat(F.array(row("transcript", F.col("start"), F.col("end"), own)), F.transform("exons", lambda x: row("exon", x["start"], x["end"], F.concat(F.lit("Parent="), name))))
+    return tx.select(F.explode(lines).alias("value"))
+
+
+def tlf(tx: DataFrame, source: str = "strandline") -> DataFrame:
+    """One line a transcript, its exons in an attribute, its coding span (cds_start, cds_end) where there is one."""
+    spans = F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    text = F.concat(F.lit("ID="), _escaped(F.col("transcript_id")), F.lit(";geneID="), _escaped(F.col("gene_id")), F.lit(";exonCount="), F.size("exons").cast("string"), F.lit(";exons="), spans)
+    if {"cds_start", "cds_end"} <= set(tx.columns):
+        text = F.concat(text, F.coalesce(F.concat(F.lit(";CDS="), F.col("cds_start").cast("string"), F.lit(":"), F.col("cds_end").cast("string")), F.lit("")))
+    return tx.select(_line(F.col("contig"), F.lit(source), F.lit("transcript"), F.col("start"), F.col("end"), F.lit("."), F.col("strand"), F.lit("."), text))
+
+
+def gtab(tx: DataFrame) -> DataFrame:
+    """transcript_id, contig, start, end, strand and exons in one tabulated line."""
+    spans = F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return tx.select(_line(F.col("transcript_id"), F.col("contig"), F.col("start"), F.col("end"), F.col("strand"), spans))
+
+
 def bed12(tx: DataFrame) -> DataFrame:
     sizes = F.concat(F.array_join(F.transform("exons", lambda x: (x["end"] - x["start"] + 1).cast("string")), ","), F.lit(","))
     starts = F.concat(F.array_join(F.transform("exons", lambda x: (x["start"] - F.col("start")).cast("string")), ","), F.lit(","))

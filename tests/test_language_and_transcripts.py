@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions.filterlang import compile_filter
-from strandline.operators import graph, intervals, records, transcripts
+from strandline.operators import classes, graph, intervals, records, transcripts
 from strandline.streaming.bundles import stream_bundles, stream_lookup
 
 EX = "array<struct<start:bigint,end:bigint>>"
@@ -57,18 +57,37 @@ def test_filter_errors(spark, text):
         ([(1, 30)], [(5, 10), (20, 25)], "m"),
         ([(1, 30)], [(5, 10), (20, 28), (40, 50)], "n"),
         ([(1, 10), (22, 30)], [(1, 10), (20, 30)], "j"),
-        ([(5, 15)], [(1, 10), (20, 30)], "e"),
+        ([(5, 15)], [(1, 10), (20, 30)], "o"),
+        ([(1, 35)], [(1, 20), (50, 60)], "e"),
         ([(12, 18)], [(1, 10), (20, 30)], "i"),
         ([(1, 10), (20, 30)], [(12, 18)], "y"),
-        ([(5, 40)], [(1, 30)], "o"),
+        ([(5, 40)], [(1, 30)], "~"),
+        ([(25, 60)], [(1, 30)], "o"),
         ([(5, 20)], [(1, 30)], "c"),
-        ([(1, 30)], [(1, 30)], "k"),
+        ([(25, 60)], [(30, 40)], "k"),
+        ([(1, 30)], [(1, 30)], "="),
+        ([(1, 30)], [(2, 33)], "~"),
+        ([(5, 10), (20, 30)], [(1, 10), (20, 30), (40, 50), (60, 70)], "c"),
+        ([(5, 10), (20, 33)], [(1, 10), (20, 30), (40, 50)], "c"),
+        ([(5, 10), (20, 35)], [(1, 10), (20, 30), (40, 50)], "j"),
+        ([(5, 10), (20, 45)], [(1, 10), (20, 30), (40, 50)], "m"),
+        ([(5, 10), (22, 45)], [(1, 10), (20, 30), (40, 50)], "n"),
+        ([(1, 10), (20, 30)], [(8, 10), (20, 90)], "~"),
+        ([(12, 14), (16, 18)], [(1, 10), (20, 30)], "i"),
+        ([(1, 9), (30, 40)], [(12, 14), (16, 18)], "y"),
         ([(1, 3)], [(10, 30)], "."),
     ],
 )
 def test_class_codes(spark, m, r, code):
     df = spark.createDataFrame([(m, r)], f"m {EX}, r {EX}")
-    assert df.select(transcripts.class_code(F.col("m"), F.col("r")).alias("x")).first()["x"] == code
+    assert df.select(classes.class_code(F.col("m"), F.col("r")).alias("x")).first()["x"] == code
+
+
+def test_class_codes_without_single_ends(spark):
+    df = spark.createDataFrame([([(1, 30)], [(1, 30)]), ([(5, 40)], [(1, 30)]), ([(1, 10), (20, 30)], [(1, 10), (20, 30)])], f"m {EX}, r {EX}")
+    assert [r["x"] for r in df.select(classes.class_code(F.col("m"), F.col("r"), single_ends=False).alias("x")).collect()] == ["k", "k", "="]
+    ranks = spark.createDataFrame([("=",), ("u",), ("?",), (None,)], "c string").select(classes.code_rank(F.col("c")).alias("x"), classes.coding_code(F.col("c"), F.lit(False)).alias("y")).collect()
+    assert [tuple(r) for r in ranks] == [(0, ":"), (94, "u"), (96, "?"), (100, None)]
 
 
 def test_nascents(spark):
