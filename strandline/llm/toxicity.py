@@ -36,7 +36,7 @@ from .sampling import joined_sample
 SAMPLE, PREDICT, SUPPORT = 1500, 0.7, 3
 #: Features without meaning that luck may let into the lexicon, as an upper bound of their expected number.
 CHANCE = 20
-#: Counters of the character model; distinct tokens or trigrams that a task holds before it passes them on.
+#: Counters of the character model; distinct trigrams, and four times as many tokens, that a task holds before it passes them on.
 COUNTERS, HELD = 1 << 20, 1 << 16
 #: Least precision of a word, and of a word's beginning, which many clean words may share.
 PRECISION, BEGINNING = 0.74, 0.97
@@ -52,6 +52,9 @@ SUBSTITUTE, DROP, DROP_AT_EDGE, TWICE = 1.0, 3.0, 1.5, 1.0
 _PURE = "".join(c for c in _EDGE if c not in LEET)
 _SPACED = re.compile(r"(?<![^\s])(?:[^\s][ \t]+){2,}[^\s](?![^\s])")
 _CLEAN = re.compile(r"[\W\d_]+")
+_TRIPLE = re.compile(r"(.)\1\1")
+#: Tokens whose reading a worker remembers.
+MEMO = 1 << 18
 
 
 class CharModel:
@@ -153,7 +156,7 @@ def char_model(docs: DataFrame, counters: int = COUNTERS) -> CharModel:
             for piece in pieces(batch):
                 for text in piece["text"].to_pylist():
                     tokens.update(text.lower().split())
-                if len(tokens) > HELD:
+                if len(tokens) > 4 * HELD:
                     grams.update(trigrams(tokens))
                     tokens.clear()
                 if len(grams) > HELD:
@@ -181,33 +184,46 @@ def _gapped(run: str) -> str:
     return "".join(c if k % 2 == 0 else " " if len(c) > least else "" for k, c in enumerate(parts))
 
 
+def readings(token: str, model: CharModel) -> tuple[str, ...]:
+    """What a lower-case token may say: itself or what its odd signs stand for, and a second reading
+    where signs at its edges may be letters."""
+    if token.isalpha() and not _TRIPLE.search(token):
+        return (token,)
+    core, outer = token.strip(_EDGE).rstrip("!"), token.strip(_PURE)
+    if core.isalpha() and not _TRIPLE.search(core):
+        found = core
+    else:
+        found = _CLEAN.sub("", core) if not _ODD.search(core) or not has_letter(core) else model.decode(core)
+    other = model.decode(outer) if outer != core and has_letter(outer) else found
+    return (found,) if other == found else (found, other)
+
+
+def spelt(low: str, model: CharModel) -> list[str]:
+    """Words that letters spaced apart spell; a one-letter word may stand at either end of a run."""
+    out = []
+    for m in _SPACED.finditer(low):
+        run = "".join(m[0].split())
+        if has_letter(run):
+            out += [model.decode(part.strip(_EDGE)) for part in {run, run[1:], run[:-1], run[1:-1]}]
+            out += model.decode(_gapped(m[0]).strip(_EDGE)).split()
+    return out
+
+
 def restored(text: str, model: CharModel, memo: dict[str, tuple[str, ...]]) -> tuple[list[str], list[str]]:
     """(tokens of the text, restored where odd; words that letters spaced apart spell, and second
-    readings of tokens whose signs at an edge may be letters)."""
+    readings of tokens)."""
     low = text.lower()
 
-    def readings(token: str) -> tuple[str, ...]:
-        core, outer = token.strip(_EDGE).rstrip("!"), token.strip(_PURE)
-        found = _CLEAN.sub("", core) if not _ODD.search(core) or not has_letter(core) else model.decode(core)
-        other = model.decode(outer) if outer != core and has_letter(outer) else found
-        return (found,) if other == found else (found, other)
-
     def word(token: str) -> tuple[str, ...]:
         found = memo.get(token)
         if found is None:
-            if len(memo) > 1 << 17:
+            if len(memo) > MEMO:
                 memo.clear()
-            found = memo[token] = readings(token)
+            found = memo[token] = readings(token, model)
         return found
 
-    more = []
-    for m in _SPACED.finditer(low):
-        run = "".join(m[0].split())
-        if has_letter(run):  # a one-letter word may stand at either end of what is spelt
-            more += [model.decode(part.strip(_EDGE)) for part in {run, run[1:], run[:-1], run[1:-1]}]
-            more += model.decode(_gapped(m[0]).strip(_EDGE)).split()
     tokens = [word(t) for t in low.split()]
-    more += [w for t in tokens for w in t[1:]]
+    more = [*spelt(low, model), *(w for t in tokens for w in t[1:])]
     return [t[0] for t in tokens], [w for w in more if w]
 
 
@@ -256,17 +272,27 @@ def by_luck(ones: int, zeros: int, rate: float) -> float:
     return math.exp(-n * (x * math.log(x / rate) + ((1 - x) * math.log((1 - x) / (1 - rate)) if x < 1 else 0.0)))
 
 
+def hits_of(words, lexicon: dict[str, float]) -> tuple[str, ...]:
+    return tuple(f for w in words if w for f in features(w) if f in lexicon)
+
+
 def score(text: str | None, model: CharModel, lexicon: dict[str, float], memo: dict[str, tuple[str, ...]]) -> float:
+    """Noisy-or of the distinct features of the lexicon that a text holds; ``memo``: those of tokens met before."""
     if not text:
         return 0.0
-    tokens, joined = restored(text, model, memo)
-    left, seen = 1.0, set()
-    for w in {*tokens, *joined}:
-        for f in features(w) if w else ():
-            if f in lexicon and f not in seen:
-                seen.add(f)
-                left *= 1 - lexicon[f]
-    return 1 - left
+    low = text.lower()
+    tokens, seen = set(low.split()), set()
+    for token in tokens:
+        found = memo.get(token)
+        if found is None:
+            if len(memo) > MEMO:
+                memo.clear()
+            found = memo[token] = hits_of(readings(token, model), lexicon)
+        if found:
+            seen.update(found)
+    if any(len(t) == 1 for t in tokens):
+        seen.update(hits_of(spelt(low, model), lexicon))
+    return 1 - math.prod(1 - lexicon[f] for f in sorted(seen))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, predict: float = PREDICT) -> DataFrame:
