@@ -6,14 +6,33 @@ from pyspark.sql import functions as F
 
 from ..operators import graph, hierarchy, joining, unitigs
 from ..operators import kmers as km
-from .adapters import sequences, table
+from .adapters import MERS, sequences, table
 from .registry import query
 
 
-@query()
+_UNITIG_SQL = f"""WITH RECURSIVE {MERS.replace("{k}", "13")}, kept AS (SELECT * FROM kc WHERE "count" >= 2),
+nodes AS (SELECT mer, "count" FROM kept UNION SELECT reverse(translate(mer, 'ACGT', 'TGCA')), "count" FROM kept),
+ends AS (SELECT substr(mer, 2) AS at_, mer AS a, NULL::VARCHAR AS b FROM nodes UNION ALL SELECT substr(mer, 1, 12), NULL::VARCHAR, mer FROM nodes),
+one AS (SELECT min(a) AS a, min(b) AS b FROM ends GROUP BY at_ HAVING count(a) = 1 AND count(b) = 1),
+links AS (SELECT a, b FROM one WHERE a <> b AND reverse(translate(a, 'ACGT', 'TGCA')) NOT IN (a, b) AND reverse(translate(b, 'ACGT', 'TGCA')) <> b),
+walk AS (
+  SELECT mer, mer AS seq, 1 AS n, "count" AS total FROM nodes WHERE mer NOT IN (SELECT b FROM links)
+  UNION ALL SELECT nodes.mer, seq || right(nodes.mer, 1), n + 1, total + nodes."count" FROM walk JOIN links ON walk.mer = a JOIN nodes ON nodes.mer = b
+), whole AS (SELECT seq, n, total FROM walk WHERE mer NOT IN (SELECT a FROM links)),
+ring AS (SELECT mer, "count" FROM nodes WHERE mer NOT IN (SELECT mer FROM walk)),
+tour AS (
+  SELECT mer AS first_, mer, mer AS seq, 1 AS n, "count" AS total FROM ring
+  UNION ALL SELECT first_, ring.mer, seq || right(ring.mer, 1), n + 1, total + ring."count" FROM tour JOIN links ON tour.mer = a JOIN ring ON ring.mer = b WHERE b <> first_
+), least_ AS (SELECT first_ FROM tour GROUP BY first_ HAVING min(least(mer, reverse(translate(mer, 'ACGT', 'TGCA')))) = first_),
+rings AS (SELECT max(seq) AS seq, n, max(total) AS total FROM tour JOIN least_ USING (first_) WHERE n = (SELECT max(n) FROM tour AS t WHERE t.first_ = tour.first_) GROUP BY first_, n)
+SELECT DISTINCT seq, n::BIGINT AS kmers, round(total / n::DOUBLE, 6) AS coverage FROM (SELECT * FROM whole UNION ALL SELECT * FROM rings) WHERE seq <= reverse(translate(seq, 'ACGT', 'TGCA'))"""
+
+
+@query(_UNITIG_SQL)
 def unitig_build(s, d):
-    """Unitigs of the 13-mers of all sequences that occur at least twice."""
-    return unitigs.build(km.count_kmers(sequences(s, d), 13, least=2), 13)
+    """Unitigs of the 13-mers of all sequences that occur at least twice; the SQL walks link by link."""
+    got = unitigs.build(km.count_kmers(sequences(s, d), 13, least=2), 13)
+    return got.select("seq", "kmers", F.round("coverage", 6).alias("coverage"))
 
 
 @query()

@@ -77,6 +77,22 @@ def test_read_matches(spark):
         assert {(3, "F", 0, 0, 2), (3, "F", 13, 13, 17)} <= got
 
 
+def test_unitigs_with_low_counts(spark):
+    rng = random.Random(5)
+    genome = "".join(rng.choice("ACGT") for _ in range(80))
+    side = genome[:30] + PAIR[genome[30]] + genome[31:50]
+    seen = lambda *reads: count_kmers(spark.createDataFrame([(r,) for r in reads], ["seq"]), 13)
+    built = lambda counts, **how: {r["seq"]: r["kmers"] for r in unitigs.build(counts, 13, **how).collect()}
+    # a branch seen once beside a path seen three times is none, and is no unitig of its own
+    assert built(seen(*[genome] * 3, side), threshold=2, low_run=3) == {canon(genome): 68}
+    assert len(built(seen(*[genome] * 3, side))) > 2
+    # between two parts seen often there are two k-mers seen once: one in a row more than may be passed, or not
+    parts = seen(*[genome[:40]] * 3, *[genome[30:]] * 3, genome)
+    assert built(parts, threshold=2, low_run=2) == {canon(genome): 68}
+    assert built(parts, threshold=2, low_run=1) == {canon(genome[:40]): 28, canon(genome[30:]): 38}
+    assert built(parts, least=2) == built(parts, threshold=2)
+
+
 def test_correct_reads(spark):
     rng = random.Random(8)
     genome = "".join(rng.choice("ACGT") for _ in range(300))
