@@ -111,3 +111,8 @@ def updated(counts: DataFrame, reads: DataFrame, k: int, seq: str = "seq") -> Da
     """A table with the reads' k-mers added to those that it holds; no new k-mers come in."""
     more = count_kmers(reads, k, seq=seq).select("mer", F.col("count").alias("more_"))
     return counts.join(more, "mer", "left").select("mer", (F.col("count") + F.coalesce("more_", F.lit(0))).alias("count"))
+
+
+def table_entries(genome: int, k: int, reads: int, full: float = 0.8) -> int:
+    """Entries to reserve for a k-mer table: a genome's, and k for each read (of an error in it), at a load."""
+    return -(-int((genome + k * reads) * 1000) // int(full * 1000))

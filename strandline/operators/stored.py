@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """The shared folder; a temporary one only where none is set and the session is local, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
@@ -26,7 +26,7 @@ def _folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str = "round") -> DataFrame:
     """Writes df to the shared folder and reads it back; the folder goes at the end of the program, or with ``discard``."""
     spark = df.sparkSession
-    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored = path

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from ..functions.filterlang import compile_filter
 from ..functions.intervals import parse_region
 from ..functions.text import ensembl_id, percent_decode, reduce_attrs
 from ..functions.variants import trimmed_alleles
-from ..operators import kmers, records
-from ..sources import readers, writers
-from .adapters import IV, iv, sequences, table
+from ..operators import kmers, records, stored
+from ..sources import bam, indexed, readers, writers
+from .adapters import IV, SEQ, iv, sequences, table
 from .registry import query
 from .structure import DENSE, dense
 
@@ -164,6 +166,43 @@ def merged_inputs(s, d):
     return got.select("file_idx", "id", F.row_number().over(Window.partitionBy("contig").orderBy("start", "end", "file_idx", "id")).cast("long").alias("place"))
 
 
+@query(f"""WITH {IV} SELECT 'r' || id AS qname, flag, 'chr' || contig AS contig, "start" % 100000 AS pos, (id % 61)::INT AS mapq, cigar, CASE WHEN id % 2 = 0 OR contig = 7 THEN '=' ELSE 'chr7' END AS rnext, 5::BIGINT AS pnext, (id % 300 - 150)::BIGINT AS tlen,
+  repeat('ACGTN', qlen // 5) || substr('ACGTN', 1, qlen % 5) AS seq, nh::INT AS nh, CASE WHEN id % 3 = 0 THEN '+' END AS xs, 'a:b' || id AS note FROM iv JOIN {_SHAPE_SQL} ON k = id % 7 WHERE cigar <> '*'""")
+def bam_records(s, d):
+    """Alignments written to binary files and read again."""
+    i = F.col("id")
+    cigar = F.get(F.array(*map(F.lit, _CIGARS)), (i % 7).cast("int"))
+    x = iv(s, d).withColumn("cigar", cigar).filter("cigar <> '*'").withColumn("n", sam.query_len(F.col("cigar")).cast("int"))
+    seq = F.concat(F.expr("repeat('ACGTN', cast(floor(n / 5) as int))"), F.expr("substring('ACGTN', 1, n % 5)"))
+    tags = F.map_filter(F.create_map(F.lit("NH"), F.col("nh").cast("string"), F.lit("XS"), F.when(i % 3 == 0, "+"), F.lit("ZZ"), F.concat(F.lit("a:b"), i)), lambda k, v: v.isNotNull())
+    rows = x.select(
+        F.concat(F.lit("r"), i).alias("qname"), "flag", F.concat(F.lit("chr"), "contig").alias("contig"), (F.col("start") % 100000).alias("start"), (i % 61).cast("int").alias("mapq"), "cigar",
+        F.when(i % 2 == 0, "=").otherwise("chr7").alias("rnext"), F.lit(5).cast("long").alias("pnext"), (i % 300 - 150).alias("tlen"), seq.alias("seq"), F.lit("*").alias("qual"), tags.alias("tags"),
+    )
+    path = f"{stored.folder(s)}/bam-{uuid.uuid4().hex}"
+    bam.write_bam(rows, path, [(f"chr{k}", 1 << 29) for k in range(20)])
+    got = bam.bam(s, path)
+    names = ("qname", "flag", "contig", F.col("start").alias("pos"), "mapq", "cigar", F.when(F.col("rnext") == "chr7", "chr7").otherwise("=").alias("rnext"), "pnext", "tlen", "seq", "nh", "xs")
+    return got.select(*names, F.element_at("tags", "ZZ").alias("note"))
+
+
+@query(f"""WITH {IV} SELECT id, contig FROM iv WHERE contig = 3 AND "end" >= 1704500000 AND "start" <= 1705500000 OR contig = 11 AND "end" >= 1704000000 AND "start" <= 1704300000""")
+def region_indexed(s, d):
+    """Rows of two regions out of files kept by contig and place."""
+    path = f"{stored.folder(s)}/indexed-{uuid.uuid4().hex}"
+    indexed.write_indexed(iv(s, d), path)
+    return indexed.read_regions(s, path, (3, 1704500000, 1705500000), (11, 1704000000, 1704300000)).select("id", F.col("contig").cast("long").alias("contig"))
+
+
+@query(f"WITH {SEQ}, r AS (SELECT id, 1 + id * 13 % 90 AS a, seq FROM seqs) SELECT id, substr(seq, a, 40) AS part FROM r WHERE a <= length(seq)")
+def sequence_fetch(s, d):
+    """Parts of sequences that are kept in chunks of 32 bases."""
+    x = sequences(s, d).select(F.col("id").alias("name"), "seq")
+    at = 1 + F.col("id") * 13 % 90
+    want = sequences(s, d).select("id", F.col("id").alias("name"), at.alias("start"), (at + 39).alias("end"))
+    return indexed.fetch(indexed.chunked(x, 32), want, 32).select("id", F.col("seq").alias("part"))
+
+
 # --- writers ---------------------------------------------------------------------------------
 
 _GTF = "'gene_id \"g' || contig || '\"; transcript_id \"' || tx || '\";'"

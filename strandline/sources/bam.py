@@ -1,4 +1,4 @@
-"""Binary alignments as DataFrames: the columns of the text reader, and all tags as a map.
+"""Binary alignments as DataFrames and back: the columns of the text reader, and all tags as a map.
 
 A file is inflated as a stream, record after record, so a worker holds one batch of rows whatever the
 file's size. Files are read side by side, one task a file: their records do not begin at block
@@ -8,7 +8,9 @@ boundaries, so a range of a file can't be told apart from the middle of a record
 from __future__ import annotations
 
 import gzip
+import re
 import struct
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -119,3 +121,102 @@ def bam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     files = files.repartitionByRange(max(1, spark.sparkContext.defaultParallelism), "length", "path")
     rows = files.select("path").mapInArrow(run, _OUT)
     return with_blocks(rows.withColumns({t.lower(): F.try_element_at("tags", F.lit(t)) for t in ("NH", "HI", "NM", "XS", "ts")}))
+
+
+#: What a block's extra field begins with, the empty block at a file's end, bytes in a block.
+_BLOCK_HEAD = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0"
+_LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
+BLOCK = 0xFF00
+#: Tags of whole numbers and of one letter; others are text.
+_WHOLE, _LETTER = frozenset(("NH", "HI", "NM", "AS", "nM", "MQ")), frozenset(("XS", "ts"))
+
+
+def block(data: bytes) -> bytes:
+    """One block of a blocked gzip file, which any gzip reader reads too; at most ``BLOCK`` bytes."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = pack.compress(data) + pack.flush()
+    return _BLOCK_HEAD + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
+
+
+def blocks(data) -> bytes:
+    """Bytes, or an iterator of bytes, as a whole blocked gzip file."""
+    out, rest = [], b""
+    for part in [data] if isinstance(data, bytes) else data:
+        rest += part
+        while len(rest) >= BLOCK:
+            out.append(block(rest[:BLOCK]))
+            rest = rest[BLOCK:]
+    return b"".join([*out, *([block(rest)] if rest else []), _LAST_BLOCK])
+
+
+def _bin(first: int, last: int) -> int:
+    """The smallest cell of the 8-way tree over 2^29 bases that holds both places (from 0)."""
+    for shift in (14, 17, 20, 23, 26):
+        if first >> shift == last >> shift:
+            return ((1 << (29 - shift)) - 1) // 7 + (first >> shift)
+    return 0
+
+
+def _tag(name: str, value: str) -> bytes:
+    if name in _WHOLE and re.fullmatch(r"-?\d+", value):
+        return name.encode() + b"i" + struct.pack("<i", int(value))
+    if name in _LETTER and len(value) == 1:
+        return name.encode() + b"A" + value.encode()
+    return name.encode() + b"Z" + value.encode() + b"\0"
+
+
+def _packed(r: dict, refs: dict[str, int]) -> bytes:
+    ops = [(int(n), _OPS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", r["cigar"] or "")]
+    seq = "" if r["seq"] in (None, "*") else r["seq"].upper()
+    codes = [_BASES.index(c) if c in _BASES else 15 for c in seq] + [0] * (len(seq) % 2)
+    qual = b"\xff" * len(seq) if r["qual"] in (None, "*") else bytes(ord(c) - 33 for c in r["qual"])
+    ref, first = refs.get(r["contig"], -1), (r["start"] or 0) - 1
+    span = sum(n for n, o in ops if _OPS[o] in "MDN=X")
+    mate = ref if r["rnext"] == "=" else refs.get(r["rnext"], -1)
+    name = (r["qname"] or "*").encode() + b"\0"
+    tags = b"".join(_tag(k, v) for k, v in r["tags"] or () if v is not None)
+    if len(ops) > 0xFFFF:  # more than the record's own field holds
+        tags += b"CGBI" + struct.pack(f"<I{len(ops)}I", len(ops), *(n << 4 | o for n, o in ops))
+        ops = [(len(seq), 4), (span, 3)]
+    body = _HEAD.pack(ref, first, len(name), r["mapq"] or 0, _bin(max(first, 0), max(first, 0) + max(span, 1) - 1), len(ops), r["flag"] or 0, len(seq), mate, (r["pnext"] or 0) - 1, r["tlen"] or 0) + name
+    body += struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual + tags
+    return struct.pack("<i", len(body)) + body
+
+
+def write_bam(alignments: DataFrame, path: str, contigs: list[tuple[str, int]]) -> int:
+    """Writes one file for each partition, whole in itself, to a folder that all executors share; the number of rows.
+
+    Columns as the reader gives them: qname, flag, contig, start, mapq, cigar, rnext, pnext, tlen, seq, qual and, if
+    there, tags (a map of text). A contig outside the dictionary ``contigs`` (name, length) is none. A file takes its
+    name when it is complete, so that a task that is run again leaves one file.
+    """
+    names = [f.name for f in _KIND]
+    have = set(alignments.columns)
+    cols = [F.col(n) if n in have else F.lit(None).cast(kind).alias(n) for n, kind in (x.split(" ", 1) for x in _OUT.split(", "))]
+    refs = {name: k for k, (name, _) in enumerate(contigs)}
+    text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{n}\tLN:{size}\n" for n, size in contigs)
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(contigs))
+    head += b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", size) for n, size in contigs)
+
+    def run(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        system, folder = fs.FileSystem.from_uri(path) if "://" in path else fs.FileSystem.from_uri("file://" + path.removeprefix("file:"))
+        system.create_dir(folder, recursive=True)
+        staged, final = f"{folder}/.part-{task.partitionId():05d}-{task.taskAttemptId()}", f"{folder}/part-{task.partitionId():05d}.bam"
+        rows, rest = 0, head
+        with system.open_output_stream(staged, compression=None) as out:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    rest += _packed(r, refs)
+                    rows += 1
+                    while len(rest) >= BLOCK:
+                        out.write(block(rest[:BLOCK]))
+                        rest = rest[BLOCK:]
+            out.write((block(rest) if rest else b"") + _LAST_BLOCK)
+        system.move(staged, final)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["n"])
+
+    return alignments.select(*cols).select(*names).mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

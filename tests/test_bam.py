@@ -60,3 +60,38 @@ def test_broken_files(spark, tmp_path):
             bam.bam(spark, f"{tmp_path}/{name}.bam").count()
     stored(tmp_path / "none.bam", whole([]))
     assert bam.bam(spark, f"{tmp_path}/none.bam").count() == 0
+
+
+def test_written_files_are_read_again(spark, tmp_path):
+    tags = {"NH": "2", "XS": "-", "CO": "a text", "NM": "x"}
+    rows = [("r1", 99, "chr1", 100, 60, "5S3M100N4M", "=", 300, 250, "ACGTNACGTACG", "?" * 12, tags), ("r2", 4, "*", 0, 0, "*", "*", 0, 0, "*", "*", {}), ("r3", 16, "chrX", 10, 1, "3M", "chr1", 6, -7, "ACG", "*", None), (None, 4, None, None, None, None, None, None, None, None, None, None)]
+    kind = "qname string, flag int, contig string, start long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
+    df = spark.createDataFrame(rows, kind)
+    assert bam.write_bam(df.repartition(3), f"{tmp_path}/out", REFS) == 4
+    names = kind.replace(" ", ",").split(",")
+    got = {r["qname"]: r for r in bam.bam(spark, f"{tmp_path}/out").collect()}
+    for want in rows[:3]:
+        for name, value in zip(("qname", "flag", "contig", "start", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"), want, strict=True):
+            assert got[want[0]][name] == (value or {} if name == "tags" else value), (want[0], name)
+    assert got["*"]["contig"] == "*"
+    assert len(names) > 12
+    many = spark.range(30000).selectExpr("concat('r', id) qname", "0 flag", "'chr1' contig", "id % 4000 + 1 start", "60 mapq", "'4M' cigar", "'*' rnext", "0L pnext", "0L tlen", "'ACGT' seq", "'IIII' qual")
+    assert bam.write_bam(many, f"{tmp_path}/many", REFS) == 30000
+    assert bam.bam(spark, f"{tmp_path}/many").selectExpr("sum(start)", "count(distinct qname)").first() == many.selectExpr("sum(start)", "count(distinct qname)").first()
+    long = "1M1N" * 40000 + "1M"
+    one = spark.createDataFrame([("long", 0, "chr1", 1, 9, long, "*", 0, 0, "A" * 40001, "*")], kind.rsplit(", ", 1)[0])
+    bam.write_bam(one, f"{tmp_path}/long", REFS)
+    assert bam.bam(spark, f"{tmp_path}/long").first()["cigar"] == long
+
+
+def test_blocks_are_gzip(tmp_path):
+    data = bytes(range(256)) * 1000
+    packed_ = bam.blocks(data)
+    assert gzip.decompress(packed_) == data == gzip.decompress(bam.blocks([data[:7], b"", data[7:]]))
+    at = sizes = 0
+    while at < len(packed_):  # each block tells its own length
+        n = struct.unpack_from("<H", packed_, at + 16)[0] + 1
+        sizes += struct.unpack_from("<I", packed_, at + n - 4)[0]
+        at += n
+    assert (at, sizes) == (len(packed_), len(data))
+    assert gzip.decompress(bam.blocks(b"")) == b""
