@@ -41,8 +41,8 @@ def _single_pair(m: Column, r: Column, reach: int, ends: bool) -> Column:
     return F.when(same, "=").when(near, "~").otherwise(plain) if ends else plain
 
 
-def _single_on_many(m: Column, r: Column) -> Column:
-    s, e, chain = F.get(m, F.lit(0))["start"], F.get(m, F.lit(0))["end"], introns(r)
+def _single_on_many(m: Column, r: Column, chain: Column) -> Column:
+    s, e = F.get(m, F.lit(0))["start"], F.get(m, F.lit(0))["end"]
     in_exon = _first(F.transform(r, lambda y: (s <= y["end"]) & (y["start"] <= e) & (s > y["start"] - POKE) & (e < y["end"] + POKE)))
     over = _first(F.transform(chain, lambda i: (s < i["start"] - 1) & (e > i["end"] + 1)))
     inside = _first(F.transform(chain, lambda i: (s >= i["start"]) & (e <= i["end"])))
@@ -51,10 +51,10 @@ def _single_on_many(m: Column, r: Column) -> Column:
     return F.when(spans, "m").when((in_exon < _NEVER) & (in_exon <= F.least(over, inside)), "c").when(over < inside, "n").when(inside < _NEVER, "i").when(part, "e").otherwise("o")
 
 
-def _many_on_single(m: Column, r: Column) -> Column:
+def _many_on_single(m: Column, r: Column, chain: Column) -> Column:
     s, e = F.get(r, F.lit(0))["start"], F.get(r, F.lit(0))["end"]
     held = _first(F.transform(m, lambda x: (s <= x["end"]) & (x["start"] <= e) & (s > x["start"] - POKE) & (e < x["end"] + POKE)))
-    inside = _first(F.transform(introns(m), lambda i: (s >= i["start"]) & (e <= i["end"])))
+    inside = _first(F.transform(chain, lambda i: (s >= i["start"]) & (e <= i["end"])))
     return F.when((held < _NEVER) & (held <= inside), "k").when(inside < _NEVER, "y").otherwise("o")
 
 
@@ -69,8 +69,7 @@ def _crossed(beyond: Column, at: Column, from_left: bool) -> Column:
     return F.exists(beyond, lambda i: (at < i["start"]) if from_left else (at > i["end"]))
 
 
-def _many_on_many(m: Column, r: Column, reach: int) -> Column:
-    im, ir = introns(m), introns(r)
+def _many_on_many(m: Column, r: Column, im: Column, ir: Column, reach: int) -> Column:
     ms, me, rs, re = F.get(m, F.lit(0))["start"], F.element_at(m, -1)["end"], F.get(r, F.lit(0))["start"], F.element_at(r, -1)["end"]
     m_first, m_last, r_first, r_last = F.get(m, F.lit(0)), F.element_at(m, -1), F.get(r, F.lit(0)), F.element_at(r, -1)
     inside = F.exists(ir, lambda i: (ms >= i["start"]) & (me <= i["end"]))
@@ -109,8 +108,9 @@ def _many_on_many(m: Column, r: Column, reach: int) -> Column:
     )
 
 
-def class_code(m: Column, r: Column, reach: int = 0, single_ends: bool = True) -> Column:
+def class_code(m: Column, r: Column, reach: int = 0, single_ends: bool = True, im: Column | None = None, ir: Column | None = None) -> Column:
     """How transcript m (sorted exons) relates to r, whatever their strands; a dot where they lie apart.
+    Their introns, im and ir, may be given as columns that are there already; that spares much work.
 
     = and ~: one intron chain, ends within reach or not; of single exons: ends within reach, or 80 % of the
     longer shared. c, k: m is contained in r, or r in m, exon ends poking at most three bases into an intron;
@@ -121,9 +121,9 @@ def class_code(m: Column, r: Column, reach: int = 0, single_ends: bool = True) -
     """
     apart = (F.element_at(m, -1)["end"] < F.get(r, F.lit(0))["start"]) | (F.element_at(r, -1)["end"] < F.get(m, F.lit(0))["start"])
     one_m, one_r = F.size(m) == 1, F.size(r) == 1
-    return (
-        F.when(apart, ".").when(one_m & one_r, _single_pair(m, r, reach, single_ends)).when(one_m, _single_on_many(m, r)).when(one_r, _many_on_single(m, r)).otherwise(_many_on_many(m, r, reach))
-    )
+    im, ir = introns(m) if im is None else im, introns(r) if ir is None else ir
+    single = F.when(one_m & one_r, _single_pair(m, r, reach, single_ends)).when(one_m, _single_on_many(m, r, ir)).otherwise(_many_on_single(m, r, im))
+    return F.when(apart, ".").when(one_m | one_r, single).otherwise(_many_on_many(m, r, im, ir, reach))
 
 
 def coding_code(code: Column, same_cds: Column) -> Column:
@@ -139,16 +139,16 @@ def classify(queries: DataFrame, refs: DataFrame, run: int = 2000, reach: int =
     queries, if there) of at least ``repeats``; u otherwise. Codes go by rank, then by shared bases, then the
     least reference.
     """
-    keep = ["id", "contig", "strand", "start", "end", "exons"]
+    keep = ["id", "contig", "strand", "start", "end", "exons", introns(F.col("exons")).alias("introns")]
     pairs = overlap_join(queries.select(*keep), refs.select(*keep), slack=run)
-    m, r = F.col("a_exons"), F.col("b_exons")
+    m, r, im, ir = (F.col(c) for c in ("a_exons", "b_exons", "a_introns", "b_introns"))
     meets = lambda a, b: F.exists(a, lambda i: F.exists(b, lambda j: (i["start"] <= j["end"]) & (j["start"] <= i["end"])))
-    plain = class_code(m, r, reach)
+    plain = class_code(m, r, reach, im=im, ir=ir)
     opposite = F.col("a_strand").isin("+", "-") & F.col("b_strand").isin("+", "-") & (F.col("a_strand") != F.col("b_strand"))
     behind = F.when(F.col("a_strand") == "-", F.col("b_start") - F.col("a_end")).otherwise(F.col("a_start") - F.col("b_end"))
     follows = (F.col("a_strand") == F.col("b_strand")) & behind.between(1, run)
     over = (F.col("a_start") <= F.col("b_end")) & (F.col("b_start") <= F.col("a_end"))
-    turned = F.when(meets(introns(m), introns(r)), "s").when(meets(m, r), "x").otherwise(plain)
+    turned = F.when(meets(im, ir), "s").when(meets(m, r), "x").otherwise(plain)
     code = F.when(over, F.when(opposite, turned).otherwise(plain)).when(follows, "p")
     coded = pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("ref"), code.alias("code"), exon_overlap(m, r).alias("common")).filter("code is not null")
     best = coded.groupBy("id").agg(F.min(F.struct(code_rank(F.col("code")).alias("rank"), (-F.col("common")).alias("less"), "ref", "code")).alias("b"))

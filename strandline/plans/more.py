@@ -139,7 +139,7 @@ def bases_per_read(s, d):
 # --- unitigs and placements ------------------------------------------------------------------
 
 _UNITS = """{seq}, u AS (SELECT id AS unitig, substr(seq, 20, 30) AS s FROM seqs WHERE id % 4 = 0 AND length(seq) >= 60), r AS (SELECT id, seq FROM seqs),
-um AS (SELECT unitig, i - 1 AS u_at, substr(s, i, 11) AS m FROM u, unnest(range(1, length(s) - 9)) AS t(i)), rm AS (SELECT id, i - 1 AS r_at, substr(seq, i, 11) AS m FROM r, unnest(range(1, length(seq) - 9)) AS t(i)),
+um AS (SELECT unitig, i - 1 AS u_at, substr(s, i, 15) AS m FROM u, unnest(range(1, length(s) - 13)) AS t(i)), rm AS (SELECT id, i - 1 AS r_at, substr(seq, i, 15) AS m FROM r, unnest(range(1, length(seq) - 13)) AS t(i)),
 uc AS (SELECT *, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) AS c FROM um), rc AS (SELECT *, least(m, reverse(translate(m, 'ACGT', 'TGCA'))) AS c FROM rm),
 h AS (SELECT id, unitig, r_at, u_at, (rc.m = rc.c) = (uc.m = uc.c) AS same FROM rc JOIN uc USING (c)),
 l AS (SELECT *, CASE WHEN same THEN u_at - r_at ELSE u_at + r_at END AS line FROM h),
@@ -151,7 +151,7 @@ def read_unitig_matches(s, d):
     """Runs of k-mers that reads share with unitigs, here parts of some sequences."""
     x = sequences(s, d)
     u = x.filter("id % 4 = 0 and length(seq) >= 60").select(F.col("id").alias("unitig"), F.substring("seq", 20, 30).alias("seq"))
-    got = unitigs.read_matches(x, u, 11)
+    got = unitigs.read_matches(x, u, 15)
     return got.select("id", "unitig", "direction", F.col("read_at").cast("long").alias("read_at"), F.col("unitig_at").cast("long").alias("unitig_at"), "kmers")
 
 

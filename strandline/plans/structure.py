@@ -92,14 +92,14 @@ CODES = f"""{_PAIRS}, k1 AS (
 
 
 def _dense_pairs(s, d):
-    tx = dense(s, d)
+    tx = dense(s, d).withColumn("introns", transcripts.introns(F.col("exons")))
     return intervals.overlap_join(tx.filter("tx % 2 = 0"), tx.filter("tx % 2 = 1"))
 
 
 @query(f"WITH {CODES} SELECT a AS a_tx, b AS b_tx, code FROM codes")
 def class_code(s, d):
     """The code of each pair of an even and an odd transcript that overlap."""
-    return _dense_pairs(s, d).select("a_tx", "b_tx", classes.class_code(F.col("a_exons"), F.col("b_exons")).alias("code"))
+    return _dense_pairs(s, d).select("a_tx", "b_tx", classes.class_code(*(F.col(c) for c in ("a_exons", "b_exons")), im=F.col("a_introns"), ir=F.col("b_introns")).alias("code"))
 
 
 _RANK = "CASE code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in classes.RANK.items()) + " END"
