@@ -33,7 +33,8 @@ def introns(exons: Column) -> Column:
     """Gaps between sorted exons: (previous end + 1, next start - 1)."""
     return F.when(
         F.size(exons) > 1,
-        F.zip_with(F.slice(exons, 1, F.size(exons) - 1), F.slice(exons, 2, F.size(exons) - 1), lambda a, b: F.struct((a["end"] + 1).alias("start"), (b["start"] - 1).alias("end"))),
+        F.zip_with(F.slice(exons, 1, F.size(exons) - 1), F.slice(exons, 2, F.size(exons) - 1), lambda a,
+            b: F.struct((a["end"] + 1).alias("start"), (b["start"] - 1).alias("end"))),
     ).otherwise(F.array().cast("array<struct<start:bigint,end:bigint>>"))
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: The bits of the flag field.
-FLAGS = {"paired": 1, "proper_pair": 2, "unmap": 4, "munmap": 8, "reverse": 16, "mreverse": 32, "read1": 64, "read2": 128, "secondary": 256, "qcfail": 512, "dup": 1024, "supplementary": 2048}
+FLAGS = {"paired": 1, "proper_pair": 2, "unmap": 4, "munmap": 8, "reverse": 16, "mreverse": 32, "read1": 64, "read2": 128, "secondary": 256,
+    "qcfail": 512, "dup": 1024, "supplementary": 2048}
 
 
 def has(flag: Column, name: str) -> Column:

@@ -89,4 +89,5 @@ def exon_of(exons: Column, pos: Column) -> Column:
 
 def pad_ends(exons: Column, by: int) -> Column:
     """Widens the first and the last exon; a negative number takes that back."""
-    return F.transform(exons, lambda e, i: F.struct(F.when(i == 0, e["start"] - by).otherwise(e["start"]).alias("start"), F.when(i == F.size(exons) - 1, e["end"] + by).otherwise(e["end"]).alias("end")))
+    return F.transform(exons, lambda e, i: F.struct(F.when(i == 0, e["start"] - by).otherwise(e["start"]).alias("start"),
+        F.when(i == F.size(exons) - 1, e["end"] + by).otherwise(e["end"]).alias("end")))

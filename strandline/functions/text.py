@@ -51,7 +51,8 @@ def trim_homopolymer(seq: Column, least: int) -> Column:
     def step(a, c):
         score = a["score"] + F.when(c == a["last"], 1).otherwise(-1)
         best = score > a["best"]
-        return F.struct(score.alias("score"), F.when(best, score).otherwise(a["best"]).alias("best"), F.when(best, a["at"] + 1).otherwise(a["cut"]).alias("cut"), (a["at"] + 1).alias("at"), c.alias("last")).cast(kind)
+        return F.struct(score.alias("score"), F.when(best, score).otherwise(a["best"]).alias("best"), F.when(best,
+            a["at"] + 1).otherwise(a["cut"]).alias("cut"), (a["at"] + 1).alias("at"), c.alias("last")).cast(kind)
 
     end = F.aggregate(F.slice(back, 2, F.greatest(F.size(back) - 1, F.lit(0))), zero, step)
     cut = F.when(end["best"] >= least, end["cut"]).otherwise(0)

@@ -24,7 +24,8 @@ def variant_type(ref: Column, alt: Column) -> Column:
 def genotype_class(a: Column, b: Column) -> Column:
     """Of two allele numbers: HAPL where the second is null, UNKN where the first is."""
     return (
-        F.when(a.isNull(), "UNKN").when(b.isNull(), "HAPL").when((a == 0) & (b == 0), "HOM_RR").when(a == b, "HOM_AA").when((a == 0) | (b == 0), "HET_RA").otherwise("HET_AA")
+        F.when(a.isNull(), "UNKN").when(b.isNull(), "HAPL").when((a == 0) & (b == 0), "HOM_RR").when(a == b, "HOM_AA").when((a == 0) | (b == 0),
+            "HET_RA").otherwise("HET_AA")
     )
 
 
@@ -36,3 +37,18 @@ def trimmed_alleles(alleles: Column, genotypes: Column) -> Column:
     olds = F.transform(kept, lambda x: x["old"])
     renumbered = F.transform(genotypes, lambda g: F.transform(g, lambda n: F.when(n.isNotNull(), (F.array_position(olds, n.cast("int")) - 1).cast("int"))))
     return F.struct(F.transform(kept, lambda x: x["allele"]).alias("alleles"), renumbered.alias("genotypes"))
+
+
+def with_entry(entries: Column, key: str, value: Column) -> Column:
+    """A map of INFO fields or tags with one entry put in, in place of one of that name."""
+    return F.map_concat(without_entries(entries, key), F.create_map(F.lit(key), value))
+
+
+def without_entries(entries: Column, *keys: str) -> Column:
+    return F.map_filter(entries, lambda k, v: ~k.isin(*keys))
+
+
+def sample_field(layout: Column, sample: Column, key: str) -> Column:
+    """A sample's field (``0/1:12``) by its name in the layout (``GT:DP``); null where either lacks it or it is a dot."""
+    at = F.nullif(F.array_position(F.split(layout, ":"), key), F.lit(0)).cast("int")
+    return F.nullif(F.get(F.split(sample, ":"), at - 1), F.lit("."))

@@ -48,7 +48,8 @@ def _single_on_many(m: Column, r: Column, chain: Column) -> Column:
     inside = _first(F.transform(chain, lambda i: (s >= i["start"]) & (e <= i["end"])))
     part = F.exists(chain, lambda i: (F.least(e, i["end"]) - F.greatest(s, i["start"]) + 1 >= 10) & (e - s + 1 > F.least(e, i["end"]) - F.greatest(s, i["start"]) + 11))
     spans = (s <= F.get(r, F.lit(0))["end"]) & (e >= F.element_at(r, -1)["start"])
-    return F.when(spans, "m").when((in_exon < _NEVER) & (in_exon <= F.least(over, inside)), "c").when(over < inside, "n").when(inside < _NEVER, "i").when(part, "e").otherwise("o")
+    return F.when(spans, "m").when((in_exon < _NEVER) & (in_exon <= F.least(over,
+        inside)), "c").when(over < inside, "n").when(inside < _NEVER, "i").when(part, "e").otherwise("o")
 
 
 def _many_on_single(m: Column, r: Column, chain: Column) -> Column:
@@ -93,7 +94,8 @@ def _many_on_many(m: Column, r: Column, im: Column, ir: Column, reach: int) -> C
     # introns of m that r has not, over r's span; behind r's last intron only if m has not that one
     tail = F.element_at(ir, -1)
     conflict = F.exists(im, lambda i: ~F.array_contains(ir, i) & (i["start"] <= re) & (rs <= i["end"]) & ~(F.array_contains(im, tail) & (i["start"] > tail["end"])))
-    site = F.arrays_overlap(F.transform(im, lambda i: i["start"]), F.transform(ir, lambda i: i["start"])) | F.arrays_overlap(F.transform(im, lambda i: i["end"]), F.transform(ir, lambda i: i["end"]))
+    site = F.arrays_overlap(F.transform(im, lambda i: i["start"]),
+        F.transform(ir, lambda i: i["start"])) | F.arrays_overlap(F.transform(im, lambda i: i["end"]), F.transform(ir, lambda i: i["end"]))
     return (
         F.when(inside, "i")
         .when(before | behind, F.when(plugs, "n").otherwise("o"))

@@ -22,7 +22,8 @@ def em_coverage(reads: DataFrame, targets: DataFrame, rounds: int, until: float
         weighed = reads.join(cov, "target").select("read", "target", "size", "len", (1 + F.col("cov")).alias("w"))
         total = weighed.groupBy("read").agg(F.sum("w").alias("total"))
         share = weighed.join(total, "read").groupBy("target").agg(F.sum(F.col("len") * F.col("w") / F.col("total") / F.col("size")).alias("new"))
-        out = cov.join(share, "target", "left").select("target", "size", F.coalesce("new", F.lit(0.0)).alias("cov"), F.abs(F.coalesce("new", F.lit(0.0)) - F.col("cov")).alias("move"))
+        out = cov.join(share, "target", "left").select("target", "size", F.coalesce("new",
+            F.lit(0.0)).alias("cov"), F.abs(F.coalesce("new", F.lit(0.0)) - F.col("cov")).alias("move"))
         if k == rounds - 1:
             return out.drop("move")
         out = stored(out)
@@ -47,7 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.filter("a is not null and b is not null").select("a", "b")
     both = stored(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    found = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"), F.lit(True).alias("moved")), "labels")
+    found = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node",
+        "m").alias("component"), F.lit(True).alias("moved")), "labels")
     before = None
     while found.filter("moved").limit(1).count():
         labels = found.select("node", "component")
@@ -56,7 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
         top = labels.select(F.col("node").alias("near"), F.col("component").alias("top"))
         if before is not None:
             discard(before)
-        before, found = found, stored(near.join(top, "near").select("node", F.least("near", "top").alias("component"), (F.least("near", "top") < F.col("was")).alias("moved")), "labels")
+        before, found = found, stored(near.join(top, "near").select("node", F.least("near",
+            "top").alias("component"), (F.least("near", "top") < F.col("was")).alias("moved")), "labels")
     discard(both)
     return found.select("node", "component")
 
@@ -101,11 +104,13 @@ def reduced(paths: DataFrame, both: bool = False) -> DataFrame:
     also its direction and offset there."""
     sizes = paths.select("id", F.size("path").alias("size"))
     x = path_matches(paths, paths, both).filter("read <> super")
-    x = x.join(sizes.select(F.col("id").alias("read"), F.col("size").alias("a")), "read").join(sizes.select(F.col("id").alias("super"), F.col("size").alias("b")), "super")
+    x = x.join(sizes.select(F.col("id").alias("read"), F.col("size").alias("a")),
+        "read").join(sizes.select(F.col("id").alias("super"), F.col("size").alias("b")), "super")
     found = x.filter("b > a").groupBy("read")
     if not both:
         return found.agg(F.min("super").alias("container"))
-    return found.agg(F.min(F.struct("super", "direction", "offset")).alias("m")).select("read", F.col("m.super").alias("container"), F.col("m.direction").alias("direction"), F.col("m.offset").alias("offset"))
+    return found.agg(F.min(F.struct("super", "direction", "offset")).alias("m")).select("read", F.col("m.super").alias("container"),
+        F.col("m.direction").alias("direction"), F.col("m.offset").alias("offset"))
 
 
 def moved_placements(placements: DataFrame, reductions: DataFrame, good: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def resolve_parents(children: DataFrame, parents: DataFrame, most: int = MOST_LO
     child, parent. An id may be used more than once: its first use by ``ord`` counts that lies on the
     same contig, on no other strand, begins within ``most`` and overlaps; null where none does.
     """
-    p = parents.select("parent", "ord", F.col("id").alias("parent_id"), "contig", F.col("strand").alias("p_strand"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    p = parents.select("parent", "ord", F.col("id").alias("parent_id"), "contig", F.col("strand").alias("p_strand"), F.col("start").alias("p_start"),
+        F.col("end").alias("p_end"))
     near = children.join(p, ["parent_id", "contig"])
     strands = (F.col("p_strand") == ".") | (F.col("strand") == F.col("p_strand")) | F.col("strand").isNull()
     fits = strands & (F.abs(F.col("start") - F.col("p_start")) <= most) & overlaps(F.col("start"), F.col("end"), F.col("p_start"), F.col("p_end"))
@@ -104,8 +105,10 @@ def joined_parts(parts: DataFrame) -> DataFrame:
         coding = (last["kind"] == "CDS") & (x["kind"] == "CDS")
         meets = F.when(coding, x["start"] == last["end"] + 1).otherwise(x["start"] <= last["end"] + 1)
         held = (x["start"] >= last["start"]) & (x["end"] <= last["end"])
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"), F.when((last["kind"] == "CDS") | (x["kind"] == "CDS"), "CDS").otherwise(last["kind"]).alias("kind"))
-        return F.when(F.size(done) == 0, F.array(x)).when(held, done).when(meets, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"),
+            F.when((last["kind"] == "CDS") | (x["kind"] == "CDS"), "CDS").otherwise(last["kind"]).alias("kind"))
+        return F.when(F.size(done) == 0, F.array(x)).when(held, done).when(meets,
+            F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
 
     sound = parts.filter("start <= end").withColumns({"start": F.col("start").cast("long"), "end": F.col("end").cast("long")})
     per = sound.groupBy("key").agg(F.array_sort(F.collect_list(row)).alias("g"))

@@ -121,7 +121,8 @@ def annotate(a: DataFrame, b: DataFrame, key: str, value: str, bin_size: int = B
     bases = merged(cut, 0, (key,), block=None).groupBy(key).agg(F.sum(F.col("end") - F.col("start") + 1).alias("nbp"))
     hits = pairs.groupBy(F.col(f"a_{key}").alias(key)).agg(F.count("*").alias("cnt"), F.array_join(F.array_sort(F.collect_set(f"b_{value}")), ",").alias("hits"))
     out = a.join(bases, key, "left").join(hits, key, "left")
-    return out.withColumns({"nbp": F.coalesce("nbp", F.lit(0)), "cnt": F.coalesce("cnt", F.lit(0)), "hits": F.coalesce("hits", F.lit("."))}).withColumn("frac", F.col("nbp") / (F.col("end") - F.col("start") + 1))
+    return out.withColumns({"nbp": F.coalesce("nbp", F.lit(0)), "cnt": F.coalesce("cnt", F.lit(0)),
+        "hits": F.coalesce("hits", F.lit("."))}).withColumn("frac", F.col("nbp") / (F.col("end") - F.col("start") + 1))
 
 
 def best_overlaps(pairs: DataFrame, key: str, margin: int = 5, prefer: tuple[str, ...] = ()) -> DataFrame:

@@ -22,7 +22,9 @@ def overlaps(unitigs: DataFrame, k: int) -> DataFrame:
     with the last k - 1 bases of the first, and the bases that it adds."""
     name = F.col("unitig").cast("string")
     sound = unitigs.filter(F.length("seq") >= k)
-    both = sound.select(F.concat(name, F.lit("F")).alias("u"), F.upper("seq").alias("seq")).unionByName(sound.select(F.concat(name, F.lit("R")).alias("u"), revcomp(F.upper("seq")).alias("seq")))
+    both = sound.select(F.concat(name,
+        F.lit("F")).alias("u"), F.upper("seq").alias("seq")).unionByName(sound.select(F.concat(name, F.lit("R")).alias("u"),
+        revcomp(F.upper("seq")).alias("seq")))
     ends = both.select(F.col("u").alias("step"), F.substring("seq", -(k - 1), k - 1).alias("key"))
     starts = both.select(F.col("u").alias("to"), F.substring("seq", 1, k - 1).alias("key"), (F.length("seq") - (k - 1)).cast("long").alias("add"))
     return ends.join(starts, "key").select("step", "to", "add")
@@ -39,7 +41,8 @@ def join_mates(inserts: DataFrame, unitigs: DataFrame, k: int, mean: float, stde
     """
     high, low = mean + reach * stdev, mean - reach * stdev
     edges = stored(overlaps(unitigs, k), "overlaps")
-    sizes = unitigs.filter(F.length("seq") >= k).select(F.explode(F.array(F.concat("unitig", F.lit("F")), F.concat("unitig", F.lit("R")))).alias("first"), F.length("seq").cast("long").alias("bases"))
+    sizes = unitigs.filter(F.length("seq") >= k).select(F.explode(F.array(F.concat("unitig", F.lit("F")),
+        F.concat("unitig", F.lit("R")))).alias("first"), F.length("seq").cast("long").alias("bases"))
     pair = ["first", "last"]
     goals = inserts.groupBy(*pair).agg(F.max(F.lit(high) + F.col("skipped") + F.col("rest")).alias("allow"))
     open_ = goals.join(sizes, "first").select(*pair, "allow", F.array("first").alias("path"), F.col("first").alias("at"), "bases").filter("bases <= allow")
@@ -53,7 +56,8 @@ def join_mates(inserts: DataFrame, unitigs: DataFrame, k: int, mean: float, stde
         there = open_.filter("at = last").select(*pair, "path", "bases")
         found, many = (there, crowd) if found is None else (found.unionByName(there), many.unionByName(crowd))
         longer = open_.join(edges, open_.at == edges.step)
-        open_ = longer.select(*pair, "allow", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"), (F.col("bases") + F.col("add")).alias("bases")).filter("bases <= allow")
+        open_ = longer.select(*pair, "allow", F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"),
+            (F.col("bases") + F.col("add")).alias("bases")).filter("bases <= allow")
     if found is None:
         return inserts.select("id", F.lit("none").alias("status"), F.lit(None).cast("array<string>").alias("path"), F.lit(None).cast("long").alias("bases"))
     many = many.distinct().withColumn("crowded", F.lit(True))
@@ -110,13 +114,18 @@ def merge_uniquely(paths: DataFrame) -> DataFrame:
     """
     rows = paths.filter("id is not null and size(path) > 0").select(F.col("id").cast("long").alias("id"), "path")
     n = F.size("path")
-    inner = rows.select(F.explode(F.when(n > 2, F.slice("path", 2, F.greatest(n - 2, F.lit(0)))).when(n == 1, F.col("path")).otherwise(F.slice("path", 1, 0))).alias("u")).select(_unit("u").alias("unit")).distinct()
+    inner = rows.select(F.explode(F.when(n > 2, F.slice("path", 2, F.greatest(n - 2, F.lit(0)))).when(n == 1,
+        F.col("path")).otherwise(F.slice("path", 1, 0))).alias("u")).select(_unit("u").alias("unit")).distinct()
     end = lambda at, side: F.struct(F.lit(side).alias("side"), F.element_at("path", at).alias("u"))
-    ends = rows.filter(n > 1).select("id", F.explode(F.array(end(1, "left"), end(-1, "right"))).alias("e")).select("id", "e.side", _unit("e.u").alias("unit"), (F.col("e.u").endswith("F") == (F.col("e.side") == "right")).alias("before"))
-    doors = ends.groupBy("unit").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.count_if("before").alias("k")).filter("n = 2 and k = 1 and a <> b").join(inner, "unit", "left_anti")
+    ends = rows.filter(n > 1).select("id", F.explode(F.array(end(1, "left"), end(-1, "right"))).alias("e")).select("id", "e.side",
+        _unit("e.u").alias("unit"), (F.col("e.u").endswith("F") == (F.col("e.side") == "right")).alias("before"))
+    doors = ends.groupBy("unit").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"),
+        F.count_if("before").alias("k")).filter("n = 2 and k = 1 and a <> b").join(inner, "unit", "left_anti")
     doors = stored(doors.select("unit", "a", "b"), "doors")
     chain = components(doors.select("a", "b")).select(F.col("node").alias("id"), "component")
-    linked = ends.join(doors.select("unit"), "unit", "left_semi").groupBy("id").agg(F.max(F.when(F.col("side") == "left", F.col("unit"))).alias("left"), F.max(F.when(F.col("side") == "right", F.col("unit"))).alias("right"))
+    linked = ends.join(doors.select("unit"), "unit",
+        "left_semi").groupBy("id").agg(F.max(F.when(F.col("side") == "left", F.col("unit"))).alias("left"),
+        F.max(F.when(F.col("side") == "right", F.col("unit"))).alias("right"))
     kind = "members array<struct<id:bigint,direction:string>>, path array<string>"
     merged = rows.join(linked, "id").join(chain, "id").groupBy("component").applyInPandas(_walk, kind)
     alone = rows.join(chain, "id", "left_anti").select(F.array(F.struct("id", F.lit("F").alias("direction"))).alias("members"), "path")

@@ -39,7 +39,8 @@ def stats(counts: DataFrame, lower: int | None = None, upper: int | None = None)
         counts = counts.filter(F.col("count") >= lower)
     if upper is not None:
         counts = counts.filter(F.col("count") <= upper)
-    return counts.agg(F.count_if(F.col("count") == 1).alias("uniq"), F.count("*").alias("distinct_mers"), F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.max("count"), F.lit(0)).alias("max_count"))
+    return counts.agg(F.count_if(F.col("count") == 1).alias("uniq"), F.count("*").alias("distinct_mers"),
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total"), F.coalesce(F.max("count"), F.lit(0)).alias("max_count"))
 
 
 def merge_counts(*tables: DataFrame, least: int = 1) -> DataFrame:
@@ -82,7 +83,8 @@ def nx(sizes: DataFrame, shares: tuple[int, ...] = (10, 25, 50, 90), size: str =
     goal = F.lit(genome) if genome else F.col("total_")
     total = counts.agg(F.sum(held).alias("total_"))  # one row
     out = run.crossJoin(F.broadcast(total)).agg(
-        *(F.max(F.when(F.col("run") * 100 >= goal * s, F.col("size"))).alias(f"n{s}") for s in shares), F.coalesce(F.sum(held), F.lit(0)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
+        *(F.max(F.when(F.col("run") * 100 >= goal * s, F.col("size"))).alias(f"n{s}") for s in shares),
+            F.coalesce(F.sum(held), F.lit(0)).alias("total"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
         (F.sum(held) / F.sum("n")).alias("average"), (F.sum((held * F.col("size")).cast("double")) / F.sum(held)).alias("e_size"),
     )
     return out

@@ -10,7 +10,8 @@ def exon_counts(pairs: DataFrame, key: str = "b_id", nh: str = "a_nh") -> DataFr
     """Reads, unique reads and multi-map weighted reads and bases of each feature."""
     size = F.least("a_end", "b_end") - F.greatest("a_start", "b_start") + 1
     return pairs.groupBy(F.col(key).alias("id")).agg(
-        F.count("*").alias("rcount"), F.count_if(F.col(nh) <= 1).alias("ucount"), F.sum(1 / F.col(nh)).alias("mrcount"), F.sum(size / F.col(nh)).alias("movlcount"), F.sum(size).alias("bases")
+        F.count("*").alias("rcount"), F.count_if(F.col(nh) <= 1).alias("ucount"), F.sum(1 / F.col(nh)).alias("mrcount"),
+            F.sum(size / F.col(nh)).alias("movlcount"), F.sum(size).alias("bases")
     )
 
 

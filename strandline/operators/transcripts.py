@@ -54,7 +54,8 @@ def nascents(tx: DataFrame) -> DataFrame:
         F.array(F.struct((F.element_at("exons", at - 1)["end"] + 1).alias("start"), F.element_at("exons", at)["end"].alias("end"))),
         F.slice("exons", at + 1, F.col("step") - 1),
     )
-    return out.withColumn("exons", F.when(F.col("strand") == "-", back).otherwise(fore)).withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
+    return out.withColumn("exons", F.when(F.col("strand") == "-", back).otherwise(fore)).withColumns({"start": F.element_at("exons",
+        1)["start"], "end": F.element_at("exons", -1)["end"]})
 
 
 def _first_kept(rows, share: float, reach: int):
@@ -90,7 +91,8 @@ def distinct_nascents(tx: DataFrame, *order: str, share: float = 0.99, reach: in
     time linear in its distinct spans, of which one task holds a group's. Rows without a contig, and those of
     overlapping exons whose span would be empty, are left out.
     """
-    rows = nascents(tx.filter("contig is not null")).filter("start <= end").withColumns({"rank_": F.struct(*order, "step"), "chain_": introns(F.col("exons")), "one": F.size("exons") == 1})
+    rows = nascents(tx.filter("contig is not null")).filter("start <= end").withColumns({"rank_": F.struct(*order, "step"),
+        "chain_": introns(F.col("exons")), "one": F.size("exons") == 1})
     single = clusters(rows.filter("one"), 0, name="cluster_", block=BLOCK)
     rows = stored(single.unionByName(rows.filter("not one").withColumn("cluster_", F.lit(-1).cast("long"))), "nascents")
     same = ["contig", "chain_", "cluster_"]
@@ -138,7 +140,8 @@ def expressed(tx: DataFrame, gene: str, cov: str, share: float = 0.01, least: fl
 def merge_by_chain(tx: DataFrame, key: str) -> DataFrame:
     """Transcripts of several exons with one intron chain become one with the widest ends: contig,
     strand, chain, start, end, n, first_<key>."""
-    x = tx.select(key, "contig", "strand", "start", F.array_max(F.transform("exons", lambda e: e["end"])).alias("end"), introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
+    x = tx.select(key, "contig", "strand", "start", F.array_max(F.transform("exons",
+        lambda e: e["end"])).alias("end"), introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
     return x.groupBy("contig", "strand", "chain").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min(key).alias(f"first_{key}"))
 
 
@@ -162,17 +165,23 @@ def merge_isoforms(tx: DataFrame, key: str, label: str = "MSTRG", gap: int = 250
     exons = F.zip_with(F.concat(F.array("start"), inner_starts), F.concat(inner_ends, F.array("end")), lambda a, b: F.struct(a.alias("start"), b.alias("end")))
     many = stored(chains.select("contig", "strand", "start", "end", exons.alias("exons"), "n", "first_"), "chains")
     single = tx.filter(F.size("exons") == 1).select("contig", "strand", "start", F.element_at("exons", 1)["end"].alias("end"), F.col(key).alias("first_"))
-    united = clusters(single, 0, ("contig", "strand"), "cluster_", BLOCK).groupBy("contig", "strand", "cluster_").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n"), F.min("first_").alias("first_"))
-    held = overlap_join(united.select("contig", "strand", "start", "end"), many.select("contig", "strand", F.explode("exons").alias("e")).select("contig", "strand", "e.start", "e.end"))
-    held = held.filter("(a_strand = b_strand or a_strand = '.') and a_start >= b_start and a_end <= b_end").select(F.col("a_contig").alias("contig"), F.col("a_strand").alias("strand"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct()
-    alone = united.join(held, ["contig", "strand", "start", "end"], "left_anti").select("contig", "strand", "start", "end", F.array(F.struct("start", "end")).alias("exons"), "n", "first_")
+    united = clusters(single, 0, ("contig", "strand"), "cluster_", BLOCK).groupBy("contig", "strand", "cluster_").agg(F.min("start").alias("start"),
+        F.max("end").alias("end"), F.count("*").alias("n"), F.min("first_").alias("first_"))
+    held = overlap_join(united.select("contig", "strand", "start", "end"), many.select("contig", "strand",
+        F.explode("exons").alias("e")).select("contig", "strand", "e.start", "e.end"))
+    held = held.filter("(a_strand = b_strand or a_strand = '.') and a_start >= b_start and a_end <= b_end").select(F.col("a_contig").alias("contig"),
+        F.col("a_strand").alias("strand"), F.col("a_start").alias("start"), F.col("a_end").alias("end")).distinct()
+    alone = united.join(held, ["contig", "strand", "start", "end"], "left_anti").select("contig", "strand", "start", "end",
+        F.array(F.struct("start", "end")).alias("exons"), "n", "first_")
     rows = clusters(many.unionByName(alone), gap, ("contig", "strand"), "locus_", BLOCK)
     rows = stored(rows, "isoforms")
     at = ["contig", "strand", "locus_"]
     genes = rows.groupBy(*at).agg(F.lit(1).alias("one_"))
     sizes = genes.groupBy("contig", "strand").agg(F.count("*").alias("n_"))  # one row for each contig and strand
-    base = sizes.select("contig", "strand", F.coalesce(F.sum("n_").over(Window.orderBy("contig", "strand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
+    base = sizes.select("contig", "strand",
+        F.coalesce(F.sum("n_").over(Window.orderBy("contig", "strand").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base_"))
     rank = F.row_number().over(Window.partitionBy(*at).orderBy("start", "end", "exons"))
     gene = F.concat(F.lit(f"{label}."), (F.col("base_") + F.col("locus_")).cast("string"))
     out = rows.withColumn("rank_", rank).join(base, ["contig", "strand"]).withColumn("gene_id", gene)
-    return out.select("gene_id", F.concat_ws(".", "gene_id", F.col("rank_").cast("string")).alias("transcript_id"), "contig", "strand", "exons", "n", F.col("first_").alias(f"first_{key}"))
+    return out.select("gene_id", F.concat_ws(".", "gene_id",
+        F.col("rank_").cast("string")).alias("transcript_id"), "contig", "strand", "exons", "n", F.col("first_").alias(f"first_{key}"))

@@ -26,7 +26,8 @@ def site_key(ref: Column, alts: Column, how: str = "exact") -> Column:
     alike, else their alleles in order. Records of several kinds go by their alleles unless all are alike."""
     kinds = F.array_distinct(F.transform(F.when(F.size(alts) > 0, alts).otherwise(F.array(ref)), lambda a: variant_type(ref, a)))
     names = WAYS[how]
-    alike = F.array_distinct(F.transform(kinds, lambda k: F.coalesce(*(F.when(k == x, y) for x, y in names.items()), F.concat(F.lit("="), k)) if names else F.concat(F.lit("="), k)))
+    alike = F.array_distinct(F.transform(kinds, lambda k: F.coalesce(*(F.when(k == x,
+        y) for x, y in names.items()), F.concat(F.lit("="), k)) if names else F.concat(F.lit("="), k)))
     exact = F.concat(F.lit("="), F.concat_ws(",", F.array(F.upper(ref)), F.array_sort(F.transform(alts, lambda a: F.upper(a)))))
     return F.when((F.size(alike) == 1) & ~F.get(alike, F.lit(0)).startswith("="), F.get(alike, F.lit(0))).otherwise(exact)
 
@@ -95,7 +96,8 @@ def pileup(reads: DataFrame, sites: DataFrame | None = None, depth: int = 8000,
         spans = reads.select("id", "contig", "start", (F.col("start") + F.length("seq") - 1).alias("end"))
         x = reads.join(overlap_join(spans, sites).select(F.col("a_id").alias("id")).distinct(), "id", "left_semi")
     bases = x.select("id", "name", "contig", "start", F.posexplode(F.arrays_zip(F.split("seq", "").alias("base"), F.col("quals").alias("qual"))).alias("i", "b"))
-    bases = bases.select("id", "name", "contig", "start", (F.col("start") + F.col("i")).alias("pos"), F.col("b.base").alias("base"), F.col("b.qual").cast("int").alias("qual"))
+    bases = bases.select("id", "name", "contig", "start", (F.col("start") + F.col("i")).alias("pos"), F.col("b.base").alias("base"),
+        F.col("b.qual").cast("int").alias("qual"))
     at = Window.partitionBy("contig", "pos")
     first = bases.withColumn("k_", F.row_number().over(at.orderBy("start", "id"))).filter(F.col("k_") <= depth)
     mates = Window.partitionBy("contig", "pos", "name")
@@ -107,5 +109,6 @@ def pileup(reads: DataFrame, sites: DataFrame | None = None, depth: int = 8000,
     out = first.select("contig", "pos", "id", "base", qual.cast("int").alias("qual"))
     if sites is not None:
         points = overlap_join(out.select("contig", F.col("pos").alias("start"), F.col("pos").alias("end"), "id", "base", "qual"), sites)
-        out = points.select(F.col("a_contig").alias("contig"), F.col("a_start").alias("pos"), F.col("a_id").alias("id"), F.col("a_base").alias("base"), F.col("a_qual").alias("qual")).distinct()
+        out = points.select(F.col("a_contig").alias("contig"), F.col("a_start").alias("pos"), F.col("a_id").alias("id"),
+            F.col("a_base").alias("base"), F.col("a_qual").alias("qual")).distinct()
     return out

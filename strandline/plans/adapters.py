@@ -10,7 +10,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _seconds(ts: Column) -> Column:
+def seconds(ts: Column) -> Column:
     """Seconds since 1970 of a timestamp without zone, whatever the session's zone."""
     return F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
@@ -18,7 +18,7 @@ def _seconds(ts: Column) -> Column:
 def iv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as alignments: id, contig, start, end, strand, nh, gene, flag."""
     e = table(spark, sf_dir, "events")
-    start = _seconds(F.col("ts"))
+    start = seconds(F.col("ts"))
     strand = F.element_at(F.array(F.lit("+"), F.lit("-"), F.lit(".")), (F.length("event_type") % 3 + 1).cast("int"))
     return e.select(
         F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("contig"), start.alias("start"), (start + F.floor(F.col("value") * 100)).alias("end"),
@@ -47,7 +47,9 @@ def exons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as exon rows: tx, contig, strand, start, end; contig and strand follow the transcript."""
     x = table(spark, sf_dir, "lineitem")
     start = F.col("l_partkey") * 100
-    return x.select(F.col("l_orderkey").alias("tx"), (F.col("l_orderkey") % 10).alias("contig"), F.when(F.col("l_orderkey") % 3 == 0, "-").otherwise("+").alias("strand"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end")).distinct()
+    return x.select(F.col("l_orderkey").alias("tx"), (F.col("l_orderkey") % 10).alias("contig"),
+        F.when(F.col("l_orderkey") % 3 == 0, "-").otherwise("+").alias("strand"), start.alias("start"),
+        (start + F.col("l_quantity").cast("long")).alias("end")).distinct()
 
 
 EX = """ex AS (SELECT DISTINCT l_orderkey AS tx, l_orderkey % 10 AS contig, CASE WHEN l_orderkey % 3 = 0 THEN '-' ELSE '+' END AS strand,

@@ -28,12 +28,15 @@ def _pairs(s, d) -> DataFrame:
 # --- intervals -------------------------------------------------------------------------------
 
 _BUNDLES = """, w AS (SELECT *, max("end") OVER (PARTITION BY contig ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {t}),
-c AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM w)"""
+c AS (SELECT *, sum(CASE WHEN reach IS NULL OR "start" > reach + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {by}
+  ORDER BY "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cluster FROM w)"""
 
 
-@query(f'WITH {IV}{_BUNDLES.format(t="iv", gap=200, by="contig")} SELECT contig, min("start") AS bundle_start, max("end") AS bundle_end, count(*) AS n_reads, sum(nh)::BIGINT AS sum_nh FROM c GROUP BY contig, cluster')
+@query(f"""WITH {IV}{_BUNDLES.format(t="iv", gap=200, by="contig")} SELECT contig, min("start") AS bundle_start, max("end") AS bundle_end,
+  count(*) AS n_reads, sum(nh)::BIGINT AS sum_nh FROM c GROUP BY contig, cluster""")
 def bundle_gap(s, d):
-    return intervals.merged(iv(s, d), 200, sums=("nh",)).select("contig", F.col("start").alias("bundle_start"), F.col("end").alias("bundle_end"), F.col("n").alias("n_reads"), F.col("nh").alias("sum_nh"))
+    return intervals.merged(iv(s, d), 200, sums=("nh",)).select("contig", F.col("start").alias("bundle_start"), F.col("end").alias("bundle_end"),
+        F.col("n").alias("n_reads"), F.col("nh").alias("sum_nh"))
 
 
 @query(f'WITH {IV}{_BUNDLES.format(t="iv", gap=200, by="contig")} SELECT id, contig, cluster::BIGINT AS bundle FROM c')
@@ -42,7 +45,8 @@ def bundle_members(s, d):
     return intervals.clusters(iv(s, d), 200, name="bundle").select("id", "contig", "bundle")
 
 
-@query(f'WITH {IV}{_BUNDLES.format(t="iv", gap=0, by="contig")} SELECT contig, min("start") AS region_start, max("end") AS region_end FROM c GROUP BY contig, cluster')
+@query(f"""WITH {IV}{_BUNDLES.format(t="iv", gap=0, by="contig")} SELECT contig, min("start") AS region_start, max("end") AS region_end FROM c
+  GROUP BY contig, cluster""")
 def region_merge(s, d):
     return intervals.merged(iv(s, d)).select("contig", F.col("start").alias("region_start"), F.col("end").alias("region_end"))
 
@@ -69,10 +73,12 @@ def overlap_semi(s, d):
 
 @query(f"WITH {PAIRS} SELECT id, contig, gene, 0.0::DOUBLE AS cov FROM g WHERE id NOT IN (SELECT b_id FROM pairs)")
 def unbundled_guides(s, d):
-    return records.extract(guides(s, d), _pairs(s, d).select(F.col("b_id").alias("id")).distinct(), "id", invert=True).select("id", "contig", "gene", F.lit(0.0).alias("cov"))
+    return records.extract(guides(s, d), _pairs(s,
+        d).select(F.col("b_id").alias("id")).distinct(), "id", invert=True).select("id", "contig", "gene", F.lit(0.0).alias("cov"))
 
 
-@query(f'WITH {PAIRS} SELECT gene, min("start") AS gene_start, max("end") AS gene_end, count(*) AS n FROM g WHERE id NOT IN (SELECT b_id FROM pairs) GROUP BY gene')
+@query(f"""WITH {PAIRS} SELECT gene, min("start") AS gene_start, max("end") AS gene_end, count(*) AS n FROM g WHERE id NOT IN (SELECT b_id FROM pairs)
+  GROUP BY gene""")
 def unbundled_genes(s, d):
     lost = records.extract(guides(s, d), _pairs(s, d).select(F.col("b_id").alias("id")).distinct(), "id", invert=True)
     return lost.groupBy("gene").agg(F.min("start").alias("gene_start"), F.max("end").alias("gene_end"), F.count("*").alias("n"))
@@ -83,7 +89,8 @@ def point_in_interval(s, d):
     return intervals.overlap_join(reads(s, d).withColumn("end", F.col("start")), guides(s, d)).select(F.col("a_id").alias("point"), F.col("b_id").alias("guide"))
 
 
-@query(f'WITH {IV}, g AS (SELECT * FROM iv WHERE id % 2 = 1), r AS (SELECT * FROM iv WHERE id % 2 = 0) SELECT r.id AS a_id, g.id AS b_id FROM r JOIN g ON r.contig = g.contig AND r."start" // 64 = g."start" // 64 AND (r.strand = g.strand OR r.strand = \'.\' OR g.strand = \'.\')')
+@query(f"""WITH {IV}, g AS (SELECT * FROM iv WHERE id % 2 = 1), r AS (SELECT * FROM iv WHERE id % 2 = 0) SELECT r.id AS a_id, g.id AS b_id
+  FROM r JOIN g ON r.contig = g.contig AND r."start" // 64 = g."start" // 64 AND (r.strand = g.strand OR r.strand = \'.\' OR g.strand = \'.\')""")
 def intron_exact_join(s, d):
     a = reads(s, d).select(F.col("id").alias("a_id"), "contig", F.floor(F.col("start") / 64).alias("k"), F.col("strand").alias("x"))
     b = guides(s, d).select(F.col("id").alias("b_id"), "contig", F.floor(F.col("start") / 64).alias("k"), F.col("strand").alias("y"))
@@ -95,18 +102,23 @@ w AS (SELECT *, max("end") OVER (PARTITION BY b_id ORDER BY "start", "end" ROWS
 u AS (SELECT b_id, sum(greatest(0, "end" - greatest("start", coalesce(reach + 1, "start")) + 1))::BIGINT AS nbp, count(*) AS cnt FROM w GROUP BY b_id)"""
 
 
-@query(f'WITH {PAIRS}{_NBP}, h AS (SELECT b_id, string_agg(DISTINCT a_strand, \',\' ORDER BY a_strand) AS hits FROM pairs GROUP BY b_id) SELECT g.id, coalesce(nbp, 0)::BIGINT AS nbp, coalesce(cnt, 0) AS cnt, coalesce(hits, \'.\') AS hits, round(coalesce(nbp, 0) / (g."end" - g."start" + 1)::DOUBLE, 6) AS frac FROM g LEFT JOIN u ON g.id = u.b_id LEFT JOIN h ON g.id = h.b_id')
+@query(f"""WITH {PAIRS}{_NBP}, h AS (SELECT b_id, string_agg(DISTINCT a_strand, \',\' ORDER BY a_strand) AS hits FROM pairs GROUP BY b_id)
+  SELECT g.id, coalesce(nbp, 0)::BIGINT AS nbp, coalesce(cnt, 0) AS cnt, coalesce(hits, \'.\') AS hits,
+  round(coalesce(nbp, 0) / (g."end" - g."start" + 1)::DOUBLE, 6) AS frac FROM g LEFT JOIN u ON g.id = u.b_id LEFT JOIN h ON g.id = h.b_id""")
 def annotate_nbp(s, d):
     return intervals.annotate(guides(s, d), reads(s, d), "id", "strand").select("id", "nbp", "cnt", "hits", F.round("frac", 6).alias("frac"))
 
 
-@query(f"""WITH {IV}, ev AS (SELECT contig, "start" AS pos, 1 AS d FROM iv UNION ALL SELECT contig, "end" + 1, -1 FROM iv), st AS (SELECT contig, pos, sum(d) AS d FROM ev GROUP BY contig, pos),
-r AS (SELECT contig, pos AS run_start, lead(pos) OVER (PARTITION BY contig ORDER BY pos) - 1 AS run_end, sum(d) OVER (PARTITION BY contig ORDER BY pos)::BIGINT AS depth FROM st) SELECT * FROM r WHERE depth > 0""")
+@query(f"""WITH {IV}, ev AS (SELECT contig, "start" AS pos, 1 AS d FROM iv UNION ALL SELECT contig, "end" + 1, -1 FROM iv),
+  st AS (SELECT contig, pos, sum(d) AS d FROM ev GROUP BY contig, pos),
+r AS (SELECT contig, pos AS run_start, lead(pos) OVER (PARTITION BY contig ORDER BY pos) - 1 AS run_end, sum(d) OVER (PARTITION BY contig
+  ORDER BY pos)::BIGINT AS depth FROM st) SELECT * FROM r WHERE depth > 0""")
 def base_coverage(s, d):
     return intervals.coverage(iv(s, d)).select("contig", F.col("start").alias("run_start"), F.col("end").alias("run_end"), "depth")
 
 
-@query(f'WITH {IV} SELECT contig, count(*) AS n, min("end" - "start" + 1) AS shortest, max("end" - "start" + 1) AS longest, min("start") AS first_start FROM iv GROUP BY contig')
+@query(f"""WITH {IV} SELECT contig, count(*) AS n, min("end" - "start" + 1) AS shortest, max("end" - "start" + 1) AS longest,
+  min("start") AS first_start FROM iv GROUP BY contig""")
 def contig_stats(s, d):
     size = F.col("end") - F.col("start") + 1
     return iv(s, d).groupBy("contig").agg(F.count("*").alias("n"), F.min(size).alias("shortest"), F.max(size).alias("longest"), F.min("start").alias("first_start"))
@@ -115,7 +127,8 @@ def contig_stats(s, d):
 @query(f"WITH {PAIRS} SELECT a_id, b_id, (a_start <= b_start AND b_end <= a_end) AS a_holds_b, (b_start <= a_start AND a_end <= b_end) AS b_holds_a FROM pairs")
 def containment(s, d):
     c = F.col
-    return _pairs(s, d).select("a_id", "b_id", contains(c("a_start"), c("a_end"), c("b_start"), c("b_end")).alias("a_holds_b"), contains(c("b_start"), c("b_end"), c("a_start"), c("a_end")).alias("b_holds_a"))
+    return _pairs(s, d).select("a_id", "b_id", contains(c("a_start"), c("a_end"), c("b_start"), c("b_end")).alias("a_holds_b"),
+        contains(c("b_start"), c("b_end"), c("a_start"), c("a_end")).alias("b_holds_a"))
 
 
 # --- counting and normalisation --------------------------------------------------------------
@@ -130,7 +143,8 @@ def exon_counts(s, d):
 
 def _covered(s, d) -> DataFrame:
     counts = quant.exon_counts(_pairs(s, d))
-    return guides(s, d).join(counts, "id", "left").select("id", "gene", "contig", "start", "end", F.coalesce("bases", F.lit(0)).alias("bases"), F.coalesce(F.col("bases") / (F.col("end") - F.col("start") + 1), F.lit(0.0)).alias("cov"))
+    return guides(s, d).join(counts, "id", "left").select("id", "gene", "contig", "start", "end", F.coalesce("bases",
+        F.lit(0)).alias("bases"), F.coalesce(F.col("bases") / (F.col("end") - F.col("start") + 1), F.lit(0.0)).alias("cov"))
 
 
 _COV = f'{_COUNTS}, cv AS (SELECT g.id, gene, contig, "start", "end", coalesce(bases, 0) AS bases, coalesce(bases / (g."end" - g."start" + 1)::DOUBLE, 0.0) AS cov FROM g LEFT JOIN ec ON g.id = ec.id), tt AS (SELECT sum(bases)::DOUBLE AS fl, sum(cov) AS cs FROM cv)'
@@ -141,17 +155,24 @@ def fpkm_tpm(s, d):
     return quant.normalise(_covered(s, d)).select("id", *(F.round(c, n).alias(c) for c, n in (("cov", 4), ("fpkm", 2), ("tpm", 2))))
 
 
-@query(f'{_COV} SELECT gene, min("start") AS gene_start, max("end") AS gene_end, round(sum(cov), 3) AS cov, round(sum(cov * 1e9 / fl), 1) AS fpkm, round(sum(cov * 1e6 / cs), 1) AS tpm FROM cv, tt GROUP BY gene')
+@query(f"""{_COV} SELECT gene, min("start") AS gene_start, max("end") AS gene_end, round(sum(cov), 3) AS cov, round(sum(cov * 1e9 / fl), 1) AS fpkm,
+  round(sum(cov * 1e6 / cs), 1) AS tpm FROM cv, tt GROUP BY gene""")
 def gene_abundance(s, d):
-    return quant.normalise(_covered(s, d)).groupBy("gene").agg(F.min("start").alias("gene_start"), F.max("end").alias("gene_end"), F.round(F.sum("cov"), 3).alias("cov"), F.round(F.sum("fpkm"), 1).alias("fpkm"), F.round(F.sum("tpm"), 1).alias("tpm"))
+    return quant.normalise(_covered(s, d)).groupBy("gene").agg(F.min("start").alias("gene_start"), F.max("end").alias("gene_end"),
+        F.round(F.sum("cov"), 3).alias("cov"), F.round(F.sum("fpkm"), 1).alias("fpkm"), F.round(F.sum("tpm"), 1).alias("tpm"))
 
 
-@query(f"""WITH {PAIRS}, ct AS (SELECT b_id, unnest(range(greatest(a_start, b_start), least(a_end, b_end) + 1)) AS p FROM pairs), dp AS (SELECT b_id, p, count(*) AS n FROM ct GROUP BY b_id, p),
-sm AS (SELECT b_id, sum(n)::DOUBLE AS s1, sum(n * n)::DOUBLE AS s2 FROM dp GROUP BY b_id) SELECT g.id, round(coalesce(s1, 0) / ("end" - "start" + 1), 4) AS cov, round(sqrt(greatest(0, coalesce(s2, 0) / ("end" - "start" + 1) - (coalesce(s1, 0) / ("end" - "start" + 1)) ** 2)), 4) AS cov_sd FROM g LEFT JOIN sm ON g.id = sm.b_id""")
+@query(f"""WITH {PAIRS}, ct AS (SELECT b_id, unnest(range(greatest(a_start, b_start), least(a_end, b_end) + 1)) AS p FROM pairs),
+  dp AS (SELECT b_id, p, count(*) AS n FROM ct GROUP BY b_id, p),
+sm AS (SELECT b_id, sum(n)::DOUBLE AS s1, sum(n * n)::DOUBLE AS s2 FROM dp GROUP BY b_id) SELECT g.id,
+  round(coalesce(s1, 0) / ("end" - "start" + 1), 4) AS cov,
+  round(sqrt(greatest(0, coalesce(s2, 0) / ("end" - "start" + 1) - (coalesce(s1, 0) / ("end" - "start" + 1)) ** 2)), 4) AS cov_sd FROM g
+  LEFT JOIN sm ON g.id = sm.b_id""")
 def exon_cov_stats(s, d):
     cut = _pairs(s, d).select(F.col("b_id").alias("id"), F.greatest("a_start", "b_start").alias("start"), F.least("a_end", "b_end").alias("end"))
     n = F.col("end") - F.col("start") + 1
-    runs = intervals.coverage(cut, by=("id",), block=None).groupBy("id").agg(F.sum(n * F.col("depth")).cast("double").alias("s1"), F.sum(n * F.col("depth") * F.col("depth")).cast("double").alias("s2"))
+    runs = intervals.coverage(cut, by=("id",), block=None).groupBy("id").agg(F.sum(n * F.col("depth")).cast("double").alias("s1"),
+        F.sum(n * F.col("depth") * F.col("depth")).cast("double").alias("s2"))
     out = guides(s, d).join(runs, "id", "left")
     mean, square = F.coalesce("s1", F.lit(0.0)) / n, F.coalesce("s2", F.lit(0.0)) / n
     return out.select("id", F.round(mean, 4).alias("cov"), F.round(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 4).alias("cov_sd"))
@@ -161,15 +182,20 @@ _TC = "tc AS (SELECT l_partkey AS transcript, l_returnflag AS sample, ceil(l_ext
 
 
 def _tx_counts(s, d) -> DataFrame:
-    return table(s, d, "lineitem").select(F.col("l_partkey").alias("transcript"), F.col("l_suppkey").alias("gene"), F.col("l_returnflag").alias("sample"), quant.reads_of(F.col("l_extendedprice"), F.col("l_quantity")).cast("long").alias("n"))
+    return table(s, d, "lineitem").select(F.col("l_partkey").alias("transcript"), F.col("l_suppkey").alias("gene"),
+        F.col("l_returnflag").alias("sample"), quant.reads_of(F.col("l_extendedprice"), F.col("l_quantity")).cast("long").alias("n"))
 
 
-@query(f"WITH {_TC} SELECT transcript, coalesce(sum(n) FILTER (sample = 'A'), 0)::BIGINT AS \"A\", coalesce(sum(n) FILTER (sample = 'N'), 0)::BIGINT AS \"N\", coalesce(sum(n) FILTER (sample = 'R'), 0)::BIGINT AS \"R\" FROM tc GROUP BY transcript")
+@query(f"""WITH {_TC}
+  SELECT transcript, coalesce(sum(n) FILTER (sample = 'A'), 0)::BIGINT AS \"A\", coalesce(sum(n) FILTER (sample = 'N'), 0)::BIGINT AS \"N\", coalesce(sum(n) FILTER (sample = 'R'), 0)::BIGINT AS \"R\"
+  FROM tc GROUP BY transcript""")
 def count_matrix_tx(s, d):
     return quant.matrix(_tx_counts(s, d), "transcript", "sample", "n", ["A", "N", "R"])
 
 
-@query(f"WITH {_TC.replace('l_partkey AS transcript', 'l_suppkey AS gene')} SELECT gene, coalesce(sum(n) FILTER (sample = 'A'), 0)::BIGINT AS \"A\", coalesce(sum(n) FILTER (sample = 'N'), 0)::BIGINT AS \"N\", coalesce(sum(n) FILTER (sample = 'R'), 0)::BIGINT AS \"R\" FROM tc GROUP BY gene")
+@query(f"""WITH {_TC.replace('l_partkey AS transcript', 'l_suppkey AS gene')}
+  SELECT gene, coalesce(sum(n) FILTER (sample = 'A'), 0)::BIGINT AS \"A\", coalesce(sum(n) FILTER (sample = 'N'), 0)::BIGINT AS \"N\", coalesce(sum(n) FILTER (sample = 'R'), 0)::BIGINT AS \"R\"
+  FROM tc GROUP BY gene""")
 def count_matrix_gene(s, d):
     return quant.matrix(_tx_counts(s, d), "gene", "sample", "n", ["A", "N", "R"])
 
@@ -181,36 +207,48 @@ def _tx(s, d) -> DataFrame:
     return transcripts.assemble(merged_exons(s, d), "tx", ("contig", "strand"))
 
 
-_INTRON = f"""WITH {TX}, nx AS (SELECT *, lead("start") OVER (PARTITION BY tx ORDER BY "start") AS nxt FROM mx), it AS (SELECT tx, contig, strand, "end" + 1 AS intron_start, nxt - 1 AS intron_end FROM nx WHERE nxt IS NOT NULL)"""
+_INTRON = f"""WITH {TX}, nx AS (SELECT *, lead("start") OVER (PARTITION BY tx ORDER BY "start") AS nxt FROM mx),
+  it AS (SELECT tx, contig, strand, "end" + 1 AS intron_start, nxt - 1 AS intron_end FROM nx WHERE nxt IS NOT NULL)"""
 
 
 @query(f"{_INTRON} SELECT * FROM it")
 def intron_derive(s, d):
-    return _tx(s, d).select("tx", "contig", "strand", F.explode(introns(F.col("exons"))).alias("i")).select("tx", "contig", "strand", F.col("i.start").alias("intron_start"), F.col("i.end").alias("intron_end"))
+    return _tx(s, d).select("tx", "contig", "strand", F.explode(introns(F.col("exons"))).alias("i")).select("tx", "contig", "strand",
+        F.col("i.start").alias("intron_start"), F.col("i.end").alias("intron_end"))
 
 
-@query(f'WITH {TX} SELECT tx, sum("end" - "start" + 1)::BIGINT AS covlen, count(*) AS n_exons, min("start") AS tx_start, max("end") AS tx_end FROM mx GROUP BY tx')
+@query(f"""WITH {TX} SELECT tx, sum("end" - "start" + 1)::BIGINT AS covlen, count(*) AS n_exons, min("start") AS tx_start, max("end") AS tx_end
+  FROM mx GROUP BY tx""")
 def transcript_length(s, d):
-    return _tx(s, d).select("tx", exons_len(F.col("exons")).alias("covlen"), F.size("exons").cast("long").alias("n_exons"), F.col("start").alias("tx_start"), F.array_max(F.transform("exons", lambda e: e["end"])).alias("tx_end"))
+    return _tx(s, d).select("tx", exons_len(F.col("exons")).alias("covlen"), F.size("exons").cast("long").alias("n_exons"),
+        F.col("start").alias("tx_start"), F.array_max(F.transform("exons", lambda e: e["end"])).alias("tx_end"))
 
 
-@query(f'WITH {EX}{_BUNDLES.format(t="ex", gap=1, by="tx").replace("PARTITION BY contig", "PARTITION BY tx")} SELECT tx, min("start") AS exon_start, max("end") AS exon_end FROM c GROUP BY tx, cluster')
+@query(f"""WITH {EX}{_BUNDLES.format(t="ex", gap=1, by="tx").replace("PARTITION BY contig", "PARTITION BY tx")} SELECT tx,
+  min("start") AS exon_start, max("end") AS exon_end FROM c GROUP BY tx, cluster""")
 def exon_merge(s, d):
     return intervals.merged(exons(s, d), 1, ("tx",), block=None).select("tx", F.col("start").alias("exon_start"), F.col("end").alias("exon_end"))
 
 
-@query(f'WITH {EX}{_BUNDLES.format(t="ex", gap=51, by="tx").replace("PARTITION BY contig", "PARTITION BY tx")} SELECT tx, min("start") AS exon_start, max("end") AS exon_end FROM c GROUP BY tx, cluster')
+@query(f"""WITH {EX}{_BUNDLES.format(t="ex", gap=51, by="tx").replace("PARTITION BY contig", "PARTITION BY tx")} SELECT tx,
+  min("start") AS exon_start, max("end") AS exon_end FROM c GROUP BY tx, cluster""")
 def close_exon_merge(s, d):
     tx = transcripts.assemble(exons(s, d), "tx")
-    return tx.select("tx", F.explode(transcripts.merge_close(F.col("exons"), 50)).alias("e")).select("tx", F.col("e.start").alias("exon_start"), F.col("e.end").alias("exon_end"))
+    return tx.select("tx", F.explode(transcripts.merge_close(F.col("exons"),
+        50)).alias("e")).select("tx", F.col("e.start").alias("exon_start"), F.col("e.end").alias("exon_end"))
 
 
-@query(f"""WITH {TX}, o AS (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY "start") AS k, count(*) OVER (PARTITION BY tx) AS n, lead("start") OVER (PARTITION BY tx ORDER BY "start") AS nxt, lag("end") OVER (PARTITION BY tx ORDER BY "start") AS prv FROM mx),
+@query(f"""WITH {TX}, o AS (SELECT *, row_number() OVER (PARTITION BY tx ORDER BY "start") AS k,
+  count(*) OVER (PARTITION BY tx) AS n, lead("start") OVER (PARTITION BY tx ORDER BY "start") AS nxt, lag("end") OVER (PARTITION BY tx
+  ORDER BY "start") AS prv FROM mx),
 st AS (SELECT tx, strand, k AS at_exon, CASE WHEN strand = '-' THEN n - k + 1 ELSE k END AS step, n FROM o WHERE (strand = '-' AND k > 1) OR (strand <> '-' AND k < n))
-SELECT st.tx, st.step::INT AS step, count(*)::INT AS n_exons, min(CASE WHEN st.strand = '-' AND o.k = st.at_exon THEN o.prv + 1 ELSE o."start" END) AS tx_start, max(CASE WHEN st.strand <> '-' AND o.k = st.at_exon THEN o.nxt - 1 ELSE o."end" END) AS last_end
+SELECT st.tx, st.step::INT AS step, count(*)::INT AS n_exons,
+  min(CASE WHEN st.strand = '-' AND o.k = st.at_exon THEN o.prv + 1 ELSE o."start" END) AS tx_start,
+  max(CASE WHEN st.strand <> '-' AND o.k = st.at_exon THEN o.nxt - 1 ELSE o."end" END) AS last_end
 FROM st JOIN o ON o.tx = st.tx AND ((st.strand = '-' AND o.k >= st.at_exon) OR (st.strand <> '-' AND o.k <= st.at_exon)) GROUP BY st.tx, st.step""")
 def nascent_gen(s, d):
-    return transcripts.nascents(_tx(s, d)).select("tx", "step", F.size("exons").alias("n_exons"), F.col("start").alias("tx_start"), F.array_max(F.transform("exons", lambda e: e["end"])).alias("last_end"))
+    return transcripts.nascents(_tx(s, d)).select("tx", "step", F.size("exons").alias("n_exons"), F.col("start").alias("tx_start"),
+        F.array_max(F.transform("exons", lambda e: e["end"])).alias("last_end"))
 
 
 @query()
@@ -219,24 +257,32 @@ def nascent_distinct(s, d):
     transcripts decides, which SQL can't say."""
     key, line = F.col("l_orderkey").cast("long"), F.col("l_linenumber").cast("long")
     start = F.floor(key / 997) % 5000 * 40 + line * 400
-    x = table(s, d, "lineitem").select(key.alias("tx"), (key % 997).alias("contig"), F.when(key % 2 == 0, "+").otherwise("-").alias("strand"), start.alias("start"), (start + 100 + F.col("l_quantity").cast("long")).alias("end"))
+    x = table(s, d, "lineitem").select(key.alias("tx"), (key % 997).alias("contig"), F.when(key % 2 == 0,
+        "+").otherwise("-").alias("strand"), start.alias("start"), (start + 100 + F.col("l_quantity").cast("long")).alias("end"))
     x = x.groupBy("tx", "contig", "strand", "start").agg(F.max("end").alias("end"))
     tx = x.groupBy("tx", "contig", "strand").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
-    return transcripts.distinct_nascents(tx, "tx").select("tx", "step", "contig", F.size("exons").alias("n_exons"), F.col("start").alias("tx_start"), F.col("end").alias("tx_end"))
+    return transcripts.distinct_nascents(tx, "tx").select("tx", "step", "contig", F.size("exons").alias("n_exons"), F.col("start").alias("tx_start"),
+        F.col("end").alias("tx_end"))
 
 
-@query(f"""WITH {TX} SELECT tx, "start" AS exon_start, ((3 - coalesce(sum("end" - "start" + 1) OVER (PARTITION BY tx ORDER BY CASE WHEN strand = '-' THEN -"end" ELSE "start" END, "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3) % 3)::INT AS phase FROM mx""")
+@query(f"""WITH {TX} SELECT tx, "start" AS exon_start, ((3 - coalesce(sum("end" - "start" + 1) OVER (PARTITION BY tx
+  ORDER BY CASE WHEN strand = '-' THEN -"end" ELSE "start" END, "start", "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3) % 3)::INT AS phase
+  FROM mx""")
 def cds_phase(s, d):
     return transcripts.cds_phases(merged_exons(s, d), "tx").select("tx", F.col("start").alias("exon_start"), "phase")
 
 
-@query(f"""WITH {EX}, fe AS (SELECT contig, "start", "end", strand, count(DISTINCT tx) AS n_owners, min(tx) AS first_owner FROM ex GROUP BY ALL) SELECT row_number() OVER (ORDER BY contig, "start", "end", strand) AS id, contig, "start" AS f_start, "end" AS f_end, strand, n_owners, first_owner FROM fe""")
+@query(f"""WITH {EX}, fe AS (SELECT contig, "start", "end", strand, count(DISTINCT tx) AS n_owners, min(tx) AS first_owner FROM ex GROUP BY ALL)
+  SELECT row_number() OVER (ORDER BY contig, "start", "end", strand) AS id, contig, "start" AS f_start, "end" AS f_end, strand, n_owners, first_owner
+  FROM fe""")
 def feature_dedup(s, d):
     f = transcripts.features(exons(s, d), "tx")
-    return f.select("id", "contig", F.col("start").alias("f_start"), F.col("end").alias("f_end"), "strand", F.size("owners").cast("long").alias("n_owners"), F.element_at("owners", 1).alias("first_owner"))
+    return f.select("id", "contig", F.col("start").alias("f_start"), F.col("end").alias("f_end"), "strand",
+        F.size("owners").cast("long").alias("n_owners"), F.element_at("owners", 1).alias("first_owner"))
 
 
-@query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx) SELECT tx, rank() OVER (ORDER BY chain) AS place FROM ch""")
+@query(f"""{_INTRON}, ch AS (SELECT tx, list([intron_start, intron_end] ORDER BY intron_start) AS chain FROM it GROUP BY tx)
+  SELECT tx, rank() OVER (ORDER BY chain) AS place FROM ch""")
 def sort_by_intron_chain(s, d):
     """Places by intron chain."""
     chains = _tx(s, d).select("tx", introns(F.col("exons")).alias("chain")).filter("size(chain) > 0")
@@ -246,14 +292,18 @@ def sort_by_intron_chain(s, d):
 # --- alignment fields, filter language, variants ---------------------------------------------
 
 
-@query(f"WITH {IV} SELECT id, flag, (flag & 4) <> 0 AS unmapped, (flag & 16) <> 0 AS reverse_, (flag & 2308) = 0 AS primary_, ((flag & 1)<>0)::INT + ((flag & 64)<>0)::INT * 2 + ((flag & 128)<>0)::INT * 4 AS pair_bits FROM iv")
+@query(f"""WITH {IV}
+  SELECT id, flag, (flag & 4) <> 0 AS unmapped, (flag & 16) <> 0 AS reverse_, (flag & 2308) = 0 AS primary_, ((flag & 1)<>0)::INT + ((flag & 64)<>0)::INT * 2 + ((flag & 128)<>0)::INT * 4 AS pair_bits
+  FROM iv""")
 def flag_decode(s, d):
     f = F.col("flag")
     bit = lambda n: sam.has(f, n).cast("int")
-    return iv(s, d).select("id", "flag", sam.has(f, "unmap").alias("unmapped"), sam.has(f, "reverse").alias("reverse_"), (f.bitwiseAND(0x904) == 0).alias("primary_"), (bit("paired") + bit("read1") * 2 + bit("read2") * 4).alias("pair_bits"))
+    return iv(s, d).select("id", "flag", sam.has(f, "unmap").alias("unmapped"), sam.has(f, "reverse").alias("reverse_"),
+        (f.bitwiseAND(0x904) == 0).alias("primary_"), (bit("paired") + bit("read1") * 2 + bit("read2") * 4).alias("pair_bits"))
 
 
-@query(f"WITH {IV} SELECT id, CASE WHEN strand <> '.' THEN strand WHEN ((flag & 16) <> 0) <> ((flag & 129) = 129) THEN '+' ELSE '-' END AS rf, CASE WHEN strand <> '.' THEN strand WHEN ((flag & 16) <> 0) = ((flag & 129) = 129) THEN '+' ELSE '-' END AS fr FROM iv")
+@query(f"""WITH {IV} SELECT id, CASE WHEN strand <> '.' THEN strand WHEN ((flag & 16) <> 0) <> ((flag & 129) = 129) THEN '+' ELSE '-' END AS rf,
+  CASE WHEN strand <> '.' THEN strand WHEN ((flag & 16) <> 0) = ((flag & 129) = 129) THEN '+' ELSE '-' END AS fr FROM iv""")
 def strand_library(s, d):
     x, f = F.col("strand"), F.col("flag")
     return iv(s, d).select("id", sam.library_strand(x, f, "rf").alias("rf"), sam.library_strand(x, f, "fr").alias("fr"))
@@ -265,7 +315,10 @@ def filter_expr(s, d):
     return iv(s, d).filter(compile_filter('flag.paired && mapq >= 2 || rname == "view" && rname =~ "^v|c"', symbols, {"rname"})).select("id")
 
 
-@query("WITH v AS (SELECT l_orderkey, l_linenumber, substr('ACGT', 1 + l_partkey % 4, 1 + l_linenumber % 2) AS r, substr('ACGTA', 1 + l_suppkey % 4, 1 + l_orderkey % 3) AS a FROM lineitem) SELECT l_linenumber, r, a, CASE WHEN r = a THEN 'REF' WHEN length(r) = 1 AND length(a) = 1 THEN 'SNP' WHEN length(r) = length(a) THEN CASE WHEN levenshtein(r, a) = 1 THEN 'SNP' ELSE 'MNP' END WHEN length(a) > length(r) THEN CASE WHEN starts_with(a, r) OR suffix(a, r) THEN 'INS' ELSE 'OTHER' END ELSE CASE WHEN starts_with(r, a) OR suffix(r, a) THEN 'DEL' ELSE 'OTHER' END END AS kind, count(*) AS n FROM v GROUP BY ALL")
+@query("""WITH v AS (SELECT l_orderkey, l_linenumber, substr('ACGT', 1 + l_partkey % 4, 1 + l_linenumber % 2) AS r, substr('ACGTA', 1 + l_suppkey % 4, 1 + l_orderkey % 3) AS a
+  FROM lineitem) SELECT l_linenumber, r, a,
+  CASE WHEN r = a THEN 'REF' WHEN length(r) = 1 AND length(a) = 1 THEN 'SNP' WHEN length(r) = length(a) THEN CASE WHEN levenshtein(r, a) = 1 THEN 'SNP' ELSE 'MNP' END WHEN length(a) > length(r) THEN CASE WHEN starts_with(a, r) OR suffix(a, r) THEN 'INS' ELSE 'OTHER' END ELSE CASE WHEN starts_with(r, a) OR suffix(r, a) THEN 'DEL' ELSE 'OTHER' END END AS kind,
+  count(*) AS n FROM v GROUP BY ALL""")
 def variant_types(s, d):
     x = table(s, d, "lineitem")
     r = F.substring(F.lit("ACGT"), (1 + F.col("l_partkey") % 4).cast("int"), (1 + F.col("l_linenumber") % 2).cast("int"))
@@ -274,13 +327,16 @@ def variant_types(s, d):
     return v.groupBy("l_linenumber", "r", "a", variant_type(F.col("r"), F.col("a")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("WITH g AS (SELECT nullif(l_partkey % 4, 3) AS a, nullif(l_suppkey % 4, 3) AS b FROM lineitem) SELECT CASE WHEN a IS NULL THEN 'UNKN' WHEN b IS NULL THEN 'HAPL' WHEN a = 0 AND b = 0 THEN 'HOM_RR' WHEN a = b THEN 'HOM_AA' WHEN a = 0 OR b = 0 THEN 'HET_RA' ELSE 'HET_AA' END AS gt, count(*) AS n FROM g GROUP BY 1")
+@query("""WITH g AS (SELECT nullif(l_partkey % 4, 3) AS a, nullif(l_suppkey % 4, 3) AS b FROM lineitem)
+  SELECT CASE WHEN a IS NULL THEN 'UNKN' WHEN b IS NULL THEN 'HAPL' WHEN a = 0 AND b = 0 THEN 'HOM_RR' WHEN a = b THEN 'HOM_AA' WHEN a = 0 OR b = 0 THEN 'HET_RA' ELSE 'HET_AA' END AS gt,
+  count(*) AS n FROM g GROUP BY 1""")
 def genotype_classes(s, d):
     a, b = (F.nullif(F.col(c) % 4, F.lit(3)) for c in ("l_partkey", "l_suppkey"))
     return table(s, d, "lineitem").groupBy(genotype_class(a, b).alias("gt")).agg(F.count("*").alias("n"))
 
 
-@query("WITH g AS (SELECT l_linenumber AS site, unnest([l_partkey % 3, l_suppkey % 3]) AS allele FROM lineitem) SELECT site, allele, count(*) AS ac, sum(count(*)) OVER (PARTITION BY site)::BIGINT AS an FROM g GROUP BY site, allele")
+@query("""WITH g AS (SELECT l_linenumber AS site, unnest([l_partkey % 3, l_suppkey % 3]) AS allele FROM lineitem) SELECT site, allele,
+  count(*) AS ac, sum(count(*)) OVER (PARTITION BY site)::BIGINT AS an FROM g GROUP BY site, allele""")
 def allele_counts(s, d):
     g = table(s, d, "lineitem").select(F.col("l_linenumber").alias("site"), F.explode(F.array(F.col("l_partkey") % 3, F.col("l_suppkey") % 3)).alias("allele"))
     return g.groupBy("site", "allele").agg(F.count("*").alias("ac")).withColumn("an", F.sum("ac").over(Window.partitionBy("site")))
@@ -289,7 +345,8 @@ def allele_counts(s, d):
 # --- sequences and k-mers --------------------------------------------------------------------
 
 
-@query(f"WITH {SEQ}, m AS (SELECT substr(seq, i, 5) AS mer FROM seqs, unnest(range(1, length(seq) - 3)) AS u(i)) SELECT mer, count(*) AS \"count\" FROM m GROUP BY mer")
+@query(f"""WITH {SEQ}, m AS (SELECT substr(seq, i, 5) AS mer FROM seqs, unnest(range(1, length(seq) - 3)) AS u(i)) SELECT mer, count(*) AS \"count\"
+  FROM m GROUP BY mer""")
 def kmer_count(s, d):
     return km.count_kmers(sequences(s, d), 5, both_strands=False)
 
@@ -299,12 +356,14 @@ def kmer_canonical(s, d):
     return km.count_kmers(sequences(s, d), 5)
 
 
-@query(f"WITH {K5} SELECT (CASE WHEN \"count\" < 1 THEN 1 WHEN \"count\" > 300 THEN 310 ELSE (\"count\" - 1) // 10 * 10 + 1 END)::BIGINT AS bucket, count(*) AS n FROM kc GROUP BY 1")
+@query(f"""WITH {K5} SELECT (CASE WHEN \"count\" < 1 THEN 1 WHEN \"count\" > 300 THEN 310 ELSE (\"count\" - 1) // 10 * 10 + 1 END)::BIGINT AS bucket,
+  count(*) AS n FROM kc GROUP BY 1""")
 def kmer_histo(s, d):
     return km.histogram(km.count_kmers(sequences(s, d), 5), 1, 300, 10)
 
 
-@query(f"WITH {K5} SELECT count(*) FILTER (\"count\" = 1) AS uniq, count(*) AS distinct_mers, sum(\"count\")::BIGINT AS total, max(\"count\") AS max_count FROM kc")
+@query(f"""WITH {K5} SELECT count(*) FILTER (\"count\" = 1) AS uniq, count(*) AS distinct_mers, sum(\"count\")::BIGINT AS total,
+  max(\"count\") AS max_count FROM kc""")
 def kmer_stats(s, d):
     return km.stats(km.count_kmers(sequences(s, d), 5))
 
@@ -315,13 +374,15 @@ def kmer_merge(s, d):
     return km.merge_counts(km.count_kmers(x.filter("id % 2 = 0"), 5), km.count_kmers(x.filter("id % 2 = 1"), 5), least=2)
 
 
-@query(f"WITH {K5}, q AS (SELECT DISTINCT upper(substr(n_name, 1, 1)) || 'ACGT' AS mer FROM nation) SELECT q.mer, coalesce(\"count\", 0) AS \"count\" FROM q LEFT JOIN kc ON q.mer = kc.mer")
+@query(f"""WITH {K5}, q AS (SELECT DISTINCT upper(substr(n_name, 1, 1)) || 'ACGT' AS mer FROM nation)
+  SELECT q.mer, coalesce(\"count\", 0) AS \"count\" FROM q LEFT JOIN kc ON q.mer = kc.mer""")
 def kmer_query(s, d):
     q = table(s, d, "nation").select(F.concat(F.upper(F.substring("n_name", 1, 1)), F.lit("ACGT")).alias("mer")).distinct()
     return km.query(km.count_kmers(sequences(s, d), 5), q)
 
 
-@query("WITH o AS (SELECT l_partkey AS mer, (l_quantity >= 25)::INT AS high FROM lineitem) SELECT mer, least(31, CASE WHEN max(high) = 1 THEN sum(high) ELSE count(*) END)::BIGINT AS \"count\", max(high) AS hq FROM o GROUP BY mer")
+@query("""WITH o AS (SELECT l_partkey AS mer, (l_quantity >= 25)::INT AS high FROM lineitem) SELECT mer, least(31,
+  CASE WHEN max(high) = 1 THEN sum(high) ELSE count(*) END)::BIGINT AS \"count\", max(high) AS hq FROM o GROUP BY mer""")
 def kmer_quality(s, d):
     o = table(s, d, "lineitem").select(F.col("l_partkey").alias("mer"), (F.col("l_quantity") >= 25).cast("int").alias("high"))
     return km.quality_counts(o, 31)
@@ -330,26 +391,33 @@ def kmer_quality(s, d):
 _NX = "WITH c AS (SELECT n_chars AS size, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, sum(n * size) OVER (ORDER BY size DESC) AS run, sum(n * size) OVER () AS t FROM c)"
 
 
-@query(f"{_NX} SELECT max(size) FILTER (run * 100 >= t * 10) AS n10, max(size) FILTER (run * 100 >= t * 25) AS n25, max(size) FILTER (run * 100 >= t * 50) AS n50, max(size) FILTER (run * 100 >= t * 90) AS n90, max(t)::BIGINT AS total, sum(n)::BIGINT AS records FROM r")
+@query(f"""{_NX} SELECT max(size) FILTER (run * 100 >= t * 10) AS n10, max(size) FILTER (run * 100 >= t * 25) AS n25,
+  max(size) FILTER (run * 100 >= t * 50) AS n50, max(size) FILTER (run * 100 >= t * 90) AS n90, max(t)::BIGINT AS total, sum(n)::BIGINT AS records
+  FROM r""")
 def nx_stats(s, d):
     return km.nx(table(s, d, "documents"), size="n_chars").drop("average", "e_size")
 
 
-@query(f"WITH {SEQ} SELECT id, length(seq) AS size, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5, md5(least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))) AS canon_md5 FROM seqs")
+@query(f"""WITH {SEQ}
+  SELECT id, length(seq) AS size, md5(reverse(translate(seq, 'ACGT', 'TGCA'))) AS rc_md5, md5(least(seq, reverse(translate(seq, 'ACGT', 'TGCA')))) AS canon_md5
+  FROM seqs""")
 def seq_revcomp(s, d):
     x = F.col("seq")
     return sequences(s, d).select("id", F.length(x).cast("long").alias("size"), F.md5(revcomp(x)).alias("rc_md5"), F.md5(canonical(x)).alias("canon_md5"))
 
 
-@query("SELECT doc_id AS id, i - 1 AS part, p AS seq FROM (SELECT doc_id, list_filter(string_split_regex(text, '[Nn]{2,}'), lambda x: x <> '') AS ps FROM documents), unnest(ps) WITH ORDINALITY AS u(p, i)")
+@query("""SELECT doc_id AS id, i - 1 AS part, p AS seq FROM (SELECT doc_id, list_filter(string_split_regex(text, '[Nn]{2,}'), lambda x: x <> '') AS ps
+  FROM documents), unnest(ps) WITH ORDINALITY AS u(p, i)""")
 def seq_split_n(s, d):
-    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(split_at_n(F.col("text"))).alias("part", "seq")).select("id", F.col("part").cast("long").alias("part"), "seq")
+    return table(s, d, "documents").select(F.col("doc_id").alias("id"), F.posexplode(split_at_n(F.col("text"))).alias("part",
+        "seq")).select("id", F.col("part").cast("long").alias("part"), "seq")
 
 
 _CODON_SQL = "(VALUES " + ", ".join(f"('{c}', '{a}')" for c, a in CODONS.items()) + ") AS codons(codon, amino)"
 
 
-@query(f"""WITH {SEQ}, c AS (SELECT id, i, substr(seq, i, 3) AS codon FROM seqs, unnest(range(1, length(seq) - 1, 3)) AS u(i)), p AS (SELECT id, string_agg(amino, '' ORDER BY i) AS protein FROM c JOIN {_CODON_SQL} USING (codon) GROUP BY id)
+@query(f"""WITH {SEQ}, c AS (SELECT id, i, substr(seq, i, 3) AS codon FROM seqs, unnest(range(1, length(seq) - 1, 3)) AS u(i)),
+  p AS (SELECT id, string_agg(amino, '' ORDER BY i) AS protein FROM c JOIN {_CODON_SQL} USING (codon) GROUP BY id)
 SELECT id, coalesce(protein, '') AS protein FROM seqs LEFT JOIN p USING (id)""")
 def seq_translate(s, d):
     return sequences(s, d).select("id", translate_dna(F.col("seq")).alias("protein"))
@@ -380,7 +448,8 @@ def split_rr(s, d):
     return records.split_round_robin(table(s, d, "orders"), 4, "o_orderkey").groupBy("part").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("SELECT id, coalesce(e.event_type, 'N') AS seq FROM (SELECT DISTINCT unnest([event_id, xor(event_id, 1)]) AS id FROM events WHERE value >= 50) LEFT JOIN (SELECT * FROM events WHERE value >= 50) e ON e.event_id = id")
+@query("""SELECT id, coalesce(e.event_type, 'N') AS seq FROM (SELECT DISTINCT unnest([event_id, xor(event_id, 1)]) AS id FROM events
+  WHERE value >= 50) LEFT JOIN (SELECT * FROM events WHERE value >= 50) e ON e.event_id = id""")
 def missing_mates(s, d):
     return records.add_missing_mates(table(s, d, "events").filter("value >= 50").select(F.col("event_id").alias("id"), F.col("event_type").alias("seq")))
 
@@ -394,9 +463,12 @@ def set_ops(s, d):
 # --- graphs ----------------------------------------------------------------------------------
 
 
-@query("""WITH r AS (SELECT DISTINCT l_orderkey AS read, l_suppkey AS target, 100 AS len FROM lineitem), t AS (SELECT s_suppkey AS target, 1000 + s_suppkey AS size, 0.0::DOUBLE AS cov FROM supplier),
-w1 AS (SELECT *, sum(1 + cov) OVER (PARTITION BY read) AS tot FROM r JOIN t USING (target)), c1 AS (SELECT target, any_value(size) AS size, sum(len * (1 + cov) / tot / size) AS cov FROM w1 GROUP BY target),
-w2 AS (SELECT *, sum(1 + cov) OVER (PARTITION BY read) AS tot FROM r JOIN c1 USING (target)), c2 AS (SELECT target, any_value(size) AS size, sum(len * (1 + cov) / tot / size) AS cov FROM w2 GROUP BY target)
+@query("""WITH r AS (SELECT DISTINCT l_orderkey AS read, l_suppkey AS target, 100 AS len FROM lineitem),
+  t AS (SELECT s_suppkey AS target, 1000 + s_suppkey AS size, 0.0::DOUBLE AS cov FROM supplier),
+w1 AS (SELECT *, sum(1 + cov) OVER (PARTITION BY read) AS tot FROM r JOIN t USING (target)), c1 AS (SELECT target, any_value(size) AS size,
+  sum(len * (1 + cov) / tot / size) AS cov FROM w1 GROUP BY target),
+w2 AS (SELECT *, sum(1 + cov) OVER (PARTITION BY read) AS tot FROM r JOIN c1 USING (target)), c2 AS (SELECT target, any_value(size) AS size,
+  sum(len * (1 + cov) / tot / size) AS cov FROM w2 GROUP BY target)
 SELECT t.target, round(coalesce(c2.cov, 0), 5) AS cov FROM t LEFT JOIN c2 USING (target)""")
 def em_coverage(s, d):
     r = table(s, d, "lineitem").select(F.col("l_orderkey").alias("read"), F.col("l_suppkey").alias("target"), F.lit(100).alias("len")).distinct()
@@ -404,12 +476,15 @@ def em_coverage(s, d):
     return graph.em_coverage(r, t, 2).select("target", F.round("cov", 5).alias("cov"))
 
 
-@query("WITH p AS (SELECT DISTINCT l_suppkey AS super, l_orderkey // 2 AS pair, l_orderkey % 2 AS odd FROM lineitem), q AS (SELECT super, pair, CASE WHEN count(*) FILTER (odd = 0) > 0 THEN count(*) FILTER (odd = 0) ELSE count(*) END AS n FROM p GROUP BY super, pair) SELECT super, sum(n)::BIGINT AS \"count\" FROM q GROUP BY super HAVING sum(n) >= 2")
+@query("""WITH p AS (SELECT DISTINCT l_suppkey AS super, l_orderkey // 2 AS pair, l_orderkey % 2 AS odd FROM lineitem), q AS (SELECT super, pair,
+  CASE WHEN count(*) FILTER (odd = 0) > 0 THEN count(*) FILTER (odd = 0) ELSE count(*) END AS n FROM p GROUP BY super, pair) SELECT super,
+  sum(n)::BIGINT AS \"count\" FROM q GROUP BY super HAVING sum(n) >= 2""")
 def insert_counts(s, d):
     return graph.insert_counts(table(s, d, "lineitem").select(F.col("l_suppkey").alias("super"), F.col("l_orderkey").alias("read")).distinct())
 
 
-@query(f"WITH {SEQ}, s2 AS (SELECT id, substr(seq, 1, 12) AS head, substr(seq, length(seq) - 11, 12) AS tail FROM seqs WHERE length(seq) >= 12) SELECT a.id AS a_id, b.id AS b_id FROM s2 a JOIN s2 b ON a.tail = b.head AND a.id <> b.id")
+@query(f"""WITH {SEQ}, s2 AS (SELECT id, substr(seq, 1, 12) AS head, substr(seq, length(seq) - 11, 12) AS tail FROM seqs WHERE length(seq) >= 12)
+  SELECT a.id AS a_id, b.id AS b_id FROM s2 a JOIN s2 b ON a.tail = b.head AND a.id <> b.id""")
 def unitig_overlaps(s, d):
     x = sequences(s, d).filter("length(seq) >= 12")
     a = x.select(F.col("id").alias("a_id"), F.substring("seq", -12, 12).alias("end_"))
@@ -432,26 +507,31 @@ def kmer_repeated(s, d):
     return km.count_kmers(sequences(s, d), 5, least=2).select("mer", (F.col("count") - 1).alias("one_pass"), F.col("count").alias("two_pass"))
 
 
-@query(f"""WITH {PAIRS}, q AS (SELECT b_id, a_id, ovlen, row_number() OVER (PARTITION BY b_id ORDER BY a_start, a_id) AS k FROM pairs) SELECT b_id, count(*) AS depth, max(ovlen) AS longest FROM q WHERE k <= 8 GROUP BY b_id""")
+@query(f"""WITH {PAIRS}, q AS (SELECT b_id, a_id, ovlen, row_number() OVER (PARTITION BY b_id ORDER BY a_start, a_id) AS k FROM pairs) SELECT b_id,
+  count(*) AS depth, max(ovlen) AS longest FROM q WHERE k <= 8 GROUP BY b_id""")
 def pileup_depth(s, d):
     """Reads over each guide, first 8 by start: the depth limit is part of the operator."""
     rank = F.row_number().over(Window.partitionBy("b_id").orderBy("a_start", "a_id"))
     return _pairs(s, d).withColumn("k", rank).filter("k <= 8").groupBy("b_id").agg(F.count("*").alias("depth"), F.max("ovlen").alias("longest"))
 
 
-@query("""SELECT l_partkey AS pos, l_linenumber AS allele, count(*) FILTER (l_returnflag = 'A') AS in_a, count(*) FILTER (l_returnflag = 'N') AS in_n, count(*) FILTER (l_returnflag = 'R') AS in_r FROM lineitem GROUP BY 1, 2""")
+@query("""SELECT l_partkey AS pos, l_linenumber AS allele, count(*) FILTER (l_returnflag = 'A') AS in_a,
+  count(*) FILTER (l_returnflag = 'N') AS in_n, count(*) FILTER (l_returnflag = 'R') AS in_r FROM lineitem GROUP BY 1, 2""")
 def site_sync(s, d):
     """Several inputs lined up by site and allele: one aggregation in place of outer joins."""
     x = table(s, d, "lineitem")
-    return x.groupBy(F.col("l_partkey").alias("pos"), F.col("l_linenumber").alias("allele")).agg(*(F.count_if(F.col("l_returnflag") == f).alias(f"in_{f.lower()}") for f in "ANR"))
+    return x.groupBy(F.col("l_partkey").alias("pos"),
+        F.col("l_linenumber").alias("allele")).agg(*(F.count_if(F.col("l_returnflag") == f).alias(f"in_{f.lower()}") for f in "ANR"))
 
 
-@query(f'WITH {PAIRS} SELECT id, "start" - 1 AS bed_start, "end" AS bed_end FROM r WHERE contig IN (3, 4) AND "start" <= (SELECT max("start") FROM r WHERE contig = 3)')
+@query(f"""WITH {PAIRS} SELECT id, "start" - 1 AS bed_start, "end" AS bed_end FROM r WHERE contig IN (3, 4) AND "start" <= (SELECT max("start") FROM r
+  WHERE contig = 3)""")
 def region_scan(s, d):
     """Rows of some contigs up to a position: a filter that reaches the scan, and one value from a subquery."""
     x = reads(s, d)
     top = x.filter("contig = 3").agg(F.max("start").alias("top"))
-    return x.filter("contig in (3, 4)").join(F.broadcast(top), F.col("start") <= F.col("top")).select("id", (F.col("start") - 1).alias("bed_start"), F.col("end").alias("bed_end"))
+    return x.filter("contig in (3, 4)").join(F.broadcast(top), F.col("start") <= F.col("top")).select("id", (F.col("start") - 1).alias("bed_start"),
+        F.col("end").alias("bed_end"))
 
 
 @query("SELECT coalesce(nullif(p_brand, '') || '|' || p_type, p_type) AS gene_id, count(*) AS n, min(p_partkey) AS first_part FROM part GROUP BY 1")

@@ -35,7 +35,8 @@ def dense(s, d):
     start = base + F.when(F.col("l_partkey") % 17 == 0, 10).otherwise(0)
     end = base + 100 + F.when(F.col("l_suppkey") % 13 == 0, 10).otherwise(0) + F.when(F.col("l_partkey") % 19 == 0, 220).otherwise(0)
     strand = F.when(key % 3 == 0, "-").otherwise("+")
-    x = table(s, d, "lineitem").select(key.alias("tx"), (locus % 10).alias("contig"), strand.alias("strand"), start.cast("long").alias("start"), end.cast("long").alias("end"))
+    x = table(s, d, "lineitem").select(key.alias("tx"), (locus % 10).alias("contig"), strand.alias("strand"), start.cast("long").alias("start"),
+        end.cast("long").alias("end"))
     return transcripts.assemble(intervals.merged(x, 1, ("tx", "contig", "strand"), block=None), "tx", ("contig", "strand"))
 
 
@@ -99,7 +100,8 @@ def _dense_pairs(s, d):
 @query(f"WITH {CODES} SELECT a AS a_tx, b AS b_tx, code FROM codes")
 def class_code(s, d):
     """The code of each pair of an even and an odd transcript that overlap."""
-    return _dense_pairs(s, d).select("a_tx", "b_tx", classes.class_code(*(F.col(c) for c in ("a_exons", "b_exons")), im=F.col("a_introns"), ir=F.col("b_introns")).alias("code"))
+    return _dense_pairs(s, d).select("a_tx", "b_tx", classes.class_code(*(F.col(c) for c in ("a_exons",
+        "b_exons")), im=F.col("a_introns"), ir=F.col("b_introns")).alias("code"))
 
 
 _RANK = "CASE code " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in classes.RANK.items()) + " END"
@@ -148,10 +150,12 @@ SELECT tx, cs AS cds_start, ce AS cds_end, len(n)::BIGINT AS parts, list_sum(n):
 def cds_from_span(s, d):
     """A coding span put on a transcript, and what it has of the exons."""
     tx = dense(s, d).withColumn("c", set_cds(F.col("exons"), F.col("start") + 15, F.col("end") - 15))
-    return tx.select("tx", F.col("c.start").alias("cds_start"), F.col("c.end").alias("cds_end"), F.size("c.parts").cast("long").alias("parts"), exons_len(F.col("c.parts")).alias("bases"))
+    return tx.select("tx", F.col("c.start").alias("cds_start"), F.col("c.end").alias("cds_end"), F.size("c.parts").cast("long").alias("parts"),
+        exons_len(F.col("c.parts")).alias("bases"))
 
 
-@query(f"""WITH {DENSE}, b AS (SELECT *, flatten(list_transform(x, lambda q: range(q.s, q.e + 1))) AS g FROM dt), o AS (SELECT *, CASE WHEN strand = '-' THEN list_reverse(g) ELSE g END AS h FROM b)
+@query(f"""WITH {DENSE}, b AS (SELECT *, flatten(list_transform(x, lambda q: range(q.s, q.e + 1))) AS g FROM dt), o AS (SELECT *,
+  CASE WHEN strand = '-' THEN list_reverse(g) ELSE g END AS h FROM b)
 SELECT tx, h[120] AS pos, list_position(h, (s + e) // 2)::BIGINT AS place, coalesce(list_position(list_transform(x, lambda q: q.s <= (s + e) // 2 AND (s + e) // 2 <= q.e), true), 0)::BIGINT AS exon,
   s - 7 AS padded_start, e + 7 AS padded_end, greatest(s - 50, 1) AS wide_start, e + 50 AS wide_end FROM o""")
 def coordinate_maps(s, d):
@@ -159,12 +163,14 @@ def coordinate_maps(s, d):
     x, strand, mid = F.col("exons"), F.col("strand"), F.floor((F.col("start") + F.col("end")) / 2)
     tx = dense(s, d).withColumns({"pad": pad_ends(x, 7), "wide": expand(F.col("start"), F.col("end"), 50)})
     return tx.select("tx", to_genome(x, strand, F.lit(120)).alias("pos"), to_transcript(x, strand, mid).alias("place"), exon_of(x, mid).cast("long").alias("exon"),
-                     F.element_at("pad", 1)["start"].alias("padded_start"), F.element_at("pad", -1)["end"].alias("padded_end"), F.col("wide.start").alias("wide_start"), F.col("wide.end").alias("wide_end"))
+                     F.element_at("pad", 1)["start"].alias("padded_start"), F.element_at("pad", -1)["end"].alias("padded_end"),
+                         F.col("wide.start").alias("wide_start"), F.col("wide.end").alias("wide_end"))
 
 
 # --- guides beside reads ---------------------------------------------------------------------
 
-_RG = IV + """, r AS (SELECT *, CASE WHEN id % 6 = 0 THEN "start" + id % 7 * 40 END AS mate FROM iv WHERE id % 2 = 0), g AS (SELECT *, (id % 4 = 1)::INT AS is_real FROM iv WHERE id % 2 = 1),
+_RG = IV + """, r AS (SELECT *, CASE WHEN id % 6 = 0 THEN "start" + id % 7 * 40 END AS mate FROM iv WHERE id % 2 = 0),
+  g AS (SELECT *, (id % 4 = 1)::INT AS is_real FROM iv WHERE id % 2 = 1),
 ov AS (
   SELECT r.id AS a_id, g.id AS b_id, r."start" AS a_start, r."end" AS a_end, r.strand AS a_strand, g.strand AS b_strand, is_real AS b_real,
     least(r."end", g."end") - greatest(r."start", g."start") + 1 AS ovlen, coalesce(mate > 0 AND mate + 10 > g."start" AND mate + 5 < g."end", false)::INT AS mate_ovl
@@ -191,13 +197,15 @@ def exon_guide_best(s, d):
     return guides.best_exons(_exons(s, d), "a_id").select("a_id", "b_id", "ovlen", "mate_ovl", "b_real")
 
 
-@query(f"WITH {_RG} SELECT a_id AS id, min(b_strand) AS strand FROM best WHERE a_strand = '.' AND b_strand IN ('+', '-') GROUP BY a_id HAVING min(b_strand) = max(b_strand)")
+@query(f"""WITH {_RG} SELECT a_id AS id, min(b_strand) AS strand FROM best WHERE a_strand = '.' AND b_strand IN ('+', '-') GROUP BY a_id
+  HAVING min(b_strand) = max(b_strand)""")
 def guide_strand(s, d):
     """The strand that all best guide exons of a read without one agree on."""
     return guides.guide_strand(guides.best_exons(_exons(s, d), "a_id"), "a_id").withColumnRenamed("a_id", "id")
 
 
-@query(f"""WITH {_RG}, m AS (SELECT a_id, max(ovlen) AS best FROM ex GROUP BY a_id) SELECT id, coalesce(best, 0) >= "end" - "start" + 1 AS in_guide FROM r LEFT JOIN m ON id = a_id""")
+@query(f"""WITH {_RG}, m AS (SELECT a_id, max(ovlen) AS best FROM ex GROUP BY a_id) SELECT id, coalesce(best, 0) >= "end" - "start" + 1 AS in_guide
+  FROM r LEFT JOIN m ON id = a_id""")
 def read_in_guide(s, d):
     """Whether guide exons cover all exons of a read whole."""
     return guides.full_overlap(read_rows(s, d), _exons(s, d), "id")
@@ -205,8 +213,10 @@ def read_in_guide(s, d):
 
 _GB = IV + """, u AS (SELECT id, contig, "start" AS s, "end" AS e, id % 3 <> 0 AS is_read FROM iv),
 w AS (SELECT *, max(e) OVER (PARTITION BY contig ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM u),
-c AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM w),
-pieces AS (SELECT contig, k, min(s) AS s, max(e) AS e, count(*) FILTER (is_read) AS n, min(s) FILTER (is_read) AS first_read FROM c GROUP BY contig, k HAVING count(*) FILTER (is_read) > 0),
+c AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig
+  ORDER BY s, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM w),
+pieces AS (SELECT contig, k, min(s) AS s, max(e) AS e, count(*) FILTER (is_read) AS n, min(s) FILTER (is_read) AS first_read FROM c GROUP BY contig, k
+  HAVING count(*) FILTER (is_read) > 0),
 f AS (SELECT *, CASE WHEN first_read <= lag(e) OVER (PARTITION BY contig ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh FROM pieces),
 b AS (SELECT *, sum(fresh) OVER (PARTITION BY contig ORDER BY s)::BIGINT AS bundle FROM f),
 bd AS (SELECT contig, bundle, min(s) AS s, max(e) AS e, sum(n)::BIGINT AS n_reads FROM b GROUP BY contig, bundle)"""
@@ -245,7 +255,8 @@ def order_checked(s, d):
     return guides.checked_order(x, "line", "contig", "start_")
 
 
-@query(f'WITH {IV}, w AS (SELECT contig, "start" AS s, "end" AS e FROM iv WHERE id % 2 = 1) SELECT id FROM iv WHERE id % 2 = 0 AND EXISTS (SELECT 1 FROM w WHERE w.contig = iv.contig AND iv."start" <= w.e AND w.s <= iv."end")')
+@query(f"""WITH {IV}, w AS (SELECT contig, "start" AS s, "end" AS e FROM iv WHERE id % 2 = 1) SELECT id FROM iv WHERE id % 2 = 0 AND EXISTS (SELECT 1
+  FROM w WHERE w.contig = iv.contig AND iv."start" <= w.e AND w.s <= iv."end")""")
 def reads_in_regions(s, d):
     """Reads that overlap any of many regions, which are united first."""
     x = iv(s, d)
@@ -257,27 +268,37 @@ def reads_in_regions(s, d):
 _MERGE = f"""{DENSE}, chains AS (
   SELECT contig, strand, i, min(s) AS s, max(e) AS e, count(*) AS n, min(tx) AS first_tx FROM di WHERE len(i) > 0 GROUP BY contig, strand, i
 ), held AS (
-  SELECT contig, strand, s, e, list_transform(range(0, len(i) + 1), lambda k: {{'s': CASE WHEN k = 0 THEN s ELSE i[k].e + 1 END, 'e': CASE WHEN k = len(i) THEN e ELSE i[k + 1].s - 1 END}}) AS x, n, first_tx FROM chains
+
+  SELECT contig, strand, s, e, list_transform(range(0, len(i) + 1), lambda k: {{'s': CASE WHEN k = 0 THEN s ELSE i[k].e + 1 END, 'e': CASE WHEN k = len(i) THEN e ELSE i[k + 1].s - 1 END}}) AS x, n, first_tx
+  FROM chains
 ), hx AS (SELECT contig, strand, unnest(x) AS q FROM held),
 one AS (SELECT *, max(e) OVER (PARTITION BY contig, strand ORDER BY s, e, tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM dt WHERE len(x) = 1),
-oc AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand ORDER BY s, e, tx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM one),
+oc AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand
+  ORDER BY s, e, tx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM one),
 ou AS (SELECT contig, strand, min(s) AS s, max(e) AS e, count(*) AS n, min(tx) AS first_tx FROM oc GROUP BY contig, strand, c),
 kept AS (
   SELECT contig, strand, s, e, x, n, first_tx FROM held UNION ALL
-  SELECT contig, strand, s, e, [{{'s': s, 'e': e}}], n, first_tx FROM ou WHERE NOT EXISTS (SELECT 1 FROM hx WHERE hx.contig = ou.contig AND hx.strand = ou.strand AND ou.s >= q.s AND ou.e <= q.e)
+  SELECT contig, strand, s, e, [{{'s': s, 'e': e}}], n, first_tx FROM ou WHERE NOT EXISTS (SELECT 1 FROM hx
+  WHERE hx.contig = ou.contig AND hx.strand = ou.strand AND ou.s >= q.s AND ou.e <= q.e)
 ), kw AS (SELECT *, max(e) OVER (PARTITION BY contig, strand ORDER BY s, e, first_tx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM kept),
-kc AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand ORDER BY s, e, first_tx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM kw),
+kc AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY contig, strand
+  ORDER BY s, e, first_tx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM kw),
 kg AS (SELECT *, dense_rank() OVER (ORDER BY contig, strand, c) AS g, row_number() OVER (PARTITION BY contig, strand, c ORDER BY s, e, x) AS k FROM kc)"""
 
 
-@query(f"""WITH {_MERGE} SELECT 'MSTRG.' || g AS gene_id, 'MSTRG.' || g || '.' || k AS transcript_id, contig, strand, s AS tx_start, e AS tx_end, len(x)::INT AS n_exons, n, first_tx FROM kg""")
+@query(f"""WITH {_MERGE}
+  SELECT 'MSTRG.' || g AS gene_id, 'MSTRG.' || g || '.' || k AS transcript_id, contig, strand, s AS tx_start, e AS tx_end, len(x)::INT AS n_exons, n, first_tx
+  FROM kg""")
 def merge_mode(s, d):
     """Transcripts as one set without repeats: chains with their widest ends, single exons, labelled genes."""
     got = transcripts.merge_isoforms(dense(s, d), "tx", gap=50)
-    return got.select("gene_id", "transcript_id", "contig", "strand", F.element_at("exons", 1)["start"].alias("tx_start"), F.element_at("exons", -1)["end"].alias("tx_end"), F.size("exons").alias("n_exons"), "n", "first_tx")
+    return got.select("gene_id", "transcript_id", "contig", "strand", F.element_at("exons", 1)["start"].alias("tx_start"),
+        F.element_at("exons", -1)["end"].alias("tx_end"), F.size("exons").alias("n_exons"), "n", "first_tx")
 
 
-@query(f"WITH {DENSE}, v AS (SELECT tx, list_sum(list_transform(x, lambda q: q.e - q.s + 1)) AS n, tx % 7 - 1 AS cov, (tx % 5)::DOUBLE AS fpkm, nullif(tx % 4, 3)::DOUBLE AS tpm FROM dt) SELECT tx FROM v WHERE n >= 150 AND (cov < 0 OR cov >= 2) AND fpkm >= 1 AND (tpm IS NULL OR tpm >= 1)")
+@query(f"""WITH {DENSE},
+  v AS (SELECT tx, list_sum(list_transform(x, lambda q: q.e - q.s + 1)) AS n, tx % 7 - 1 AS cov, (tx % 5)::DOUBLE AS fpkm, nullif(tx % 4, 3)::DOUBLE AS tpm
+  FROM dt) SELECT tx FROM v WHERE n >= 150 AND (cov < 0 OR cov >= 2) AND fpkm >= 1 AND (tpm IS NULL OR tpm >= 1)""")
 def tx_passing(s, d):
     """Transcripts that reach a length and least coverage, FPKM and TPM; what is missing passes."""
     c = F.col("tx")
@@ -285,14 +306,17 @@ def tx_passing(s, d):
     return transcripts.passing(tx, 150, 2, 1, 1).select("tx")
 
 
-@query(f"WITH {DENSE}, t AS (SELECT tx, s, e, CASE WHEN tx % 4 = 0 THEN [] ELSE x END AS x FROM dt) SELECT tx, CASE WHEN len(x) = 0 THEN 1 ELSE len(x) END::BIGINT AS n_exons, CASE WHEN len(x) = 0 THEN e - s + 1 ELSE list_sum(list_transform(x, lambda q: q.e - q.s + 1)) END::BIGINT AS covlen FROM t")
+@query(f"""WITH {DENSE}, t AS (SELECT tx, s, e, CASE WHEN tx % 4 = 0 THEN [] ELSE x END AS x FROM dt) SELECT tx,
+  CASE WHEN len(x) = 0 THEN 1 ELSE len(x) END::BIGINT AS n_exons,
+  CASE WHEN len(x) = 0 THEN e - s + 1 ELSE list_sum(list_transform(x, lambda q: q.e - q.s + 1)) END::BIGINT AS covlen FROM t""")
 def implicit_exons(s, d):
     """Transcripts without exons get one over their span."""
     tx = hierarchy.with_exons(dense(s, d).withColumn("exons", F.when(F.col("tx") % 4 != 0, F.col("exons"))))
     return tx.select("tx", F.size("exons").cast("long").alias("n_exons"), exons_len(F.col("exons")).alias("covlen"))
 
 
-@query(f"WITH {DENSE}, t AS (SELECT tx, s, CASE WHEN tx % 3 = 0 THEN s + tx % 20 ELSE e END AS e, len(x) AS n, tx % 2 = 0 AS made FROM dt) SELECT tx FROM t WHERE NOT (made AND e - s < 10 AND n <= 1)")
+@query(f"""WITH {DENSE}, t AS (SELECT tx, s, CASE WHEN tx % 3 = 0 THEN s + tx % 20 ELSE e END AS e, len(x) AS n, tx % 2 = 0 AS made FROM dt) SELECT tx
+  FROM t WHERE NOT (made AND e - s < 10 AND n <= 1)""")
 def stray_records(s, d):
     """Without tiny records that a child exon alone called for."""
     c = F.col("tx")
@@ -300,11 +324,14 @@ def stray_records(s, d):
     return hierarchy.without_stray_records(tx).select("tx")
 
 
-_KINDS = ["exon", "CDS", "five_prime_UTR", "start_codon", "stop_codon", "mRNA", "lnc_RNA", "primary_transcript", "V_gene_segment", "gene", "pseudogene", "intron", "match", "selenocysteine"]
+_KINDS = ["exon", "CDS", "five_prime_UTR", "start_codon", "stop_codon", "mRNA", "lnc_RNA", "primary_transcript", "V_gene_segment", "gene",
+    "pseudogene", "intron", "match", "selenocysteine"]
 
 
-@query(f"""WITH k AS (SELECT l_linenumber % 7 * 2 + l_suppkey % 2 AS n, count(*) AS n_rows FROM lineitem GROUP BY 1), f AS (SELECT {_KINDS!r}[n + 1] AS feature, n_rows FROM k)
-SELECT feature, CASE WHEN lower(feature) LIKE '%utr%' THEN 'utr' WHEN lower(feature) LIKE '%exon' THEN 'exon' WHEN feature = 'stop_codon' THEN 'stop_codon' WHEN feature = 'start_codon' THEN 'start_codon' WHEN feature = 'CDS' THEN 'cds'
+@query(f"""WITH k AS (SELECT l_linenumber % 7 * 2 + l_suppkey % 2 AS n, count(*) AS n_rows FROM lineitem GROUP BY 1),
+  f AS (SELECT {_KINDS!r}[n + 1] AS feature, n_rows FROM k)
+SELECT feature,
+  CASE WHEN lower(feature) LIKE '%utr%' THEN 'utr' WHEN lower(feature) LIKE '%exon' THEN 'exon' WHEN feature = 'stop_codon' THEN 'stop_codon' WHEN feature = 'start_codon' THEN 'start_codon' WHEN feature = 'CDS' THEN 'cds'
   WHEN lower(feature) LIKE '%intron' THEN 'intron' WHEN lower(feature) LIKE '%rna' OR lower(feature) LIKE '%transcript' THEN 'transcript' WHEN lower(feature) LIKE '%\\_gene\\_segment' ESCAPE '\\' THEN 'gene_segment'
   WHEN lower(feature) LIKE '%gene' OR lower(feature) LIKE 'gene%' THEN 'gene' ELSE 'other' END AS kind, n_rows FROM f""")
 def feature_kinds(s, d):
@@ -314,14 +341,17 @@ def feature_kinds(s, d):
     return x.select("feature", hierarchy.feature_kind(F.col("feature")).alias("kind"), "n_rows")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS p, l_orderkey % 10 AS contig, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT AS e FROM lineitem)
-SELECT p AS id, contig, strand, min(s) AS tx_start, max(e) AS tx_end, count(*)::INT AS n_exons FROM c WHERE p NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0) GROUP BY p, contig, strand""")
+@query("""WITH c AS (SELECT l_orderkey AS p, l_orderkey % 10 AS contig,
+  CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, l_partkey * 10 AS s, l_partkey * 10 + l_quantity::BIGINT AS e FROM lineitem)
+SELECT p AS id, contig, strand, min(s) AS tx_start, max(e) AS tx_end, count(*)::INT AS n_exons FROM c WHERE p NOT IN (SELECT o_orderkey FROM orders
+  WHERE o_orderkey % 3 > 0) GROUP BY p, contig, strand""")
 def parts_promoted(s, d):
     """Parts whose parent no record defines become transcripts of their own."""
     x = table(s, d, "lineitem")
     strand = F.when(F.col("l_linenumber") % 2 == 0, "-").otherwise("+")
     start = F.col("l_partkey") * 10
-    parts = x.select(F.col("l_orderkey").alias("parent_id"), (F.col("l_orderkey") % 10).alias("contig"), strand.alias("strand"), start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+    parts = x.select(F.col("l_orderkey").alias("parent_id"), (F.col("l_orderkey") % 10).alias("contig"), strand.alias("strand"), start.alias("start"),
+        (start + F.col("l_quantity").cast("long")).alias("end"))
     parents = table(s, d, "orders").filter("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("id"))
     got = hierarchy.promoted(parts, parents)
     return got.select("id", "contig", "strand", F.col("start").alias("tx_start"), F.col("end").alias("tx_end"), F.size("exons").alias("n_exons"))
@@ -335,7 +365,9 @@ def tx_places(s, d):
     return tx.select(F.col("id").alias("tx"), place.cast("long").alias("place"))
 
 
-@query("""WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS key, CASE WHEN l_linenumber % 2 = 0 THEN 'CDS' ELSE 'exon' END AS kind, l_partkey % 60 * 5 AS s, l_partkey % 60 * 5 + l_quantity::BIGINT % 12 AS e FROM lineitem),
+@query("""WITH RECURSIVE x AS (SELECT DISTINCT l_orderkey AS key,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'CDS' ELSE 'exon' END AS kind, l_partkey % 60 * 5 AS s, l_partkey % 60 * 5 + l_quantity::BIGINT % 12 AS e
+  FROM lineitem),
 o AS (SELECT key, kind, s, e, row_number() OVER (PARTITION BY key ORDER BY s, e, kind) AS k FROM x),
 r AS (
   SELECT key, k, s, e, kind, 1 AS u FROM o WHERE k = 1 UNION ALL
@@ -348,5 +380,25 @@ def parts_joined(s, d):
     """Exon and CDS parts as one where they overlap or touch, but two CDS only where they touch."""
     at = F.col("l_partkey") % 60 * 5
     kind = F.when(F.col("l_linenumber") % 2 == 0, "CDS").otherwise("exon")
-    x = table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), kind.alias("kind"), at.alias("start"), (at + F.col("l_quantity").cast("long") % 12).alias("end")).distinct()
+    x = table(s, d, "lineitem").select(F.col("l_orderkey").alias("key"), kind.alias("kind"), at.alias("start"),
+        (at + F.col("l_quantity").cast("long") % 12).alias("end")).distinct()
     return hierarchy.joined_parts(x).select("key", "kind", F.col("start").alias("part_start"), F.col("end").alias("part_end"))
+
+
+_OWNERS = """, u AS (SELECT contig, s, e, strand, row_number() OVER (ORDER BY contig, s, e, strand) AS id FROM (SELECT DISTINCT contig, s, e, strand FROM {t}))
+SELECT u.id, {t}.tx AS owner FROM {t} JOIN u USING (contig, s, e, strand)"""
+
+
+@query(f"WITH {DENSE}" + _OWNERS.format(t="de"))
+def exon_owners(s, d):
+    """Which transcripts an exon belongs to, exons numbered by place: the bridge table of exons."""
+    x = dense(s, d).select("tx", "contig", "strand", F.explode("exons").alias("q")).select("tx", "contig", "strand", "q.start", "q.end")
+    return transcripts.features(x, "tx").select("id", F.explode("owners").alias("owner"))
+
+
+@query(f"WITH {DENSE}, it AS (SELECT tx, contig, strand, q.s AS s, q.e AS e FROM (SELECT *, unnest(i) AS q FROM di))" + _OWNERS.format(t="it"))
+def intron_owners(s, d):
+    """Which transcripts an intron belongs to: the bridge table of introns."""
+    tx = dense(s, d)
+    x = tx.select("tx", "contig", "strand", F.explode(transcripts.introns(F.col("exons"))).alias("q")).select("tx", "contig", "strand", "q.start", "q.end")
+    return transcripts.features(x, "tx").select("id", F.explode("owners").alias("owner"))

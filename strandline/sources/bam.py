@@ -25,7 +25,8 @@ _NUMBERS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I", "f": "f"
 _TWO = [a + b for a in _BASES for b in _BASES]
 _HEAD = struct.Struct("<iiBBHHHiiii")
 _KIND = pa.schema(
-    [("qname", pa.string()), ("flag", pa.int32()), ("contig", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("rnext", pa.string()), ("pnext", pa.int64()), ("tlen", pa.int64())]
+    [("qname", pa.string()), ("flag", pa.int32()), ("contig", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar",
+        pa.string()), ("rnext", pa.string()), ("pnext", pa.int64()), ("tlen", pa.int64())]
     + [("seq", pa.string()), ("qual", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))]
 )
 _OUT = "qname string, flag int, contig string, start long, mapq int, cigar string, rnext string, pnext long, tlen long, seq string, qual string, tags map<string,string>"
@@ -178,7 +179,8 @@ def _packed(r: dict, refs: dict[str, int]) -> bytes:
     if len(ops) > 0xFFFF:  # more than the record's own field holds
         tags += b"CGBI" + struct.pack(f"<I{len(ops)}I", len(ops), *(n << 4 | o for n, o in ops))
         ops = [(len(seq), 4), (span, 3)]
-    body = _HEAD.pack(ref, first, len(name), r["mapq"] or 0, _bin(max(first, 0), max(first, 0) + max(span, 1) - 1), len(ops), r["flag"] or 0, len(seq), mate, (r["pnext"] or 0) - 1, r["tlen"] or 0) + name
+    body = _HEAD.pack(ref, first, len(name), r["mapq"] or 0, _bin(max(first, 0), max(first, 0) + max(span,
+        1) - 1), len(ops), r["flag"] or 0, len(seq), mate, (r["pnext"] or 0) - 1, r["tlen"] or 0) + name
     body += struct.pack(f"<{len(ops)}I", *(n << 4 | o for n, o in ops)) + bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True)) + qual + tags
     return struct.pack("<i", len(body)) + body
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 16
 #: First bytes of packed files, and of formats when unpacked.
 _PACKED = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\0", "xz"))
-_KINDS = ((b"BAM\1", "bam"), (b"CRAM", "cram"), (b"BCF\2", "bcf"), (b"BAI\1", "bai"), (b"TBI\1", "tbi"), (b"CSI\1", "csi"), (b"##fileformat=VCF", "vcf"), (b"##gff-version", "gff3"))
+_KINDS = ((b"BAM\1", "bam"), (b"CRAM", "cram"), (b"BCF\2", "bcf"), (b"BAI\1", "bai"), (b"TBI\1", "tbi"), (b"CSI\1", "csi"),
+    (b"##fileformat=VCF", "vcf"), (b"##gff-version", "gff3"))
 _HEADS = (b"@HD\t", b"@SQ\t", b"@RG\t", b"@PG\t", b"@CO\t")
 
 

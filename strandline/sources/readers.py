@@ -34,23 +34,28 @@ def sam(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse_sam(lines: DataFrame) -> DataFrame:
     """Lines (value) as alignments with exon blocks, end, strand and number of hits."""
     p = F.split("value", "\t")
-    names = (("qname", "string"), ("flag", "int"), ("contig", "string"), ("start", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext", "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string"))
-    rows = _sound(lines, "@").select(*(F.element_at(p, k + 1).cast(t).alias(n) for k, (n, t) in enumerate(names)), *(_tag(p, t).alias(t.lower()) for t in ("NH", "HI", "NM", "XS", "ts")))
+    names = (("qname", "string"), ("flag", "int"), ("contig", "string"), ("start", "long"), ("mapq", "int"), ("cigar", "string"), ("rnext",
+        "string"), ("pnext", "long"), ("tlen", "long"), ("seq", "string"), ("qual", "string"))
+    rows = _sound(lines, "@").select(*(F.element_at(p, k + 1).cast(t).alias(n) for k, (n, t) in enumerate(names)),
+        *(_tag(p, t).alias(t.lower()) for t in ("NH", "HI", "NM", "XS", "ts")))
     return with_blocks(rows)
 
 
 def with_blocks(rows: DataFrame) -> DataFrame:
     """Alignments with their number of hits, end, exon blocks and strand."""
     start, cigar = F.col("start"), F.col("cigar")
-    return rows.withColumns({"nh": hits(F.col("nh").cast("int")), "end": end_pos(start, cigar), "exons": exons(start, cigar), "strand": splice_strand(F.col("xs"), F.col("ts"), F.col("flag"))})
+    return rows.withColumns({"nh": hits(F.col("nh").cast("int")), "end": end_pos(start, cigar), "exons": exons(start, cigar),
+        "strand": splice_strand(F.col("xs"), F.col("ts"), F.col("flag"))})
 
 
 def header_sequences(lines: DataFrame) -> DataFrame:
     """contig, length and the other fields of each ``@SQ`` line of alignment headers."""
     p = F.split("value", "\t")
-    pairs = F.transform(F.filter(p, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:")), lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.substring(x, 4, 1 << 20).alias("value")))
+    pairs = F.transform(F.filter(p, lambda x: x.rlike("^[A-Za-z][A-Za-z0-9]:")),
+        lambda x: F.struct(F.substring(x, 1, 2).alias("key"), F.substring(x, 4, 1 << 20).alias("value")))
     tags = lines.filter(F.col("value").startswith("@SQ\t")).select(F.map_from_entries(_first_of_each(pairs)).alias("tags"))
-    return tags.select(F.try_element_at("tags", F.lit("SN")).alias("contig"), F.try_element_at("tags", F.lit("LN")).try_cast("long").alias("length"), F.map_filter("tags", lambda k, v: ~k.isin("SN", "LN")).alias("tags"))
+    return tags.select(F.try_element_at("tags", F.lit("SN")).alias("contig"), F.try_element_at("tags",
+        F.lit("LN")).try_cast("long").alias("length"), F.map_filter("tags", lambda k, v: ~k.isin("SN", "LN")).alias("tags"))
 
 
 def super_reads(alignments: DataFrame) -> DataFrame:
@@ -79,7 +84,8 @@ def sample_paths(spark: SparkSession, path: str, pattern: str = ".") -> list[tup
             raise ValueError(f"a line should have a sample and a path: {' '.join(bad[0])}")
     else:
         folders = [s.getPath() for s in fs.listStatus(fs_path) if s.isDirectory()] if fs.exists(fs_path) else []
-        out = [(d.getName(), f.getPath().toString()) for d in folders if re.search(pattern, d.getName()) for f in fs.listStatus(d) if f.getPath().getName().endswith(".gtf")]
+        out = [(d.getName(), f.getPath().toString()) for d in folders if re.search(pattern,
+            d.getName()) for f in fs.listStatus(d) if f.getPath().getName().endswith(".gtf")]
     if len({x[0] for x in out}) < len(out):
         raise ValueError("a sample is named twice")
     if not out:
@@ -95,15 +101,19 @@ def parse_gff(lines: DataFrame) -> DataFrame:
     """GTF or GFF3 rows; a line tells its own dialect by its attributes."""
     p = F.split("value", "\t")
     text = F.element_at(p, 9)
-    three = F.transform(F.regexp_extract_all(text, F.lit(r"([^=;\s]+)=([^;]*)"), 0), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value")))
-    two = F.transform(F.regexp_extract_all(text, F.lit(r'(\w+)\s+("[^"]*"|[^";\s]+)'), 0), lambda x: F.struct(F.regexp_extract(x, r"^\w+", 0).alias("key"), F.trim(F.regexp_replace(x, r"^\w+\s+", ""), F.lit('"')).alias("value")))
+    three = F.transform(F.regexp_extract_all(text, F.lit(r"([^=;\s]+)=([^;]*)"), 0),
+        lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value")))
+    two = F.transform(F.regexp_extract_all(text, F.lit(r'(\w+)\s+("[^"]*"|[^";\s]+)'), 0),
+        lambda x: F.struct(F.regexp_extract(x, r"^\w+", 0).alias("key"), F.trim(F.regexp_replace(x, r"^\w+\s+", ""), F.lit('"')).alias("value")))
     attrs = F.map_from_entries(_first_of_each(F.when(text.rlike(r'^\s*[^=;\s"]+='), three).otherwise(two)))
     rows = _sound(lines, "#").select(
-        F.element_at(p, 1).alias("contig"), _field(p, 1).alias("source"), F.element_at(p, 3).alias("feature"), F.element_at(p, 4).cast("long").alias("start"), F.element_at(p, 5).cast("long").alias("end"),
+        F.element_at(p, 1).alias("contig"), _field(p, 1).alias("source"), F.element_at(p, 3).alias("feature"),
+            F.element_at(p, 4).cast("long").alias("start"), F.element_at(p, 5).cast("long").alias("end"),
         _field(p, 5, "double").alias("score"), F.element_at(p, 7).alias("strand"), _field(p, 7).alias("phase"), attrs.alias("attrs"),
     )
     get = lambda k: F.try_element_at("attrs", F.lit(k))
-    return rows.withColumns({"transcript_id": F.coalesce(get("transcript_id"), F.when(F.col("feature").isin("exon", "CDS"), get("Parent")).otherwise(get("ID"))), "gene_id": F.coalesce(get("gene_id"), get("geneID"))})
+    return rows.withColumns({"transcript_id": F.coalesce(get("transcript_id"), F.when(F.col("feature").isin("exon", "CDS"),
+        get("Parent")).otherwise(get("ID"))), "gene_id": F.coalesce(get("gene_id"), get("geneID"))})
 
 
 def _first_of_each(entries: Column) -> Column:
@@ -123,9 +133,13 @@ def parse_bed(lines: DataFrame) -> DataFrame:
     numbers = lambda k: F.transform(F.filter(F.split(F.try_element_at(p, F.lit(k)), ","), lambda x: x != ""), lambda x: x.cast("long"))
     blocks = F.zip_with(numbers(12), numbers(11), lambda at, n: F.struct((start + at + 1).alias("start"), (start + at + n).alias("end")))
     whole = F.array(F.struct((start + 1).alias("start"), F.element_at(p, 3).cast("long").alias("end")))
-    pairs = F.transform(F.filter(F.split(F.coalesce(F.try_element_at(p, F.lit(13)), F.lit("")), ";"), lambda x: F.instr(x, "=") > 0), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value")))
+    pairs = F.transform(F.filter(F.split(F.coalesce(F.try_element_at(p, F.lit(13)), F.lit("")), ";"),
+        lambda x: F.instr(x, "=") > 0), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"),
+        F.substring(x, F.instr(x, "=") + 1, F.length(x)).alias("value")))
     attrs = F.map_from_entries(_first_of_each(pairs))
-    return rows.select(F.element_at(p, 1).alias("contig"), (start + 1).alias("start"), F.element_at(p, 3).cast("long").alias("end"), _field(p, 3).alias("name"), _field(p, 4, "double").alias("score"), F.coalesce(F.try_element_at(p, F.lit(6)), F.lit(".")).alias("strand"), F.coalesce(blocks, whole).alias("exons"), attrs.alias("attrs"))
+    return rows.select(F.element_at(p, 1).alias("contig"), (start + 1).alias("start"), F.element_at(p, 3).cast("long").alias("end"),
+        _field(p, 3).alias("name"), _field(p, 4, "double").alias("score"), F.coalesce(F.try_element_at(p, F.lit(6)), F.lit(".")).alias("strand"),
+        F.coalesce(blocks, whole).alias("exons"), attrs.alias("attrs"))
 
 
 def fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -138,7 +152,8 @@ def parse_fasta(rows: DataFrame) -> DataFrame:
     text = F.regexp_replace("value", r"^>", "")
     header = F.substring_index(text, "\n", 1)
     body = F.when(F.instr(text, "\n") > 0, F.substring(text, F.instr(text, "\n") + 1, F.length(text))).otherwise("")
-    return rows.filter("value <> ''").select(F.regexp_extract(header, r"^\S*", 0).alias("name"), F.rtrim(header).alias("header"), F.regexp_replace(body, r"[\s>]+", "").alias("seq"))
+    return rows.filter("value <> ''").select(F.regexp_extract(header, r"^\S*",
+        0).alias("name"), F.rtrim(header).alias("header"), F.regexp_replace(body, r"[\s>]+", "").alias("seq"))
 
 
 def vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -148,10 +163,14 @@ def vcf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse_vcf(lines: DataFrame) -> DataFrame:
     """Variant lines: alternatives, filters and samples as arrays, INFO as a map."""
     p = F.split("value", "\t")
-    info = F.map_from_entries(_first_of_each(F.transform(F.filter(F.split(F.element_at(p, 8), ";"), lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("value")))))
+    info = F.map_from_entries(_first_of_each(F.transform(F.filter(F.split(F.element_at(p, 8), ";"),
+        lambda x: (x != "") & (x != ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"),
+        F.when(F.instr(x, "=") > 0, F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("value")))))
     return _sound(lines, "#").select(
-        F.element_at(p, 1).alias("chrom"), F.element_at(p, 2).cast("long").alias("pos"), _field(p, 2).alias("id"), F.element_at(p, 4).alias("ref"), F.filter(F.split(F.element_at(p, 5), ","), lambda x: x != ".").alias("alts"),
-        _field(p, 5, "double").alias("qual"), F.split(_field(p, 6), ";").alias("filters"), info.alias("info"), F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("samples"),
+        F.element_at(p, 1).alias("chrom"), F.element_at(p, 2).cast("long").alias("pos"), _field(p, 2).alias("id"), F.element_at(p,
+            4).alias("ref"), F.filter(F.split(F.element_at(p, 5), ","), lambda x: x != ".").alias("alts"),
+        _field(p, 5, "double").alias("qual"), F.split(_field(p, 6), ";").alias("filters"), info.alias("info"),
+            F.slice(p, 10, F.greatest(F.size(p) - 9, F.lit(0))).alias("samples"),
     )
 
 
@@ -164,7 +183,8 @@ def parse_points(lines: DataFrame) -> DataFrame:
     p = F.split("value", "\\s+")
     sound = (F.size(p) >= 4) & F.element_at(p, 4).isin("TSS", "CPAS", "JSTART", "JEND") & F.element_at(p, 2).rlike(r"^\d+$") & F.element_at(p, 3).isin("+", "-", ".")
     checked = F.when(sound, F.element_at(p, 1)).otherwise(F.raise_error(F.concat(F.lit("bad point feature: "), F.col("value"))).cast("string"))
-    return _sound(lines, "#").select(checked.alias("contig"), F.element_at(p, 2).try_cast("long").alias("coord"), F.element_at(p, 3).alias("strand"), F.element_at(p, 4).alias("type"))
+    return _sound(lines, "#").select(checked.alias("contig"), F.element_at(p, 2).try_cast("long").alias("coord"), F.element_at(p,
+        3).alias("strand"), F.element_at(p, 4).alias("type"))
 
 
 def merged_inputs(*frames: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
@@ -188,14 +208,17 @@ def parse_tlf(lines: DataFrame) -> DataFrame:
     coding span in ``CDS=5:25``; lines without exons are left out."""
     rows = parse_gff(lines).withColumn("list_", F.try_element_at("attrs", F.lit("exons"))).filter("list_ is not null")
     cds = F.split(F.try_element_at("attrs", F.lit("CDS")), "[:,-]")
-    spans = F.transform(F.split("list_", ","), lambda x: F.struct(F.substring_index(x, "-", 1).cast("long").alias("start"), F.substring_index(x, "-", -1).cast("long").alias("end")))
-    return rows.withColumns({"exons": F.array_sort(spans), "cds_start": F.try_element_at(cds, F.lit(1)).try_cast("long"), "cds_end": F.try_element_at(cds, F.lit(-1)).try_cast("long")}).drop("list_")
+    spans = F.transform(F.split("list_", ","), lambda x: F.struct(F.substring_index(x, "-", 1).cast("long").alias("start"),
+        F.substring_index(x, "-", -1).cast("long").alias("end")))
+    return rows.withColumns({"exons": F.array_sort(spans), "cds_start": F.try_element_at(cds, F.lit(1)).try_cast("long"),
+        "cds_end": F.try_element_at(cds, F.lit(-1)).try_cast("long")}).drop("list_")
 
 
 def _fastq_ranges(spark: SparkSession, paths: list[str], span: int) -> DataFrame:
     files = spark.read.format("binaryFile").load(paths).select("path", "length")
     packed_ = F.col("path").rlike(r"\.(gz|bz2)$")
-    cuts = F.when(packed_, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(span).cast("long")))
+    cuts = F.when(packed_, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1,
+        F.lit(0)), F.lit(span).cast("long")))
     ranges = files.select("path", F.explode(cuts).alias("at"), F.when(packed_, F.lit(1 << 62)).otherwise(F.lit(span)).cast("long").alias("span"))
     return ranges.repartition(max(1, spark.sparkContext.defaultParallelism), "path", "at")
 
