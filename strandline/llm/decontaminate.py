@@ -119,7 +119,8 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], size: int, first: boo
                 cols = zip(*(_digest(*f) for f in found), strict=True)
                 return pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
             runs = pa.array([[{"first": a, "last": b} for a, b in r] for _, r, _ in found], runs_kind)
-            return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], runs, pa.array([i for _, _, i in found], pa.list_(pa.string()))], ["doc_id", "text", "runs", "ids"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], runs,
+                pa.array([i for _, _, i in found], pa.list_(pa.string()))], ["doc_id", "text", "runs", "ids"])
 
         return work
 

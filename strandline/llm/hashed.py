@@ -41,7 +41,8 @@ def matrix(texts: list[bytes], blocks, bits: int, rows: int = 50) -> np.ndarray:
     out = []
     for k in range(0, len(texts), rows):
         part = texts[k : k + rows]
-        sides = [np.bincount((owner.astype(np.int64) << bits) + bucket, minlength=len(part) << bits).reshape(len(part), 1 << bits).astype(np.float32) for bucket, owner in blocks(part)]
+        sides = [np.bincount((owner.astype(np.int64) << bits) + bucket, minlength=len(part) << bits).reshape(len(part),
+            1 << bits).astype(np.float32) for bucket, owner in blocks(part)]
         out.append(np.column_stack([x / np.maximum(x.sum(1, keepdims=True), 1) for x in sides]))
     return np.concatenate(out)
 

@@ -244,7 +244,8 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                 matches.append([dict(zip(("license", "first", "last", "containment"), g, strict=True)) for g in got])
             kind = pa.list_(pa.struct([("license", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("containment", pa.float64())]))
             counts = pa.array([len(m) for m in matches], pa.int64())
-            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.list_(pa.string())), counts, pa.array(matches, kind)], ["doc_id", "licenses", "n_matches", "matches"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(names, pa.list_(pa.string())), counts, pa.array(matches, kind)],
+                ["doc_id", "licenses", "n_matches", "matches"])
 
         return work
 

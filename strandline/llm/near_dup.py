@@ -87,7 +87,8 @@ def _balls(distance: int, segments: tuple[tuple[int, int], ...]) -> list[tuple[i
     """(segment, shift, mask) of each key: a segment's value xor each mask of its ball."""
     spare = max(0, distance - len(segments) + 1)
     radii = [spare // len(segments) + (k < spare % len(segments)) for k in range(len(segments))]
-    return [(k, at, sum(1 << b for b in bits)) for k, ((at, width), r) in enumerate(zip(segments, radii, strict=True)) for n in range(r + 1) for bits in combinations(range(width), n)]
+    return [(k, at, sum(1 << b for b in bits)) for k, ((at, width), r) in enumerate(zip(segments, radii,
+        strict=True)) for n in range(r + 1) for bits in combinations(range(width), n)]
 
 
 def _search(fps: np.ndarray, ids: np.ndarray, distance: int) -> tuple[list[tuple[int, int]], np.ndarray]:

@@ -220,7 +220,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, seq_len: int = SEQ_LEN,
     base = counts.select(F.col("part").alias("p"), F.col("length").alias("l"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     base = materialize(base, "base")
     # merged, not broadcast: the base table grows with the number of tasks
-    ranked = rows.join(base.hint("merge"), (rows.part == base.p) & (rows.length == base.l)).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("base") + F.col("nth")).alias("rank"))
+    ranked = rows.join(base.hint("merge"), (rows.part == base.p) & (rows.length == base.l)).select("doc_id", "piece", "start", "length", "ids_crc32",
+        (F.col("base") + F.col("nth")).alias("rank"))
 
     def make():
         def work(batch):

@@ -101,7 +101,8 @@ def quality_rules(docs: DataFrame, coverage: dict[int, float] | None = None, lin
         for size, most in limits.items():
             kept &= m[f"coverage_{size}"] <= most
         shares = np.column_stack([m[f"coverage_{s}"] for s in lengths])
-        cols = [*(pa.array(m[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept), pa.array(m["line_share"]), pa.array(list(shares), pa.list_(pa.float64()))]
+        cols = [*(pa.array(m[k]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), pa.array(failed), pa.array(kept),
+            pa.array(m["line_share"]), pa.array(list(shares), pa.list_(pa.float64()))]
         return pa.RecordBatch.from_arrays([batch["doc_id"], *cols], [x.split()[0] for x in _OUT.split(", ")])
 
     return arrow_map(judged(docs, rows), lambda: work, _OUT)

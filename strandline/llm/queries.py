@@ -86,7 +86,8 @@ def op10_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_pack, op4_toxicity, op5_license_scan, op6_near_dup, op7_quality_rules, op8_token_rollup, op9_language_id, op10_quality_model)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_pack, op4_toxicity, op5_license_scan, op6_near_dup, op7_quality_rules,
+    op8_token_rollup, op9_language_id, op10_quality_model)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 

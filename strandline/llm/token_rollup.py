@@ -45,11 +45,13 @@ def count_tokens(docs: DataFrame, tokenizers: dict[str, str] | None = None) -> D
             n = len(counters)
             index = pa.array([i for i in range(len(texts)) for _ in range(n)], pa.int64())
             counts = [c(t) if t else 0 for t in texts for c in counters.values()]
-            return pa.RecordBatch.from_arrays([*(batch[k].take(index) for k in ("doc_id", "source", "lang")), pa.array([*counters] * len(texts), pa.string()), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
+            return pa.RecordBatch.from_arrays([*(batch[k].take(index) for k in ("doc_id", "source", "lang")),
+                pa.array([*counters] * len(texts), pa.string()), pa.array(counts, pa.int64())], ["doc_id", "source", "lang", "tokenizer", "n_tokens"])
 
         return work
 
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source", "lang"), make, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source",
+        "lang"), make, "doc_id long, source string, lang string, tokenizer string, n_tokens long")
 
 
 def inserts(counts: DataFrame) -> DataFrame:

@@ -41,7 +41,8 @@ COUNTERS, HELD = 1 << 20, 1 << 16
 #: Least precision of a word, and of a word's beginning, which many clean words may share.
 PRECISION, BEGINNING = 0.74, 0.97
 #: What letters a sign may stand for.
-LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
+LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t",
+    "€": "e", "(": "c", "*": "aeiou", "#": "aeiou", "%": "aeiou"}
 _EDGE = ".,;:?\"'`~()[]{}<>…“”„«»¿¡"
 _SEPARATORS = frozenset(".-_*~'`,·/\\")
 _ODD = re.compile(r"[0-9@$!|+€(*#%]|[^\W\d_][._\-~'`,·/\\]+[^\W\d_]|([^\W\d_])\1\1")
@@ -166,7 +167,8 @@ def char_model(docs: DataFrame, counters: int = COUNTERS) -> CharModel:
 
     grams = docs.select("text").filter("text is not null").mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     g = F.col("gram")
-    keys = F.explode(F.array(g, F.substring(g, 2, 2), F.substring(g, 3, 1), F.concat(F.lit("<"), F.substring(g, 1, 2)), F.concat(F.lit("<"), F.substring(g, 2, 1)), F.lit("")))
+    keys = F.explode(F.array(g, F.substring(g, 2, 2), F.substring(g, 3, 1), F.concat(F.lit("<"), F.substring(g, 1, 2)),
+        F.concat(F.lit("<"), F.substring(g, 2, 1)), F.lit("")))
     at = F.crc32(F.col("key").cast("binary")).bitwiseAND(F.lit(counters - 1))
     rows = grams.select(keys.alias("key"), "n").groupBy(at.alias("at")).agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(counters, np.float32)
@@ -309,7 +311,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, predict:
 
         def work(batch):
             values = [score(t, model, lexicon, memo) if model else 0.0 for t in batch["text"].to_pylist()]
-            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.float64()), pa.array([int(v >= predict) for v in values], pa.int32())], ["doc_id", "score", "predicted"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(values, pa.float64()),
+                pa.array([int(v >= predict) for v in values], pa.int32())], ["doc_id", "score", "predicted"])
 
         return work
 

@@ -86,9 +86,11 @@ def links_of(pages: DataFrame) -> DataFrame:
     Tags in comments are none; relative targets follow the page's url, or its html's base."""
     html = F.regexp_replace("html", "(?s)<!--.*?-->", "")
     tags = pages.filter(key_of(F.col("url")).isNotNull() & F.col("html").rlike(f"{_LINK}|{_REFRESH}")).select(F.col("url").alias("a"), html.alias("html"))
-    of = lambda tag, name: F.transform(F.regexp_extract_all("html", F.lit(tag), 0), lambda t: F.regexp_extract(t, rf"""(?i)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1))
+    of = lambda tag, name: F.transform(F.regexp_extract_all("html", F.lit(tag), 0),
+        lambda t: F.regexp_extract(t, rf"""(?i)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1))
     base = F.regexp_extract("html", r"""(?i)<base\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    found = tags.select("a", F.when(base == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), base), "a")).alias("base"), F.explode(F.concat(of(_LINK, "href"), of(_REFRESH, "url"))).alias("to"))
+    found = tags.select("a", F.when(base == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), base),
+        "a")).alias("base"), F.explode(F.concat(of(_LINK, "href"), of(_REFRESH, "url"))).alias("to"))
     return found.filter("to <> ''").select("a", resolved(F.col("base"), F.col("to")).alias("b")).filter("b is not null")
 
 
@@ -109,7 +111,8 @@ def filter_urls(pages: DataFrame, rules=RULES, edges: DataFrame | None = None) -
     ends = ends.select(key_of(url).alias("key"), judge(host, path, rules)[1].alias("own"), F.lit(False).alias("page"))
     judged = rows.filter("key is not null").select("key", "own", F.lit(True).alias("page")).unionByName(ends)
     keys = judged.groupBy("key").agg(
-        F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"), F.max((F.col("own").isNull() & F.col("page")).cast("int")).alias("open")
+        F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"),
+            F.max((F.col("own").isNull() & F.col("page")).cast("int")).alias("open")
     )
     # Keys without links are classes of their own; only classes that block and still have open members matter below.
     keys = keys.join(classes, keys.key == classes.node, "left").select("key", F.coalesce("component", "key").alias("top"), "block", "allow", "open")
