@@ -15,21 +15,46 @@ BIN = 1 << 13
 BLOCK = 1 << 16
 
 
-def _binned(df: DataFrame, prefix: str, bin_size: int, keep: list[str]) -> DataFrame:
-    first = F.floor(F.col("start") / bin_size)
-    renamed = [F.col(c).alias(prefix + c) for c in keep]
-    return df.select(*renamed, first.alias(f"{prefix}first"), F.explode(F.sequence(first, F.floor(F.col("end") / bin_size))).alias(f"{prefix}bin"))
+#: Bins that an interval touches at most at its own size, where several are given.
+MOST_BINS = 64
 
 
-def overlap_join(a: DataFrame, b: DataFrame, bin_size: int = BIN, slack: int = 0) -> DataFrame:
-    """Pairs that overlap, columns as a_* and b_*; null or reversed intervals match nothing."""
+def _binned(df: DataFrame, prefix: str, sizes: tuple[int, ...], keep: list[str]) -> DataFrame:
+    """A row for each bin: of the least size of which an interval touches few, and of the greater ones."""
+    start, end = F.col("start"), F.col("end")
+    renamed = [F.col(c).alias(prefix + c) for c in keep]
+    if len(sizes) == 1:
+        first = F.floor(start / sizes[0])
+        return df.select(*renamed, first.alias(f"{prefix}first_"), F.explode(F.sequence(first, F.floor(end / sizes[0]))).alias(f"{prefix}bin_"))
+    own = F.lit(len(sizes) - 1)
+    for k in range(len(sizes) - 2, -1, -1):
+        own = F.when(end - start <= MOST_BINS * sizes[k], k).otherwise(own)
+    row = lambda k: F.transform(
+        F.sequence(F.floor(start / sizes[k]), F.floor(end / sizes[k])),
+        lambda n: F.struct(F.lit(k).alias("size"), n.alias("bin"), F.floor(start / sizes[k]).alias("first"), (own == k).alias("own")),
+    )
+    bins = F.flatten(F.array(*(F.when(own <= k, row(k)).otherwise(F.slice(row(len(sizes) - 1), 1, 0)) for k in range(len(sizes)))))
+    out = df.select(*renamed, F.explode(bins).alias("b_"))
+    return out.select("*", *(F.col(f"b_.{c}").alias(f"{prefix}{c}_") for c in ("size", "bin", "first", "own"))).drop("b_")
+
+
+def overlap_join(a: DataFrame, b: DataFrame, bin_size: int = BIN, slack: int = 0, sizes: tuple[int, ...] | None = None) -> DataFrame:
+    """Pairs that overlap, columns as a_* and b_*; null or reversed intervals match nothing.
+
+    ``sizes``: several bin sizes, rising, for inputs with intervals as long as a contig. Such a one then touches
+    few bins of a greater size and meets short ones there, for a row more of each interval and size.
+    """
     sound = "start is not null and end is not null and start <= end"
+    sizes = sizes or (bin_size,)
     if slack:
         b = b.withColumns({"start": F.col("start") - slack, "end": F.col("end") + slack})
-    x = _binned(a.filter(sound), "a_", bin_size, a.columns)
-    y = _binned(b.filter(sound), "b_", bin_size, b.columns)
-    pairs = x.join(y, (x.a_contig == y.b_contig) & (x.a_bin == y.b_bin) & (x.a_start <= y.b_end) & (y.b_start <= x.a_end))
-    pairs = pairs.filter(F.col("a_bin") == F.greatest("a_first", "b_first")).drop("a_bin", "b_bin", "a_first", "b_first")
+    x = _binned(a.filter(sound), "a_", sizes, a.columns)
+    y = _binned(b.filter(sound), "b_", sizes, b.columns)
+    meet = (x.a_contig == y.b_contig) & (x.a_bin_ == y.b_bin_)
+    if len(sizes) > 1:  # at the greater of two own sizes one of the rows is of its own size, beyond it none is
+        meet = meet & (x.a_size_ == y.b_size_) & (x.a_own_ | y.b_own_)
+    pairs = x.join(y, meet & (x.a_start <= y.b_end) & (y.b_start <= x.a_end))
+    pairs = pairs.filter(F.col("a_bin_") == F.greatest("a_first_", "b_first_")).drop(*(f"{p}_{c}_" for p in "ab" for c in ("size", "bin", "first", "own")))
     return pairs.withColumns({"b_start": F.col("b_start") + slack, "b_end": F.col("b_end") - slack}) if slack else pairs
 
 

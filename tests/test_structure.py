@@ -36,6 +36,17 @@ def test_clusters_in_blocks_equal_one_window(spark):
         assert one == many
 
 
+def test_overlaps_of_several_bin_sizes(spark):
+    rng = random.Random(6)
+    some = lambda: [(i, "ab"[rng.randrange(2)], s, s + rng.choice((0, 5, 300, 40000, 900000))) for i, s in enumerate(rng.randrange(1000000) for _ in range(120))]
+    rows, others = some(), [*some(), (900, "a", None, 5), (901, "a", 9, 3), (902, None, 1, 9)]
+    a, b = (spark.createDataFrame(r, f"id long, {SPAN}") for r in (rows, others))
+    sound = [(i, c, s, e) for i, c, s, e in others if c and s is not None and s <= e]
+    want = sorted((i, j) for i, c, s, e in rows for j, d, t, f in sound if c == d and s <= f and t <= e)
+    for sizes in ((64, 512, 1 << 13), (1 << 10, 1 << 16), None):
+        assert sorted((r["a_id"], r["b_id"]) for r in intervals.overlap_join(a, b, sizes=sizes).collect()) == want
+
+
 def test_order_is_checked(spark):
     rows = [(1, "a", 5), (2, "a", 5), (3, "b", 1), (4, "b", 9)]
     make = lambda rows: guides.checked_order(spark.createDataFrame(rows, "line long, contig string, start long"), "line")
