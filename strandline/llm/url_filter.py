@@ -8,7 +8,9 @@ do not tell pages apart) joined by the canonical and refresh links found in the
 a link are aliases, whether or not they are pages themselves.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule,
-has no aliases and is allowed. Repeated rows each get their row. Extra columns are not read.
+has no aliases and is allowed. Of rules of one length that fit, the first by its text counts. A null
+html has no links; a very long one is searched whole. An empty table gives no rows; repeated rows each
+get their row; a null page_id is a row like any other. Extra columns are not read.
 Everything runs in DataFrame functions; nothing is broadcast but a rule list of bounded length.
 """
 
