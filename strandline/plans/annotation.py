@@ -32,8 +32,9 @@ def annotate_limit(s, d):
   WHERE ovlen + 5 >= best""")
 def overlap_ranked(s, d):
     """Best overlaps where a preference comes before the length."""
-    pairs = intervals.overlap_join(reads(s, d), guides(s, d)).withColumn("same", (F.col("a_strand") == F.col("b_strand")).cast("int"))
-    return intervals.best_overlaps(pairs, "a_id", prefer=("same",)).select("a_id", "b_id", "same", "ovlen")
+    g, same = guides(s, d), (F.col("a_strand") == F.col("b_strand")).cast("int")
+    pairs = lambda r: intervals.with_ovlen(intervals.overlap_join(r, g)).withColumn("same", same)
+    return intervals.best_pairs(reads(s, d), "id", pairs, prefer=("same",)).select("a_id", "b_id", "same", "ovlen")
 
 
 @query(f"""WITH {IV}, e AS (SELECT contig, "start" // 1000000 AS l, "end" // 1000000 AS r, strand, nh, "end" - "start" AS ov FROM iv)
