@@ -180,9 +180,13 @@ top AS (SELECT *, max(b_real * 2 + mate_ovl) OVER (PARTITION BY a_id) AS best_ki
 best AS (SELECT * FROM (SELECT *, max(ovlen) OVER (PARTITION BY a_id) AS best FROM top WHERE b_real * 2 + mate_ovl = best_kind) WHERE ovlen + 5 >= best)"""
 
 
-def _exons(s, d):
+def _mated(s, d):
     r = read_rows(s, d).withColumn("mate", F.when(F.col("id") % 6 == 0, F.col("start") + F.col("id") % 7 * 40))
-    return guides.exon_overlaps(r, guide_rows(s, d).withColumn("real", (F.col("id") % 4 == 1).cast("int")))
+    return r, guide_rows(s, d).withColumn("real", (F.col("id") % 4 == 1).cast("int"))
+
+
+def _exons(s, d):
+    return guides.exon_overlaps(*_mated(s, d))
 
 
 @query(f"WITH {_RG} SELECT a_id, b_id, ovlen, mate_ovl FROM ex")
@@ -201,7 +205,8 @@ def exon_guide_best(s, d):
   HAVING min(b_strand) = max(b_strand)""")
 def guide_strand(s, d):
     """The strand that all best guide exons of a read without one agree on."""
-    return guides.guide_strand(guides.best_exons(_exons(s, d), "a_id"), "a_id").withColumnRenamed("a_id", "id")
+    r, g = _mated(s, d)
+    return guides.guide_strand(guides.best_of_reads(r.filter("strand = '.'"), g, "id"), "a_id").withColumnRenamed("a_id", "id")
 
 
 @query(f"""WITH {_RG}, m AS (SELECT a_id, max(ovlen) AS best FROM ex GROUP BY a_id) SELECT id, coalesce(best, 0) >= "end" - "start" + 1 AS in_guide
