@@ -23,8 +23,8 @@ def overlap_reciprocal(s, d):
   SELECT b_id AS id, string_agg(a_id::VARCHAR, ',' ORDER BY k) AS hits FROM q WHERE k <= 3 GROUP BY b_id""")
 def annotate_limit(s, d):
     """The first three annotations of each guide: the limit is an option of the operator."""
-    pairs = intervals.overlap_join(guides(s, d), reads(s, d))
-    return intervals.first_annotations(pairs, "a_id", "b_id", 3, "b_start", "b_id").select(F.col("a_id").alias("id"), "hits")
+    first = intervals.first_overlaps(guides(s, d), reads(s, d), "id", 3)
+    return intervals.first_annotations(first, "a_id", "b_id", 3, "k").select(F.col("a_id").alias("id"), "hits")
 
 
 @query(f"""WITH {PAIRS}, q AS (SELECT *, (b_strand = a_strand)::INT AS same FROM pairs), m AS (SELECT *, max(same) OVER (PARTITION BY a_id) AS ms
