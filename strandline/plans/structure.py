@@ -198,7 +198,7 @@ def exon_guide_overlaps(s, d):
 @query(f"WITH {_RG} SELECT a_id, b_id, ovlen, mate_ovl, b_real FROM best")
 def exon_guide_best(s, d):
     """As good as the best: real guides first, then those with the mate, then the longest less five bases."""
-    return guides.best_exons(_exons(s, d), "a_id").select("a_id", "b_id", "ovlen", "mate_ovl", "b_real")
+    return guides.best_of_reads(*_mated(s, d), "id").select("a_id", "b_id", "ovlen", "mate_ovl", "b_real")
 
 
 @query(f"""WITH {_RG} SELECT a_id AS id, min(b_strand) AS strand FROM best WHERE a_strand = '.' AND b_strand IN ('+', '-') GROUP BY a_id
