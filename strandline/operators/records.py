@@ -49,7 +49,16 @@ def sorted_lines(df: DataFrame, column: str) -> DataFrame:
 
 def from_nth(df: DataFrame, n: int, *order: str) -> DataFrame:
     """All rows from the n-th (from 1) on."""
-    return df.orderBy(*order).offset(max(n - 1, 0))
+    if n <= 1:
+        return df.orderBy(*order)
+    # the rows ahead are few and tell where the rest begins; an offset would take all rows through one task
+    key = F.struct(*order)
+    ahead = df.orderBy(*order).limit(n - 1).groupBy(key.alias("edge_")).agg(F.count("*").alias("skip_"))
+    edge = F.broadcast(ahead.agg(F.max_by(F.struct("edge_", "skip_"), "edge_").alias("e_")))  # one row
+    rows = df.crossJoin(edge).filter(key >= F.col("e_.edge_"))
+    beyond = rows.filter(key > F.col("e_.edge_"))
+    ties = rows.filter(key == F.col("e_.edge_")).withColumn("k_", F.row_number().over(Window.partitionBy(*order).orderBy(*order)))
+    return beyond.select(*df.columns).unionByName(ties.filter(F.col("k_") > F.col("e_.skip_")).select(*df.columns)).orderBy(*order)
 
 
 def head_bytes(df: DataFrame, n: int, size: str, *order: str) -> DataFrame:
