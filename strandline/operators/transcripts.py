@@ -32,6 +32,14 @@ def merge_close(exons: Column, gap: int = 4) -> Column:
     return F.aggregate(exons, F.array().cast(EXONS), step)
 
 
+def united(exons: DataFrame, key: str, keep: tuple[str, ...] = (), gap: int = 1) -> DataFrame:
+    """As ``assemble``, exons at most ``gap`` apart (1: they may touch) being one: for keys whose exons are few. One
+    aggregation brings them together; rows are sorted and joined in place."""
+    tx = assemble(exons.filter("start <= end"), key, keep)
+    x = tx.withColumn("exons", merge_close(F.col("exons"), gap - 1))
+    return x.withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
+
+
 def structure_match(a: Column, b: Column, single_share: float = 0.8, reach: int = 100) -> Column:
     """Same intron chain and ends within reach; single exons: overlap of the longer at least the share."""
     one = (F.size(a) == 1) & (F.size(b) == 1)
