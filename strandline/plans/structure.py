@@ -37,7 +37,7 @@ def dense(s, d):
     strand = F.when(key % 3 == 0, "-").otherwise("+")
     x = table(s, d, "lineitem").select(key.alias("tx"), (locus % 10).alias("contig"), strand.alias("strand"), start.cast("long").alias("start"),
         end.cast("long").alias("end"))
-    return transcripts.assemble(intervals.merged(x, 1, ("tx", "contig", "strand"), block=None), "tx", ("contig", "strand"))
+    return transcripts.united(x, "tx", ("contig", "strand"))
 
 
 _COMMON = """coalesce(list_sum(flatten(list_transform({a}, lambda p: list_transform({b}, lambda q: greatest(0, least(p.e, q.e) - greatest(p.s, q.s) + 1))))), 0)"""
