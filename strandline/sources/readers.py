@@ -117,8 +117,10 @@ def parse_gff(lines: DataFrame) -> DataFrame:
 
 
 def _first_of_each(entries: Column) -> Column:
-    keys = F.transform(entries, lambda e: e["key"])
-    return F.filter(entries, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    # entries and keys are bound by a lambda each: named from within the filter's, they would be made again for every entry
+    bind = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    firsts = lambda es, keys: F.filter(es, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return bind(entries, lambda es: bind(F.transform(es, lambda e: e["key"]), lambda keys: firsts(es, keys)))
 
 
 def bed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
