@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph, hierarchy, joining, unitigs
+from ..operators import coded, graph, hierarchy, joining, unitigs
 from ..operators import kmers as km
 from .adapters import MERS, sequences, table
 from .registry import query
@@ -42,7 +42,7 @@ def unitig_build(s, d):
 def read_correction(s, d):
     """All sequences against their own trusted 13-mers."""
     x = sequences(s, d)
-    return unitigs.correct_reads(x, km.count_kmers(x, 13), 13, 3)
+    return unitigs.correct_reads(x, coded.count_codes(x, 13), 13, 3)
 
 
 _PART = "e AS (SELECT p_partkey AS gene, p_brand AS contig, p_partkey * 10 AS l, p_partkey * 10 + p_size * 2 AS r FROM part)"
