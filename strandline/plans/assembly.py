@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import coded, graph, hierarchy, joining, unitigs
-from ..operators import kmers as km
 from .adapters import MERS, sequences, table
 from .registry import query
 
@@ -34,7 +33,7 @@ SELECT DISTINCT seq, n::BIGINT AS kmers, round(total / n::DOUBLE, 6) AS coverage
 @query(_UNITIG_SQL)
 def unitig_build(s, d):
     """Unitigs of the 13-mers of all sequences that occur at least twice; the SQL walks link by link."""
-    got = unitigs.build(km.count_kmers(sequences(s, d), 13, least=2), 13)
+    got = unitigs.build(coded.count_codes(sequences(s, d), 13, least=2), 13)
     return got.select("seq", "kmers", F.round("coverage", 6).alias("coverage"))
 
 
