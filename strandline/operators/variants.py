@@ -40,9 +40,11 @@ def site_sync(variants: DataFrame, how: str = "exact") -> DataFrame:
     """
     rows = variants.withColumns({"key": site_key(F.col("ref"), F.col("alts"), how), "alleles_": F.concat_ws(",", "ref", F.array_sort("alts"))})
     site = ["chrom", "pos", "key"]
-    shared = rows.groupBy(*site, "alleles_").agg(F.countDistinct("file").alias("files_"))
+    # dealt by site once: what follows keeps to it
+    rows = rows.filter("chrom is not null and pos is not null and key is not null").repartition(*site)
+    shared = rows.withColumn("files_", F.size(F.collect_set("file").over(Window.partitionBy(*site, "alleles_"))))
     nth = F.row_number().over(Window.partitionBy(*site, "file").orderBy(F.desc("files_"), "alleles_"))
-    placed = rows.join(shared, [*site, "alleles_"]).withColumn("nth", nth)
+    placed = shared.withColumn("nth", nth)
     return placed.groupBy(*site, "nth").agg(F.array_sort(F.collect_list(F.struct("file", "ref", "alts"))).alias("members"))
 
 
