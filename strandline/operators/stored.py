@@ -34,6 +34,19 @@ def stored(df: DataFrame, name: str = "round") -> DataFrame:
     return out
 
 
+#: Bytes of an input, as the planner reckons them, that a task of ``dealt`` takes.
+TASK_BYTES = 4 << 20
+
+
+def dealt(df: DataFrame, like: DataFrame, *keys: str) -> DataFrame:
+    """df by keys in as many partitions as the size of ``like``, that of a file, asks for: what one task sorts or holds doesn't
+    grow with the input, whatever the session's number of partitions. Where no size is known, that number holds."""
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 45:
+        return df.repartition(*keys)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES), *keys)
+
+
 def removed_at_exit(spark: SparkSession, path: str) -> None:
     atexit.register(_delete, spark, path)
 

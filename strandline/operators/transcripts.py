@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import exons_len, introns
 from .intervals import BLOCK, clusters, overlap_join
-from .stored import stored
+from .stored import dealt, stored
 
 EXONS = "array<struct<start:bigint,end:bigint>>"
 
@@ -54,41 +56,58 @@ def nascents(tx: DataFrame) -> DataFrame:
     """For each intron of a transcript, a prefix in its own direction whose last exon runs through it."""
     n = F.size("exons")
     out = tx.filter(n > 1).select("*", F.explode(F.sequence(F.lit(1), n - 1)).alias("step"))
-    fore = F.concat(
-        F.slice("exons", 1, F.col("step") - 1),
-        F.array(F.struct(F.element_at("exons", F.col("step"))["start"].alias("start"), (F.element_at("exons", F.col("step") + 1)["start"] - 1).alias("end"))),
-    )
-    at = n - F.col("step") + 1
-    back = F.concat(
-        F.array(F.struct((F.element_at("exons", at - 1)["end"] + 1).alias("start"), F.element_at("exons", at)["end"].alias("end"))),
-        F.slice("exons", at + 1, F.col("step") - 1),
-    )
-    return out.withColumn("exons", F.when(F.col("strand") == "-", back).otherwise(fore)).withColumns({"start": F.element_at("exons",
-        1)["start"], "end": F.element_at("exons", -1)["end"]})
-
-
-def _first_kept(rows, share: float, reach: int):
-    """Of spans in order, whether each matches none kept before. Kept spans lie in buckets by length and
-    start, or by both ends, so that a span is compared with those near it only."""
+    at, exon = n - F.col("step") + 1, lambda k: F.element_at("exons", k)
+    fore_end, back_start = exon(F.col("step") + 1)["start"] - 1, exon(at - 1)["end"] + 1
+    fore = F.concat(F.slice("exons", 1, F.col("step") - 1), F.array(F.struct(exon(F.col("step"))["start"].alias("start"), fore_end.alias("end"))))
+    back = F.concat(F.array(F.struct(back_start.alias("start"), exon(at)["end"].alias("end"))), F.slice("exons", at + 1, F.col("step") - 1))
+    own = lambda reverse, forward: F.when(F.col("strand") == "-", reverse).otherwise(forward)
+    return out.withColumns({"exons": own(back, fore), "start": own(back_start, exon(1)["start"]), "end": own(exon(-1)["end"], fore_end)})
+
+
+def _matching(share: float, reach: int):
+    """A test of a span (start, end, whether of a single exon) against those kept before, with which it is kept if it is
+    like none. They lie in buckets by length and start, or by both ends, so that it is compared with those near it only."""
     base = max(1 / share, 1 + 1e-9)
-    width = lambda c: int((1 - share) * base ** (c + 3)) + 1
-    kept: dict[tuple, list[tuple[int, int]]] = {}
-    out = []
-    for s, e, one in zip(rows["start"], rows["end"], rows["one"], strict=True):
+    width = cache(lambda c: int((1 - share) * base ** (c + 3)) + 1)
+    w, log = reach + 1, math.log(base)
+
+    def new(kept: dict, s: int, e: int, one: bool) -> bool:
         if one:
-            c = int(math.log(e - s + 1) / math.log(base))
+            c = int(math.log(e - s + 1) / log)
             own = (c, s // width(c))
             near = [(d, s // width(d) + k) for d in range(c - 2, c + 3) for k in (-1, 0, 1)]
-            alike = lambda u, v: (min(e, v) - max(s, u) + 1) / max(e - s + 1, v - u + 1) >= share  # noqa: B023, E731
+            alike = lambda u, v: (min(e, v) - max(s, u) + 1) / max(e - s + 1, v - u + 1) >= share
         else:
-            w = reach + 1
             own = (s // w, e // w)
             near = [(own[0] + i, own[1] + k) for i in (-1, 0, 1) for k in (-1, 0, 1)]
-            alike = lambda u, v: abs(s - u) <= reach and abs(e - v) <= reach  # noqa: B023, E731
-        new = not any(alike(u, v) for key in near for u, v in kept.get(key, ()))
-        if new:
-            kept.setdefault(own, []).append((s, e))
-        out.append(new)
+            alike = lambda u, v: abs(s - u) <= reach and abs(e - v) <= reach
+        for key in near:
+            if key in kept and any(alike(u, v) for u, v in kept[key]):
+                return False
+        kept.setdefault(own, []).append((s, e))
+        return True
+
+    return new
+
+
+def _fresh(rows) -> np.ndarray:
+    """Of sorted rows in Arrow, which begin a group (contig, cluster_, chain_)."""
+    import pyarrow.compute as pc
+
+    plain = lambda x: x.combine_chunks() if hasattr(x, "combine_chunks") else x
+    chain = plain(rows["chain_"])
+    n = pc.list_value_length(chain).to_numpy(zero_copy_only=False)
+    flat = chain.flatten()
+    out = np.ones(len(n), bool)
+    out[1:] = n[1:] != n[:-1]
+    row = np.repeat(np.arange(len(n)), n)
+    back = np.arange(len(row)) - n[row]  # the same intron of the row ahead, where that has as many
+    for c in ("start", "end"):
+        x = pc.fill_null(pc.struct_field(flat, c), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+        out[row[x != x[back]]] = True
+    for c in ("contig", "cluster_"):
+        x = plain(rows[c])
+        out[1:] |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
     return out
 
 
@@ -96,27 +115,39 @@ def distinct_nascents(tx: DataFrame, *order: str, share: float = 0.99, reach: in
     """Nascents without those that match the structure of one kept before, on either strand.
 
     ``order`` ranks the transcripts; nascents of one follow by step. What can match has the same
-    introns, or lies in the same cluster of single exons: each such group is gone through in order, in
-    time linear in its distinct spans, of which one task holds a group's. Rows without a contig, and those of
+    introns, or lies in the same cluster of single exons: the rows of such a group pass one task in order, which
+    holds those kept of it alone, in time linear in them. Rows without a contig, and those of
     overlapping exons whose span would be empty, are left out.
     """
-    rows = nascents(tx.filter("contig is not null")).filter("start <= end").withColumns({"rank_": F.struct(*order, "step"),
-        "chain_": introns(F.col("exons")), "one": F.size("exons") == 1})
-    single = clusters(rows.filter("one"), 0, name="cluster_", block=BLOCK)
-    rows = stored(single.unionByName(rows.filter("not one").withColumn("cluster_", F.lit(-1).cast("long"))), "nascents")
-    same = ["contig", "chain_", "cluster_"]
-    first = rows.groupBy(*same, "start", "end", "one").agg(F.min("rank_").alias("rank_"))
-    group = Window.partitionBy(*same)
-    first = first.withColumns({"pos": F.row_number().over(group.orderBy("rank_")), "n": F.count("*").over(group)})
-
-    def keep(group):
-        group = group.sort_values("pos")
-        return group[_first_kept(group, share, reach)][["contig", "chain_", "cluster_", "pos"]]
-
-    kind = ", ".join(f"{c} {first.schema[c].dataType.simpleString()}" for c in (*same, "pos"))
-    chosen = first.filter("n > 1").select(*same, "start", "end", "one", "pos").groupBy(*same).applyInPandas(keep, kind)
-    ranks = first.filter("n > 1").join(chosen, [*same, "pos"]).select("contig", "rank_").unionByName(first.filter("n = 1").select("contig", "rank_"))
-    return rows.join(ranks, ["contig", "rank_"], "left_semi").drop("rank_", "chain_", "cluster_", "one")
+    import pyarrow as pa
+
+    whole = tx.filter("contig is not null").withColumn("chain_", introns(F.col("exons")))
+    step, size = F.col("step"), F.size("chain_")
+    own = F.slice("chain_", F.when(F.col("strand") == "-", size + 2 - step).otherwise(1), step - 1)  # a nascent has introns of its transcript
+    rows = stored(nascents(whole).withColumn("chain_", own).filter("start <= end"), "nascents")
+    single = clusters(rows.filter(size == 0), 0, name="cluster_", block=BLOCK)
+    both = single.unionByName(rows.filter(size > 0).withColumn("cluster_", F.lit(-1).cast("long")))
+    same = ["contig", "cluster_", "chain_"]
+    lined = dealt(both.withColumn("h_", F.xxhash64(*same)), rows, "h_").sortWithinPartitions("h_", *same, *order, "step").drop("h_")
+    out = [c for c in rows.columns if c != "chain_"]
+
+    def keep(batches):
+        new, kept, last = _matching(share, reach), {}, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ahead = [] if last is None else [last]
+            fresh = _fresh(pa.Table.from_batches([*ahead, batch]).select(same))[len(ahead) :]
+            last = batch.slice(batch.num_rows - 1)
+            at = np.flatnonzero(~(fresh & np.append(fresh[1:], False)))  # but rows that are a group alone
+            of = lambda c: batch.column(c).to_numpy(zero_copy_only=False)[at].tolist()  # noqa: B023, E731
+            good = np.ones(batch.num_rows, bool)
+            for i, first, s, e, cluster in zip(at.tolist(), fresh[at].tolist(), of("start"), of("end"), of("cluster_"), strict=True):
+                kept = {} if first else kept
+                good[i] = new(kept, s, e, cluster >= 0)
+            yield batch.filter(pa.array(good)).select(out)
+
+    return lined.mapInArrow(keep, rows.select(*out).schema)
 
 
 def cds_phases(exons: DataFrame, key: str) -> DataFrame:

@@ -43,3 +43,25 @@ def test_attributes_are_taken_apart_once(spark):
     entries = F.transform(F.split("value", ";"), lambda x: F.struct(x.alias("key"), x.alias("value")))
     plan = df.select(readers._first_of_each(entries).alias("x"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
+
+
+def test_distinct_nascents_pass_in_batches(spark):
+    rng, rows = random.Random(6), []
+    for i in range(90):
+        at, exons = rng.choice((100, 105, 180)), []
+        for _ in range(rng.randint(1, 3)):
+            exons.append((at, at + rng.choice((400, 402, 480))))
+            at = exons[-1][1] + rng.choice((300, 301))
+        rows.append((i, rng.choice("ab"), rng.choice("+-."), exons))
+    tx = spark.createDataFrame(rows, f"id long, contig string, strand string, exons {transcripts.EXONS}")
+    whole = sorted(transcripts.distinct_nascents(tx, "id").collect())
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(size)
+    try:
+        for n in ("1", "2", "7"):  # groups go on from batch to batch
+            spark.conf.set(size, n)
+            assert sorted(transcripts.distinct_nascents(tx, "id").collect()) == whole
+    finally:
+        spark.conf.set(size, old)
+    plan = transcripts.distinct_nascents(tx, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan  # no call a group
