@@ -37,9 +37,11 @@ def merge_close(exons: Column, gap: int = 4) -> Column:
 def united(exons: DataFrame, key: str, keep: tuple[str, ...] = (), gap: int = 1) -> DataFrame:
     """As ``assemble``, exons at most ``gap`` apart (1: they may touch) being one: for keys whose exons are few. One
     aggregation brings them together; rows are sorted and joined in place."""
-    # joined within the aggregation: no filter that is pushed down makes the exons again
-    whole = merge_close(F.array_sort(F.collect_list(F.struct("start", "end"))), gap - 1)
-    x = exons.filter("start <= end").groupBy(key).agg(*(F.min(c).alias(c) for c in keep), whole.alias("exons"))
+    # joined within the aggregation: no filter that is pushed down makes the exons again; dealt by key first, as few
+    # rows of a key meet before a shuffle, and a partial aggregation of them sorts all rows once more
+    whole = merge_close(F.sort_array(F.collect_list(F.struct("start", "end"))), gap - 1)
+    x = exons.filter("start <= end")
+    x = dealt(x, x, key).groupBy(key).agg(*(F.min(c).alias(c) for c in keep), whole.alias("exons"))
     return x.withColumns({"start": F.element_at("exons", 1)["start"], "end": F.element_at("exons", -1)["end"]})
 
 

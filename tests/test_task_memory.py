@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from strandline.operators import intervals, records, transcripts
+from strandline.operators import intervals, records, stored, transcripts
 from strandline.sources import readers
 
 
@@ -65,3 +65,16 @@ def test_distinct_nascents_pass_in_batches(spark):
         spark.conf.set(size, old)
     plan = transcripts.distinct_nascents(tx, "id")._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan  # no call a group
+
+
+def test_united_deals_by_size_not_by_the_session(spark, tmp_path, monkeypatch):
+    x = spark.range(6000).selectExpr("id % 900 tx", "'+' strand", "id * 37 % 5000 start", "id * 37 % 5000 + id % 60 end")
+    x.write.parquet(str(tmp_path / "x"))
+    x = spark.read.parquet(str(tmp_path / "x"))
+    want = sorted(transcripts.united(x, "tx", ("strand",)).collect())
+    monkeypatch.setattr(stored, "TASK_BYTES", 1 << 10)
+    got = transcripts.united(x, "tx", ("strand",))
+    assert got.rdd.getNumPartitions() > 20  # of 4 that the session sets
+    assert sorted(got.collect()) == want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.rsplit("Exchange", 1)[1]  # no partial aggregation sorts the rows ahead of the shuffle
