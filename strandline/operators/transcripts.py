@@ -202,6 +202,7 @@ def merge_isoforms(tx: DataFrame, key: str, label: str = "MSTRG", gap: int = 250
     most ``gap`` apart are one gene. Genes are numbered by contig, strand and place, transcripts in a gene by
     their place; single exons on no strand are left out beside stranded ones that hold them.
     """
+    tx = stored(tx.select(key, "contig", "strand", "start", "exons"), "merging")
     chains = merge_by_chain(tx, key).withColumnRenamed(f"first_{key}", "first_")
     inner_starts, inner_ends = F.transform("chain", lambda i: i["end"] + 1), F.transform("chain", lambda i: i["start"] - 1)
     exons = F.zip_with(F.concat(F.array("start"), inner_starts), F.concat(inner_ends, F.array("end")), lambda a, b: F.struct(a.alias("start"), b.alias("end")))

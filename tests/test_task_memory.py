@@ -78,3 +78,17 @@ def test_united_deals_by_size_not_by_the_session(spark, tmp_path, monkeypatch):
     assert sorted(got.collect()) == want
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan.rsplit("Exchange", 1)[1]  # no partial aggregation sorts the rows ahead of the shuffle
+
+
+def test_merge_isoforms_makes_its_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(start):
+        made.add(1)
+        return start
+
+    rows = [(i, "c", "+-"[i % 2], i * 30, [(i * 30, i * 30 + 20), (i * 30 + 50, i * 30 + 90)][: 1 + i % 3 % 2]) for i in range(40)]
+    tx = spark.createDataFrame(rows, f"tx long, contig string, strand string, start long, exons {transcripts.EXONS}")
+    made_once = F.udf(seen, "long").asNondeterministic()("start")
+    assert transcripts.merge_isoforms(tx.withColumn("start", made_once), "tx").count() > 1
+    assert made.value == len(rows)
